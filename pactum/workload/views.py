@@ -127,3 +127,82 @@ FROM @orders@) f"""
 
 
 TODAY = "1998-06-01"
+
+
+# --- findings, places --------------------------------------------------------------------
+
+_FINDING_RULES = """(VALUES
+ (0,'PROB-MAX-01','field','legal',NULL,'6.1'),(1,'PROB-EXCL-01','field','legal',NULL,'6.1'),(2,'PROB-NOCOMP-01','info','legal',NULL,'6.2'),
+ (3,'LEAVE-MIN-01','field','legal','leave_value','8.1'),(4,'LEAVE-FORFEIT-01','clause','legal',NULL,NULL),(5,'HOURS-MAX-01','field','legal',NULL,'7'),
+ (6,'OT-RATE-01','field','legal',NULL,'11.2'),(7,'EOS-BASE-01','clause','legal','eos_gap',NULL),(8,'COMP-ART77-01','clause','market','art77_gap',NULL),
+ (9,'TYPE-CONFLICT-01','cross','legal,clarity',NULL,NULL),(10,'TYPE-ART57-01','clause','clarity',NULL,NULL),(11,'RENEW-CONVERT-01','info','legal',NULL,'5.1'),
+ (12,'REVIEW-00','clause','clarity',NULL,NULL),(13,'NOTICE-INDEF-01','info','legal',NULL,NULL),(14,'TRANSFER-KSA-01','clause','market',NULL,NULL),
+ (15,'NONCOMPETE-01','clause','legal',NULL,NULL),(16,'CONFIDENTIAL-01','clause','clarity',NULL,NULL),(17,'SETTLE-TIME-01','info','legal',NULL,NULL),
+ (18,'MARKET-ALLOW-01','market','market',NULL,'9.1.1')) r(n, rule_id, kind, categories, impact_kind, template_clause)"""
+
+
+@view("finding_rows", ("lineitem",))
+def _finding_rows(d: str) -> str:
+    return f"""SELECT contract_id, position, rule_id, source, clause, related_clause, categories, impact_kind, needs_review, eos_base, comp_months, comp_base, verdict,
+ CASE WHEN rule_id='REVIEW-00' THEN 'low' WHEN verdict IN ('compliant','better_than_law') THEN 'none' WHEN sk%3=0 THEN 'high' WHEN sk%3=1 THEN 'medium' ELSE 'low' END AS severity
+FROM (SELECT l_orderkey AS contract_id, CAST(l_linenumber AS BIGINT)*1000000000000000 + l_partkey*100000 + l_suppkey AS position, rule_id, l_suppkey AS sk,
+ CASE WHEN kind='info' THEN 'info' WHEN kind='market' THEN 'market' WHEN kind='cross' THEN 'cross_check' WHEN kind='clause' OR l_suppkey%4=0 THEN 'clause' ELSE 'field_rule' END AS source,
+ CASE WHEN kind IN ('clause','cross') OR (kind='field' AND l_suppkey%4=0) THEN concat('15.', CAST(1+l_partkey%9 AS {'STRING' if d == 'spark' else 'VARCHAR'})) ELSE template_clause END AS clause,
+ CASE WHEN kind='cross' THEN CASE WHEN l_suppkey%2=0 THEN '5.1' ELSE '1' END END AS related_clause,
+ categories, impact_kind, rule_id='REVIEW-00' AS needs_review,
+ CASE WHEN l_suppkey%3=0 THEN 'basic' WHEN l_suppkey%3=1 THEN 'actual' ELSE 'other' END AS eos_base,
+ CAST(CASE WHEN l_suppkey%7<6 THEN 1+l_partkey%30 END AS DOUBLE) AS comp_months,
+ CASE WHEN l_partkey%2=0 THEN 'basic' ELSE 'actual' END AS comp_base,
+ CASE WHEN kind='info' THEN 'compliant' WHEN kind='cross' THEN 'conflict' WHEN rule_id='REVIEW-00' THEN 'unclear' WHEN l_suppkey%5=0 THEN 'likely_void' WHEN l_suppkey%5=1 THEN 'worse_than_default'
+  WHEN l_suppkey%5=2 THEN 'compliant' WHEN l_suppkey%5=3 THEN 'better_than_law' ELSE 'unclear' END AS verdict
+ FROM @lineitem@ JOIN {_FINDING_RULES} ON l_partkey%19 = n) x"""
+
+
+_PLACES = """(VALUES
+ ('1',1,60.0,120.0,0),('5',2,80.0,200.0,0),('5.1',2,110.0,190.0,0),('6',2,210.0,280.0,0),('6.1',2,230.0,280.0,0),('7',3,60.0,140.0,0),
+ ('8',3,150.0,210.0,0),('8.1',3,170.0,210.0,0),('9',3,220.0,400.0,0),('9.1',3,240.0,400.0,0),('9.1.1',3,250.0,400.0,0),('11',4,60.0,300.0,0),
+ ('15',5,60.0,780.0,0),('15',6,60.0,300.0,0),('15.1',5,90.0,140.0,0),('15.2',5,150.0,200.0,0),('15.3',5,210.0,300.0,0),('15.4',5,310.0,780.0,0),
+ ('15.4',6,60.0,90.0,0),('15.5',6,100.0,150.0,1),('15.6',6,160.0,200.0,2)) v(clause, page, y_min, y_max, skip_mod)"""
+
+
+@view("clause_locations", ("orders",))
+def _clause_locations(d: str) -> str:
+    return f"""SELECT o_orderkey AS contract_id, clause, CAST(page AS INT) AS page, CAST(595.92 AS DOUBLE) AS page_width, CAST(842.04 AS DOUBLE) AS page_height, CAST(40 AS DOUBLE) AS x_min,
+ CAST(y_min AS DOUBLE) + CAST(o_orderkey%7 AS DOUBLE) AS y_min, CAST(555 AS DOUBLE) AS x_max, CAST(y_max AS DOUBLE) + CAST(o_orderkey%7 AS DOUBLE) AS y_max
+FROM @orders@, {_PLACES} WHERE skip_mod=0 OR o_orderkey%3<>skip_mod"""
+
+
+@view("clause_texts", ("orders",))
+def _clause_texts(d: str) -> str:
+    s = "STRING" if d == "spark" else "VARCHAR"
+    return f"""SELECT o_orderkey AS contract_id, concat('15.', CAST(k AS {s})) AS clause, concat('Term ', CAST(k AS {s}), ' of ', o_orderpriority) AS text_en,
+ CASE WHEN o_orderkey%2=0 THEN concat('بند ', CAST(k AS {s})) END AS text_ar FROM @orders@, (VALUES (1),(2),(3),(4),(5),(6)) c(k)"""
+
+
+# --- operations --------------------------------------------------------------------------
+
+
+@view("audit_events", ("events",))
+def _audit_events(d: str) -> str:
+    return """SELECT event_id, ts AS at, user_id, CASE event_type WHEN 'signup' THEN 'upload' WHEN 'view' THEN 'view'
+ WHEN 'click' THEN 'view_document' WHEN 'purchase' THEN 'download' ELSE 'delete' END AS action FROM @events@"""
+
+
+@view("rating_rows", ("events",))
+def _rating_rows(d: str) -> str:
+    start = (
+        "ts + make_dt_interval(0,0,CAST(event_id%97 AS INT),0)"
+        if d == "spark"
+        else "ts + to_minutes(CAST(event_id%97 AS BIGINT))"
+    )
+    return f"""SELECT event_id AS rating_id, user_id, CASE event_id%6 WHEN 0 THEN 'queued' WHEN 1 THEN 'extracting' WHEN 2 THEN 'analysing'
+ WHEN 3 THEN 'done' WHEN 4 THEN 'needs_review' ELSE 'failed' END AS status, ts AS created_at,
+ CASE WHEN event_id%6>0 THEN {start} END AS started_at,
+ CAST(CASE WHEN event_id%6 IN (3,4) THEN 30+event_id%71 END AS INT) AS score_overall FROM @events@"""
+
+
+@view("stored_documents", ("events",))
+def _stored_documents(d: str) -> str:
+    due = "ts + make_dt_interval(30,0,0,0)" if d == "spark" else "ts + to_days(30)"
+    return f"""SELECT event_id AS document_id, user_id, ts AS created_at, {due} AS delete_after,
+ CASE WHEN event_id%5=0 THEN {due} END AS deleted_at, CAST(1+event_id%9 AS INT) AS pages FROM @events@ WHERE event_type='signup'"""
