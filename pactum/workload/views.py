@@ -206,3 +206,38 @@ def _stored_documents(d: str) -> str:
     due = "ts + make_dt_interval(30,0,0,0)" if d == "spark" else "ts + to_days(30)"
     return f"""SELECT event_id AS document_id, user_id, ts AS created_at, {due} AS delete_after,
  CASE WHEN event_id%5=0 THEN {due} END AS deleted_at, CAST(1+event_id%9 AS INT) AS pages FROM @events@ WHERE event_type='signup'"""
+
+
+# --- clauses -----------------------------------------------------------------------------
+
+
+def _filled(text: str, s: str) -> str:
+    for name, value in (
+        ("n", "10+o_orderkey%200"), ("m", "14+o_orderkey%20"), ("h", "7+o_orderkey%3"),
+        ("p", "25*(1+o_orderkey%3)"), ("k", "6+o_orderkey%30"),
+    ):
+        text = f"replace({text}, '{{{name}}}', CAST({value} AS {s}))"
+    return text
+
+
+@view("contract_clauses", ("orders",))
+def _contract_clauses(d: str) -> str:
+    from pactum.workload.clause_library import LIBRARY
+
+    s = "STRING" if d == "spark" else "VARCHAR"
+
+    def lit(text: str | None) -> str:
+        if text is None:
+            return "NULL"
+        if d == "spark":
+            text = text.replace("\\", "\\\\").replace("'", "\\'").replace("{", "{{").replace("}", "}}")
+            return f"'{text}'"
+        return "'" + text.replace("'", "''") + "'"
+
+    rows = ",\n".join(f"({i},{lit(en)},{lit(ar)})" for i, (en, ar, _, _) in enumerate(LIBRARY))
+    filled = _filled("en", s)
+    if d == "spark":
+        filled = filled.replace("{", "{{").replace("}", "}}")
+    return f"""SELECT o_orderkey AS contract_id, concat('15.', CAST(j AS {s})) AS clause, CAST(lib AS INT) AS lib, {filled} AS text_en, CAST(ar AS {s}) AS text_ar,
+ CAST(CASE o_orderkey%6 WHEN 0 THEN 0 WHEN 1 THEN 90 WHEN 2 THEN 180 WHEN 3 THEN 210 WHEN 4 THEN 60 END AS INT) AS probation_days
+FROM (SELECT o_orderkey, j FROM @orders@, (VALUES (1),(2),(3),(4),(5)) c(j)) x JOIN (VALUES {rows}) l(lib, en, ar) ON (o_orderkey*7+j*3)%{len(LIBRARY)} = lib"""
