@@ -6,6 +6,8 @@ the text before and after it, so no offsets and no per-row Python are needed.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,11 +45,19 @@ DAYS_PER_UNIT = {"day": 1.0, "week": 7.0, "month": 30.0, "year": 365.0}
 _OPEN, _CLOSE, _SEP = "\u0001", "\u0002", "\u0003"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluates ``value`` once and hands it to ``body``."""
+    return F.transform(F.array(value), body)[0]
+
+
+_VALUE_MAP = "map(" + ", ".join(f"'{w}', {v}D" for w, v in NUMBER_VALUES.items()) + ")"
+
+
 def parse_number(phrase: Column) -> Column:
     """Digits or English number words; null when it is neither."""
-    half = phrase.endswith(" and a half")
+    half = F.when(phrase.endswith(" and a half"), 0.5).otherwise(0.0)
     words = F.split(F.regexp_replace(phrase, " and a half$", ""), "[ -]+")
-    values = F.create_map(*[x for w, v in NUMBER_VALUES.items() for x in (F.lit(w), F.lit(v))])
+    values = F.expr(_VALUE_MAP)
     total = F.aggregate(
         words,
         F.lit(0.0),
@@ -58,40 +68,62 @@ def parse_number(phrase: Column) -> Column:
     return (
         F.when(phrase.rlike(r"^\d"), phrase.try_cast("double"))
         .when(phrase.isin("a", "an"), 1.0)
-        .otherwise(total + F.when(half, 0.5).otherwise(0.0))
+        .otherwise(total + half)
     )
 
 
-def _marked(text: Column, pattern: str, groups: str) -> Column:
-    return F.split(F.regexp_replace(text, pattern, f"{_OPEN}{groups}{_SEP}$0{_CLOSE}"), _OPEN)
+def mark_quantities(text: Column) -> Column:
+    """The text with every quantity wrapped in control characters, number and unit in front.
 
+    One pass over the text; a text without any unit word is not scanned.
+    """
+    marks = f"{_OPEN}$1{_SEP}$2{_SEP}$0{_CLOSE}"
+    return F.when(
+        text.rlike("hour|day|week|month|year"), F.regexp_replace(text, QUANTITY, marks)
+    ).otherwise(text)
 
-def quantities(text: Column) -> Column:
-    """``array<struct<value, unit, before, after>>`` in order of appearance."""
-    parts = _marked(text, QUANTITY, f"$1{_SEP}$2")
-    plain = F.transform(
-        parts,
-        lambda p: F.translate(
-            F.regexp_replace(p, f"^[^{_SEP}]*{_SEP}[^{_SEP}]*{_SEP}", ""), _CLOSE, ""
-        ),
+
+def is_marked(text: Column) -> Column:
+    return text.contains(_OPEN)
+
+
+def unmark(text: Column) -> Column:
+    bare = F.regexp_replace(text, f"{_OPEN}[^{_SEP}]*{_SEP}[^{_SEP}]*{_SEP}", "")
+    return F.when(is_marked(text), F.translate(bare, _CLOSE, "")).otherwise(text)
+
+
+def marked_quantities(marked: Column) -> Column:
+    """``array<struct<value, unit, before, after>>`` of a marked text, in order."""
+
+    def plain(part: Column) -> Column:
+        bare = F.regexp_replace(part, f"^[^{_SEP}]*{_SEP}[^{_SEP}]*{_SEP}", "")
+        return F.translate(bare, _CLOSE, "")
+
+    def read(parts: Column, plains: Column) -> Column:
+        def one(part: Column, i: Column) -> Column:
+            return F.struct(
+                parse_number(F.trim(F.substring_index(part, _SEP, 1))).alias("value"),
+                F.regexp_replace(F.split(part, _SEP)[1], "s$", "").alias("unit"),
+                F.array_join(F.slice(plains, F.lit(1), i + 1), "").alias("before"),
+                F.concat(
+                    F.substring_index(part, _CLOSE, -1),
+                    F.array_join(F.slice(plains, i + 3, F.size(plains)), ""),
+                ).alias("after"),
+            )
+
+        return F.transform(F.slice(parts, F.lit(2), F.size(parts)), one)
+
+    hits = let(
+        F.split(marked, _OPEN),
+        lambda parts: let(F.transform(parts, plain), lambda plains: read(parts, plains)),
     )
-    size = F.size(parts)
-
-    def read(part: Column, i: Column) -> Column:
-        fields = F.split(part, _SEP)
-        rest = F.substring_index(part, _CLOSE, -1)
-        following = F.slice(plain, i + 3, F.greatest(size - i - 2, F.lit(0)))
-        return F.struct(
-            parse_number(F.trim(fields[0])).alias("value"),
-            F.regexp_replace(fields[1], "s$", "").alias("unit"),
-            F.array_join(F.slice(plain, F.lit(1), i + 1), "").alias("before"),
-            F.concat(rest, F.array_join(following, "")).alias("after"),
-        )
-
-    hits = F.transform(F.slice(parts, F.lit(2), F.greatest(size - 1, F.lit(0))), read)
     return F.filter(hits, lambda h: h["value"].isNotNull())
 
 
+def quantities(text: Column) -> Column:
+    return marked_quantities(mark_quantities(text))
+
+
 def percentages(text: Column) -> Column:
     found = F.regexp_extract_all(text, F.lit(PERCENTAGE), F.lit(1))
     return F.filter(F.transform(found, parse_number), lambda v: v.isNotNull())

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Character classes.
+FOREIGN = r"[^\x00-\x7f]"
 SPACE = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 BIDI = r"\u200e\u200f\u202a-\u202e\u2066-\u2069"
 TATWEEL = r"\u0640"
@@ -50,13 +51,16 @@ def _nfkc_udf():
 
 def nfkc(text: Column) -> Column:
     """NFKC; ASCII text is its own normal form and stays in the JVM."""
-    foreign = text.rlike(r"[^\x00-\x7f]")
-    return F.coalesce(_nfkc_udf()(F.when(foreign, text)), text)
+    return F.coalesce(_nfkc_udf()(F.when(text.rlike(FOREIGN), text)), text)
 
 
 def collapse(text: Column) -> Column:
     """Runs of white space become one space, ends trimmed."""
-    return F.trim(F.regexp_replace(text, SPACE + "+", " "))
+    # ASCII text takes the cheap class; the long one is for the other space characters.
+    one = F.when(text.rlike(FOREIGN), F.regexp_replace(text, SPACE + "+", " ")).otherwise(
+        F.regexp_replace(text, r"\s+", " ")
+    )
+    return F.trim(one)
 
 
 def digits_to_latin(text: Column) -> Column:
@@ -96,18 +100,18 @@ def normalise_search(text: Column) -> Column:
 def normalise_english(text: Column, with_nfkc: bool = True) -> Column:
     """Lower case with plain quotes, dashes and spaces."""
     t = F.lower(nfkc(text) if with_nfkc else text)
-    t = F.translate(
+    plain = F.translate(
         t,
         "\u2018\u2019\u201b\u02bc\u2032\u00b4`\u201c\u201d\u201e\u2033"
         "\u2010\u2011\u2012\u2013\u2014\u2015\u2212",
         "'" * 7 + '"' * 4 + "-" * 7,
     )
-    return collapse(t)
+    return collapse(F.when(t.rlike(r"[^\x00-\x5f\x61-\x7f]"), plain).otherwise(t))
 
 
-def gloss_form(text: Column) -> Column:
+def gloss_form(text: Column, with_nfkc: bool = True) -> Column:
     """Arabic form the gloss works on: marks dropped, letters, digits and signs folded."""
-    t = F.regexp_replace(nfkc(text), f"[{BIDI}{TATWEEL}]|\\p{{Mn}}", "")
+    t = F.regexp_replace(nfkc(text) if with_nfkc else text, f"[{BIDI}{TATWEEL}]|\\p{{Mn}}", "")
     t = F.translate(
         t,
         ALEF_FORMS + "\u0649\u0629" + ARABIC_DIGITS + "\u066a\u060c\u061b",

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pactum.operators.clause_detectors import MATCH_TYPE, PARAMS_TYPE
+from pactum.operators.clause_detectors import MATCH_TYPE, PARAMS_TYPE, match_rows
 from pactum.operators.messages import finding_texts
 from pactum.operators.rule_table import RuleSet
 from pactum.operators.verdicts import REVIEW_RULE_ID, is_problem
@@ -290,15 +290,10 @@ def _finding_columns(verdict: Column, explanation: Column, related: Column, sour
 def clause_findings(analysed: DataFrame, rules: RuleSet) -> DataFrame:
     """Matches to findings: the first per clause and rule. Map-only; the rules are broadcast."""
     rule = F.broadcast(rules.candidates().df(analysed.sparkSession)).alias("rule")
-    # The first match of a rule: no earlier one in the same array has its id.
+    # Detectors give at most one match per rule; other analysers may repeat one.
     ids = F.transform("matches", lambda m: m["rule_id"])
-    first = F.filter(
-        F.transform("matches", lambda m, i: F.struct(i.alias("i"), m.alias("m"))),
-        lambda x: F.array_position(ids, x["m"]["rule_id"]) == x["i"] + 1,
-    )
-    rows = analysed.select("contract_id", "clause", F.explode(first).alias("x")).select(
-        "contract_id", "clause", F.col("x.i").alias("i"), "x.m.*"
-    )
+    rows = match_rows(analysed.withColumn("_ids", ids), "contract_id", "clause", "_ids")
+    rows = rows.where(F.array_position("_ids", F.col("rule_id")) == F.col("i") + 1).drop("_ids")
     joined = rows.join(rule, F.col("rule_id") == F.col("rule.id"))
     # Clause numbers have up to four parts below 100; the match index breaks ties.
     order = _order_key(F.col("clause"), F.col("i"))

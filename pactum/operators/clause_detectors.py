@@ -2,7 +2,7 @@
 
 ``read_clauses`` prepares the columns a detector reads: ``text`` (normalised English or the
 gloss of the Arabic), ``sentences``, ``spans`` (every quantity with its sentence and the words
-around it), ``durations`` (quantities of the whole text) and ``probation_days``. A detector
+around it) and ``probation_days``. A detector
 returns a nullable struct of ``DETECTION_TYPE``. The whole scan is map-only.
 """
 
@@ -14,10 +14,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pactum.functions.numbers import one_decimal
-from pactum.functions.quantities import first_months, percentages, quantities, to_days
+from pactum.functions.quantities import (
+    first_months,
+    is_marked,
+    let,
+    mark_quantities,
+    marked_quantities,
+    percentages,
+    quantities,
+    to_days,
+    unmark,
+)
 from pactum.functions.text import (
+    FOREIGN,
+    collapse,
     gloss_form,
     gloss_form_text,
+    nfkc,
     normalise_english,
     split_sentences,
 )
@@ -48,7 +61,7 @@ NONCOMPETE_LIMIT_MONTHS = 24
 LEGAL_PREMIUM = 50
 
 
-def gloss_arabic(text: Column) -> Column:
+def gloss_arabic(text: Column, with_nfkc: bool = True) -> Column:
     """A rough English reading of Arabic, phrase by phrase, longest phrase first."""
     entries = []
     for arabic, english in GLOSSARY:
@@ -56,50 +69,41 @@ def gloss_arabic(text: Column) -> Column:
         key = (" " if arabic.startswith(" ") else "") + key + (" " if arabic.endswith(" ") else "")
         entries.append((key, f" {english} "))
     entries.sort(key=lambda e: -len(e[0]))
-    table = F.array(*[F.struct(F.lit(a).alias("ar"), F.lit(e).alias("en")) for a, e in entries])
-    start = F.concat(F.lit(" "), gloss_form(text), F.lit(" "))
+    quoted = [tuple(x.replace("\\", "\\\\").replace("'", "\\'") for x in e) for e in entries]
+    table = F.expr("array(" + ", ".join(f"struct('{a}' AS ar, '{e}' AS en)" for a, e in quoted) + ")")
+    start = F.concat(F.lit(" "), gloss_form(text, with_nfkc), F.lit(" "))
     glossed = F.aggregate(table, start, lambda t, e: F.replace(t, e["ar"], e["en"]))
     return glossed
 
 
 def read_clauses(clauses: DataFrame) -> DataFrame:
     """Adds the columns detectors read; clauses with no text at all are dropped."""
-    ar = F.trim(F.coalesce("text_ar", F.lit("")))
-    df = clauses.withColumn("_en", normalise_english(F.coalesce("text_en", F.lit(""))))
+    en, ar = F.coalesce("text_en", F.lit("")), F.coalesce("text_ar", F.lit(""))
+    # The test for text uses the raw columns, so it can be pushed to the scan.
+    df = clauses.where((F.trim(en) != "") | (F.trim(ar) != "")).withColumn(
+        "max_confidence", F.when(collapse(en) != "", "high").otherwise("medium")
+    )
+    english = F.col("max_confidence") == "high"
+    df = df.withColumn("_raw", nfkc(F.when(english, en).otherwise(F.trim(ar))))
     # Only Arabic-only clauses are glossed.
-    df = df.withColumn("_gloss_source", F.when((F.col("_en") == "") & (ar != ""), ar))
-    df = df.withColumn(
-        "_gloss",
-        F.when(
-            F.col("_gloss_source").isNotNull(),
-            normalise_english(gloss_arabic(F.col("_gloss_source")), with_nfkc=False),
-        ),
+    source = F.when(english, F.col("_raw")).otherwise(gloss_arabic(F.col("_raw"), with_nfkc=False))
+    df = df.withColumn("_text", source).withColumn(
+        "_text", normalise_english(F.col("_text"), with_nfkc=False)
     )
-    text = F.when(F.col("_en") != "", F.col("_en")).otherwise(F.col("_gloss"))
-    df = df.withColumns(
-        {
-            # Patterns are ASCII: any other character is masked by a sign that is no letter, so
-            # word boundaries mean ASCII words.
-            "text": F.regexp_replace(text, r"[^\x00-\x7f]", "¤"),
-            "max_confidence": F.when(F.col("_en") != "", "high").otherwise("medium"),
-        }
-    ).drop("_en", "_gloss", "_gloss_source")
-    df = df.where("text IS NOT NULL")
+    # Patterns are ASCII: any other character is masked by a sign that is no letter, so word
+    # boundaries mean ASCII words.
+    df = df.withColumn("text", F.regexp_replace("_text", FOREIGN, "¤")).drop("_raw", "_text")
     if "probation_days" not in df.columns:
         df = df.withColumn("probation_days", F.lit(None).cast("int"))
-    df = df.withColumns(
-        {
-            "sentences": split_sentences(F.col("text")),
-            "durations": quantities(F.col("text")),
-        }
-    )
+    # Quantities are marked once in the text; a mark never crosses a sentence end.
+    df = df.withColumn("_marked", split_sentences(mark_quantities(F.col("text"))))
     spans = F.flatten(
         F.transform(
-            "sentences",
-            lambda s: F.transform(
-                quantities(s),
+            F.filter("_marked", is_marked),
+            lambda m: F.transform(
+                marked_quantities(m),
                 lambda q: F.struct(
-                    s.alias("sentence"),
+                    unmark(m).alias("sentence"),
                     q["value"].alias("value"),
                     q["unit"].alias("unit"),
                     q["before"].alias("before"),
@@ -108,10 +112,7 @@ def read_clauses(clauses: DataFrame) -> DataFrame:
             ),
         )
     )
-    # A text without a quantity has no sentence with one.
-    return df.withColumn("spans", F.when(F.size("durations") > 0, spans).otherwise(
-        F.array().cast("array<struct<sentence:string,value:double,unit:string,before:string,after:string>>")
-    ))
+    return df.withColumns({"sentences": F.transform("_marked", unmark), "spans": spans}).drop("_marked")
 
 
 def has(pattern: str, column: str = "text") -> Column:
@@ -128,6 +129,11 @@ def detection(
     def c(x: str | Column) -> Column:
         return F.lit(x) if isinstance(x, str) else x
 
+    fixed = (verdict, severity, confidence, explanation)
+    if not params and all(isinstance(x, str) for x in fixed):
+        # One call into the JVM for a constant.
+        quoted = ["'" + x.replace("'", "\\'") + "'" for x in fixed]
+        return F.expr(f"CAST(struct({', '.join(quoted)}, CAST(NULL AS {PARAMS_TYPE})) AS {DETECTION_TYPE})")
     names = "eos_base compensation_months compensation_base non_compete_months".split()
     pack = F.struct(
         *[(params[n] if n in params else F.lit(None)).alias(n) for n in names]
@@ -166,6 +172,13 @@ def detect_probation() -> Column:
         return F.struct(days.alias("days"), kind.alias("kind"))
 
     counts = F.filter(F.transform("spans", count), lambda c: c["days"].isNotNull())
+    return F.when(
+        has(p.PROBATION), let(let(counts, _probation_total), _probation_verdict)
+    )
+
+
+def _probation_total(counts: Column) -> Column:
+    """A stated total wins; else the length (or the recorded one) plus what is added."""
 
     def of(kind: str) -> Column:
         return F.transform(F.filter(counts, lambda c: c["kind"] == kind), lambda c: c["days"])
@@ -174,13 +187,12 @@ def detect_probation() -> Column:
     total, length = F.array_max(of("total")), F.try_element_at(of("length"), F.lit(1))
     added = F.aggregate(of("added"), zero, lambda a, d: a + d)
     base = F.coalesce(length, F.col("probation_days").cast("double"))
-    days = (
+    return (
         F.when(total.isNotNull(), total)
         .when(added > 0, F.coalesce(base, zero) + added)
         .when(base.isNotNull() & has(p.SERVED_TWICE), base * 2)
         .otherwise(length)
     )
-    return F.when(has(p.PROBATION), _probation_verdict(days))
 
 
 def _probation_verdict(days: Column) -> Column:
@@ -200,12 +212,15 @@ def detect_leave_minimum() -> Column:
         & ~s["sentence"].rlike(p.CARRY_FORWARD)
         & ~F.substring(s["after"], 1, 20).rlike(p.DEADLINE_AFTER),
     )
-    days = F.transform(kept, to_days)
+    topic = has(p.ANNUAL_LEAVE) & ~(has(p.OTHER_LEAVE) & ~has(r"\bannual\b"))
+    return F.when(topic, let(F.transform(kept, to_days), _leave_verdict))
+
+
+def _leave_verdict(days: Column) -> Column:
     base = F.try_element_at(days, F.lit(1))
     later = F.when(has(p.AFTER_FIVE_YEARS), F.try_element_at(days, F.lit(2)))
-    topic = has(p.ANNUAL_LEAVE) & ~(has(p.OTHER_LEAVE) & ~has(r"\bannual\b"))
     low = F.when(base < MIN_LEAVE_DAYS, base).when(later < MIN_LEAVE_DAYS_AFTER_FIVE_YEARS, later)
-    verdict = (
+    return (
         F.when(
             low.isNotNull(),
             detection(
@@ -222,7 +237,6 @@ def detect_leave_minimum() -> Column:
             detection("better_than_law", "none", "high", _say("The clause grants ", _num(base), " days of leave, over the minimum of 21.")),
         )
     )
-    return F.when(topic, verdict)
 
 
 def detect_leave_forfeiture() -> Column:
@@ -267,9 +281,16 @@ def detect_working_hours() -> Column:
         )
 
     hours = F.filter(F.transform("spans", stated), lambda h: h["value"].isNotNull())
+    return F.when(
+        has(p.HOURS_TOPIC), let(hours, lambda h: _hours_verdict(h, daily_limit, weekly_limit))
+    )
+
+
+def _hours_verdict(hours: Column, daily_limit: Column, weekly_limit: Column) -> Column:
     over = F.try_element_at(F.filter(hours, lambda h: h["value"] > h["limit"]), F.lit(1))
     verdict = (
-        F.when(
+        F.when(F.size(hours) == 0, F.lit(None).cast(DETECTION_TYPE))
+        .when(
             over.isNotNull(),
             detection(
                 "likely_void", "high", "high",
@@ -283,13 +304,18 @@ def detect_working_hours() -> Column:
         )
         .otherwise(detection("better_than_law", "none", "high", "Working hours are set below the legal maximum."))
     )
-    return F.when(has(p.HOURS_TOPIC) & (F.size(hours) > 0), verdict)
+    return verdict
 
 
 def detect_eos_base() -> Column:
     text = F.regexp_replace("text", p.RULED_OUT_WAGE, " ")
     text = F.regexp_replace(text, p.BASIC_AS_PART_OF_FULL_WAGE, "$1")
-    base = (
+    base = let(text, _eos_base)
+    return F.when(has(p.END_OF_SERVICE), let(base, _eos_verdict))
+
+
+def _eos_base(text: Column) -> Column:
+    return (
         F.when(text.rlike(p.BASIC_PLUS_ALL_ALLOWANCES), "actual")
         .when(text.rlike(p.BASIC_HOUSING_AND_TRANSPORT), "standard")
         .when(text.rlike(p.BASIC_PLUS_ONE_ALLOWANCE), "other")
@@ -297,22 +323,31 @@ def detect_eos_base() -> Column:
         .when(text.rlike(p.EXCLUDING_ALLOWANCES), "basic")
         .when(text.rlike(p.ACTUAL_WAGE), "actual")
     )
-    verdict = (
+
+
+def _eos_verdict(base: Column) -> Column:
+    return (
         F.when(base == "basic", detection("likely_void", "high", "high", "The award is based on basic salary only; the law uses the last actual wage.", eos_base=F.lit("basic")))
         .when(base == "other", detection("likely_void", "high", "medium", "The award leaves out some allowances; the law uses the last actual wage.", eos_base=F.lit("other")))
         .when(base == "actual", detection("compliant", "none", "high", "The award is based on the last actual wage.", eos_base=F.lit("actual")))
         .when(base == "standard", detection("compliant", "none", "medium", "The award uses basic, housing and transport, the whole wage of a standard contract.", eos_base=F.lit("actual")))
         .when(has(p.LAW_REFERENCE), detection("compliant", "none", "medium", "The award is left to the Labor Law."))
     )
-    return F.when(has(p.END_OF_SERVICE), verdict)
 
 
 def detect_art77() -> Column:
     at = F.regexp_instr(F.col("text"), F.lit(p.COMPENSATION))
     rest = F.substring(F.col("text"), at, F.length("text"))
-    months = first_months(quantities(rest), weeks=False)
+    topic = (at > 0) & has(p.ENDING_CONTRACT) & has(p.WITHOUT_VALID_REASON)
+    return F.when(
+        topic,
+        let(rest, lambda r: let(first_months(quantities(r), weeks=False), lambda m: _art77_verdict(r, m))),
+    )
+
+
+def _art77_verdict(rest: Column, months: Column) -> Column:
     base = F.when(rest.rlike(p.BASIC_WAGE), "basic").otherwise("actual")
-    verdict = (
+    return (
         F.when(rest.rlike(p.REST_OF_TERM), detection("compliant", "none", "medium", "The clause pays the wages for the rest of the term."))
         .when(
             months.isNotNull(),
@@ -325,11 +360,14 @@ def detect_art77() -> Column:
         .when(rest.rlike(p.FIXED_SUM), detection("worse_than_default", "medium", "medium", "Compensation is fixed at a set sum; the default is usually more."))
         .when(has(p.LAW_REFERENCE), detection("compliant", "none", "medium", "Compensation is left to the Labor Law."))
     )
-    return F.when((at > 0) & has(p.ENDING_CONTRACT) & has(p.WITHOUT_VALID_REASON), verdict)
 
 
 def detect_overtime() -> Column:
     percent = F.try_element_at(percentages(F.col("text")), F.lit(1))
+    return F.when(has(p.OVERTIME), let(percent, _overtime_verdict))
+
+
+def _overtime_verdict(percent: Column) -> Column:
     premium = F.when(percent > 100, percent - 100).otherwise(percent)
     sure = F.when(
         (percent > 100) | (percent < LEGAL_PREMIUM) | has(p.SAYS_PLUS), "high"
@@ -340,7 +378,7 @@ def detect_overtime() -> Column:
         .when(premium == LEGAL_PREMIUM, detection("compliant", "none", sure, stated))
         .otherwise(detection("better_than_law", "none", sure, stated))
     )
-    verdict = (
+    return (
         F.when(
             has(p.TIME_OFF_INSTEAD),
             F.when(has(p.WORKER_CONSENT), detection("compliant", "none", "medium", "Time off replaces overtime pay only with the worker's consent."))
@@ -353,7 +391,6 @@ def detect_overtime() -> Column:
         .when(has(p.PAY_UNDECIDED), detection("unclear", "medium", "high", "Overtime pay is left to the employer's policy or discretion."))
         .when(has(p.REQUIRED_WHEN_NEEDED), detection("unclear", "medium", "high", "Extra hours are required without saying they are paid as overtime."))
     )
-    return F.when(has(p.OVERTIME), verdict)
 
 
 # Order of the stated types in results.
@@ -368,13 +405,14 @@ def stated_types() -> Column:
         pay = F.regexp_instr(s, F.lit(p.PAY_WORD))
         return (contract > 0) & ((pay == 0) | (contract < pay)) & ~s.rlike(p.ABOUT_OTHER_DUTY)
 
-    kept = F.filter("sentences", about_contract)
-
-    def states(pattern: str) -> Column:
+    def states(kept: Column, pattern: str) -> Column:
         return F.exists(kept, lambda s: s.rlike(pattern))
 
-    return F.array_compact(
-        F.array(*[F.when(states(pattern), name) for name, pattern in STATED_TYPES.items()])
+    return let(
+        F.filter("sentences", about_contract),
+        lambda kept: F.array_compact(
+            F.array(*[F.when(states(kept, x), name) for name, x in STATED_TYPES.items()])
+        ),
     )
 
 
@@ -399,7 +437,11 @@ def detect_transfer() -> Column:
 
 
 def detect_noncompete() -> Column:
-    months = first_months(F.col("durations"))
+    topic = has(p.COMPETITION) & has(p.AFTER_CONTRACT_ENDS)
+    return F.when(topic, let(first_months(F.col("spans")), _noncompete_gaps))
+
+
+def _noncompete_gaps(months: Column) -> Column:
     too_long = months > NONCOMPETE_LIMIT_MONTHS
     place = has(p.SAUDI_PLACE) & ~has(p.UNLIMITED_PLACE)
     work = has(p.LIMITED_WORK) & ~has(p.UNLIMITED_WORK)
@@ -412,8 +454,12 @@ def detect_noncompete() -> Column:
             F.when(~has(p.CLIENT_ACCESS), "no tie to access to clients"),
         )
     )
+    return let(gaps, lambda g: _noncompete_verdict(months, too_long, g))
+
+
+def _noncompete_verdict(months: Column, too_long: Column, gaps: Column) -> Column:
     void = F.coalesce(too_long, F.lit(False)) | (F.size(gaps) >= 3)
-    verdict = F.when(
+    return F.when(
         F.size(gaps) == 0,
         detection("compliant", "none", "high", _say("The non-compete lasts ", _num(months), " months and is limited as the law requires."), non_compete_months=months),
     ).otherwise(
@@ -423,13 +469,12 @@ def detect_noncompete() -> Column:
             non_compete_months=months,
         )
     )
-    return F.when(has(p.COMPETITION) & has(p.AFTER_CONTRACT_ENDS), verdict)
 
 
 def detect_confidentiality() -> Column:
     secrecy = has(p.NO_SHARING) | has(p.KEEP_SECRET)
     after, unlimited = has(p.AFTER_CONTRACT_ENDS), has(p.WITHOUT_TIME_LIMIT)
-    months = first_months(F.col("durations"))
+    months = first_months(F.col("spans"))
     silent = secrecy & has(p.WORKER_BOUND) & ~has(p.DURING_EMPLOYMENT_ONLY) & months.isNull()
     verdict = (
         F.when(
@@ -560,13 +605,26 @@ def type_conflicts(analysed: DataFrame, rules: RuleSet, recorded: Column) -> Dat
         " and ",
     )
     as_recorded = _lookup(F.col("recorded"), {k: F.lit(v) for k, v in RECORDED_AS.items()})
-    return df.where(F.size("conflicting") > 0).select(
-        *[c for c in analysed.columns if c not in ("matches",)],
-        F.lit(rule["id"]).alias("rule_id"),
-        template.alias("template_clause"),
-        F.lit("high").alias("severity"),
-        F.col("max_confidence").alias("confidence"),
-        F.array(*[F.lit(a) for a in rule["articles"]]).cast("array<string>").alias("articles"),
-        _say("The contract is recorded as ", as_recorded, ", but this clause says ", says,
-             "; the recorded type most likely prevails.").alias("explanation"),
+    conflict = F.when(
+        F.size("conflicting") > 0,
+        F.struct(
+            F.lit(rule["id"]).alias("rule_id"),
+            template.alias("template_clause"),
+            F.lit("high").alias("severity"),
+            F.col("max_confidence").alias("confidence"),
+            F.array(*[F.lit(a) for a in rule["articles"]]).cast("array<string>").alias("articles"),
+            _say("The contract is recorded as ", as_recorded, ", but this clause says ", says,
+                 "; the recorded type most likely prevails.").alias("explanation"),
+        ),
     )
+    # The filter sits on the generated row: on the expression itself it would be pushed down
+    # and the clause texts would be read twice.
+    kept = [c for c in analysed.columns if c != "matches"]
+    rows = df.select(*kept, F.explode_outer(F.array(conflict)).alias("c"))
+    return rows.where("c IS NOT NULL").select(*kept, "c.*")
+
+
+def match_rows(analysed: DataFrame, *keep: str) -> DataFrame:
+    """One row per match, with its index in the clause (same reason for the outer form)."""
+    rows = analysed.select(*keep, F.posexplode_outer("matches").alias("i", "m"))
+    return rows.where("m IS NOT NULL").select(*keep, "i", "m.*")

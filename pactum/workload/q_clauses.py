@@ -29,11 +29,11 @@ def _expected(only: str | None = None) -> str:
 
 
 def analysed(spark: SparkSession, sf: str) -> DataFrame:
-    return cd.analyse_clauses(load(spark, sf, "contract_clauses"), RULES)
+    return cd.analyse_clauses(load(spark, sf, "contract_clauses", heavy=True), RULES)
 
 
 def matches(df: DataFrame) -> DataFrame:
-    return df.select("contract_id", "clause", F.inline("matches"))
+    return cd.match_rows(df, "contract_id", "clause")
 
 
 _COLS = ("contract_id", "clause", "rule_id", "verdict", "severity", "confidence")
@@ -47,7 +47,7 @@ def clause_matches(spark: SparkSession, sf: str) -> DataFrame:
 def _detector(rule_id: str):
     def run(spark: SparkSession, sf: str) -> DataFrame:
         only = {rule_id: cd.CLAUSE_DETECTORS[rule_id]}
-        rows = cd.analyse_clauses(load(spark, sf, "contract_clauses"), RULES, only)
+        rows = cd.analyse_clauses(load(spark, sf, "contract_clauses", heavy=True), RULES, only)
         return matches(rows).select(*_COLS)
 
     return run
@@ -87,7 +87,7 @@ def cross_conflicts(spark: SparkSession, sf: str) -> DataFrame:
 def clause_nonempty(spark: SparkSession, sf: str) -> DataFrame:
     from pactum.operators.clause_analysis import with_text
 
-    return with_text(load(spark, sf, "contract_clauses")).select(
+    return with_text(load(spark, sf, "contract_clauses", heavy=True)).select(
         "contract_id", "clause", (F.trim("text_en") != "").alias("has_en"),
         (F.coalesce(F.trim("text_ar"), F.lit("")) != "").alias("has_ar"),
     )
@@ -100,7 +100,7 @@ def clause_nonempty(spark: SparkSession, sf: str) -> DataFrame:
 UNION ALL SELECT contract_id, clause, 'medium', CASE lib WHEN 21 THEN 'end-of-service award on the basis of basic salary' ELSE 'transfer any of its branches within the kingdom' END FROM contract_clauses WHERE lib IN (21,22)"""),
 )
 def clause_reading(spark: SparkSession, sf: str) -> DataFrame:
-    rows = cd.read_clauses(load(spark, sf, "contract_clauses"))
+    rows = cd.read_clauses(load(spark, sf, "contract_clauses", heavy=True))
     # The gloss leaves unknown Arabic words as they are; only its English words are compared.
     english = F.trim(F.regexp_replace(F.regexp_replace("text", "¤+|[.]$", " "), " +", " "))
     english = F.regexp_replace(english, "[ .]+$", "")
@@ -110,7 +110,7 @@ def clause_reading(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("gloss_ar")
 def gloss_ar(spark: SparkSession, sf: str) -> DataFrame:
-    rows = load(spark, sf, "contract_clauses").where("text_ar IS NOT NULL")
+    rows = load(spark, sf, "contract_clauses", heavy=True).where("text_ar IS NOT NULL")
     gloss = normalise_english(cd.gloss_arabic(F.col("text_ar")), with_nfkc=False)
     return rows.select("contract_id", "clause", gloss.alias("gloss"))
 
@@ -122,7 +122,7 @@ def gloss_ar(spark: SparkSession, sf: str) -> DataFrame:
 SELECT doc_id, CAST(len(p) AS INTEGER) AS n, sha256(array_to_string(p, '|')) AS joined FROM s""",
 )
 def sentences(spark: SparkSession, sf: str) -> DataFrame:
-    docs = load(spark, sf, "documents")
+    docs = load(spark, sf, "documents", heavy=True)
     low = F.trim(F.regexp_replace(F.lower("text"), r"\s+", " "))
     # The oracle has no lookbehind, so texts that need it are left to the unit tests.
     docs = docs.where(~F.lower("text").rlike(r"\b(art|arts|no|cl)[.;!?]"))
@@ -146,7 +146,7 @@ _QTY = {
     )),
 )
 def quantities_query(spark: SparkSession, sf: str) -> DataFrame:
-    rows = load(spark, sf, "contract_clauses").where("text_en <> ''")
+    rows = load(spark, sf, "contract_clauses", heavy=True).where("text_en <> ''")
     found = quantities(normalise_english(F.col("text_en")))
     out = rows.select("contract_id", "clause", F.posexplode(found).alias("i", "q"))
     return out.select("contract_id", "clause", (F.col("i") + 1).alias("qno"), "q.value", "q.unit")
@@ -154,6 +154,6 @@ def quantities_query(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("percentages", oracle(V, NUMS + "SELECT contract_id, clause, CAST(p AS DOUBLE) AS pct FROM cc WHERE lib=8"))
 def percentages_query(spark: SparkSession, sf: str) -> DataFrame:
-    rows = load(spark, sf, "contract_clauses").where("text_en <> ''")
+    rows = load(spark, sf, "contract_clauses", heavy=True).where("text_en <> ''")
     found = percentages(normalise_english(F.col("text_en")))
     return rows.select("contract_id", "clause", F.explode(found).alias("pct"))

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pactum.session import table
+from pactum.session import spread, table
 
 # name -> (driver tables, view names it reads, sql(dialect))
 _VIEWS: dict[str, tuple[tuple[str, ...], tuple[str, ...], Callable[[str], str]]] = {}
@@ -24,12 +24,16 @@ def view(name: str, tables: tuple[str, ...], uses: tuple[str, ...] = ()):
     return register
 
 
-def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The view as a lazy DataFrame (a driver table when no view has that name)."""
+def load(spark: SparkSession, sf_dir: str, name: str, heavy: bool = False) -> DataFrame:
+    """The view as a lazy DataFrame (a driver table when no view has that name).
+
+    ``heavy``: the work on the view is CPU-bound, so its scans use every core.
+    """
     if name not in _VIEWS:
-        return table(spark, sf_dir, name)
+        df = table(spark, sf_dir, name)
+        return spread(df) if heavy else df
     tables, uses, fn = _VIEWS[name]
-    inputs = {t: load(spark, sf_dir, t) for t in (*tables, *uses)}
+    inputs = {t: load(spark, sf_dir, t, heavy) for t in (*tables, *uses)}
     sql = fn("spark")
     for t in inputs:
         sql = sql.replace(f"@{t}@", "{" + t + "}")
@@ -238,6 +242,11 @@ def _contract_clauses(d: str) -> str:
     filled = _filled("en", s)
     if d == "spark":
         filled = filled.replace("{", "{{").replace("}", "}}")
+    picks = (
+        "SELECT o_orderkey, explode(array(1,2,3,4,5)) AS j FROM @orders@"
+        if d == "spark"
+        else "SELECT o_orderkey, j FROM @orders@, (VALUES (1),(2),(3),(4),(5)) c(j)"
+    )
     return f"""SELECT o_orderkey AS contract_id, concat('15.', CAST(j AS {s})) AS clause, CAST(lib AS INT) AS lib, {filled} AS text_en, CAST(ar AS {s}) AS text_ar,
  CAST(CASE o_orderkey%6 WHEN 0 THEN 0 WHEN 1 THEN 90 WHEN 2 THEN 180 WHEN 3 THEN 210 WHEN 4 THEN 60 END AS INT) AS probation_days
-FROM (SELECT o_orderkey, j FROM @orders@, (VALUES (1),(2),(3),(4),(5)) c(j)) x JOIN (VALUES {rows}) l(lib, en, ar) ON (o_orderkey*7+j*3)%{len(LIBRARY)} = lib"""
+FROM ({picks}) x JOIN (VALUES {rows}) l(lib, en, ar) ON (o_orderkey*7+j*3)%{len(LIBRARY)} = lib"""
