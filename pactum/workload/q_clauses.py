@@ -117,13 +117,13 @@ def gloss_ar(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "sentences",
-    """WITH s AS (SELECT doc_id, [x FOR x IN [trim(y) FOR y IN regexp_split_to_array(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), '[.;!?]+(?:\\s+|$)')] IF x<>''] p FROM documents
+    """WITH s AS (SELECT doc_id, [x FOR x IN [trim(y) FOR y IN regexp_split_to_array(trim(regexp_replace(text, '\\s+', ' ', 'g')), '[.;!?]+(?:\\s+|$)')] IF x<>''] p FROM documents
  WHERE NOT regexp_matches(lower(text), '\\b(art|arts|no|cl)[.;!?]'))
 SELECT doc_id, CAST(len(p) AS INTEGER) AS n, sha256(array_to_string(p, '|')) AS joined FROM s""",
 )
 def sentences(spark: SparkSession, sf: str) -> DataFrame:
     docs = load(spark, sf, "documents", heavy=True)
-    low = F.trim(F.regexp_replace(F.lower("text"), r"\s+", " "))
+    low = F.trim(F.regexp_replace("text", r"\s+", " "))
     # The oracle has no lookbehind, so texts that need it are left to the unit tests.
     docs = docs.where(~F.lower("text").rlike(r"\b(art|arts|no|cl)[.;!?]"))
     s = docs.select("doc_id", split_sentences(low).alias("p"))
