@@ -155,7 +155,7 @@ def header_key_text(header: str) -> str:
 def split_sentences(text: Column) -> Column:
     """Sentences of normalised text; "art." and "no." do not end one."""
     parts = F.split(text, r"(?<!\b(?:art|arts|no|cl))[.;!?]+(?:\s+|\z)")
-    return F.filter(F.transform(parts, F.trim), lambda s: s != "")
+    return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s != "")
 
 
 def is_arabic(text: Column) -> Column:

@@ -136,7 +136,7 @@ def extract_json(text: Column) -> Column:
     trimmed = F.trim(text)
     whole = F.when(trimmed.startswith("{") & _parses(trimmed), trimmed)
     fences = F.transform(
-        F.regexp_extract_all(trimmed, F.lit(r"```[a-zA-Z]*\s*\n?([\s\S]*?)```"), F.lit(1)), F.trim
+        F.regexp_extract_all(trimmed, F.lit(r"```[a-zA-Z]*\s*\n?([\s\S]*?)```"), F.lit(1)), lambda f: F.trim(f)
     )
     fenced = F.try_element_at(
         F.filter(fences, lambda f: f.startswith("{") & _parses(f)), F.lit(1)
