@@ -289,7 +289,7 @@ def _finding_columns(verdict: Column, explanation: Column, related: Column, sour
 
 def clause_findings(analysed: DataFrame, rules: RuleSet) -> DataFrame:
     """Matches to findings: the first per clause and rule. Map-only; the rules are broadcast."""
-    rule = F.broadcast(rules.candidates().df(analysed.sparkSession)).alias("rule")
+    rule = rules.candidates().packed(analysed.sparkSession)
     # Detectors give at most one match per rule; other analysers may repeat one.
     ids = F.transform("matches", lambda m: m["rule_id"])
     rows = match_rows(analysed.withColumn("_ids", ids), "contract_id", "clause", "_ids")
@@ -316,7 +316,7 @@ def _order_key(clause: Column, index: Column) -> Column:
 
 def conflict_findings(conflicts: DataFrame, rules: RuleSet) -> DataFrame:
     """Conflicts to findings: one per rule and clause, with the clause it contradicts."""
-    rule = F.broadcast(rules.df(conflicts.sparkSession)).alias("rule")
+    rule = rules.packed(conflicts.sparkSession)
     unique = conflicts.dropDuplicates(["contract_id", "rule_id", "clause"])
     joined = unique.select(
         "contract_id", "clause", "rule_id", "template_clause", "severity", "confidence",

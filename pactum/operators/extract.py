@@ -150,7 +150,7 @@ def _labels(lines: Column) -> Column:
         head = F.transform(
             F.slice(lines, i + 1, last - i + 1), lambda x: F.slice(x["en"], F.lit(2), F.greatest(F.size(x["en"]), F.lit(1)))
         )
-        rightmost = F.try_element_at(line["ar"], F.size(line["ar"]))
+        rightmost = F.get(line["ar"], F.size(line["ar"]) - 1)
         ar_label = F.when(
             (F.size(line["ar"]) > 0) & ((F.size(line["ar"]) >= 2) | rightmost["text"].contains(":")), rightmost
         )
@@ -419,7 +419,7 @@ def section15_clauses() -> Column:
         return F.array(F.struct(number.alias("number"), parts.alias("parts")))
 
     def step(acc: Column, line: Column) -> Column:
-        last = F.try_element_at(acc, F.size(acc))
+        last = F.get(acc, F.size(acc) - 1)
         before = F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))
         no_parts = F.array().cast("array<string>")
         known = F.exists(acc, lambda x: x["number"] == line["ar_number"])
@@ -473,7 +473,7 @@ def arabic_regions(docs: DataFrame) -> DataFrame:
         {
             "heading": F.try_element_at("lines", F.col("s.start") + 1),
             "following": F.try_element_at("lines", F.col("s.end") + 1),
-            "final": F.try_element_at("lines", F.size("lines")),
+            "final": F.get("lines", F.size("lines") - 1),
         }
     )
     last = F.coalesce("following.page", "final.page")

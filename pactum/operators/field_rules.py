@@ -270,7 +270,7 @@ def field_findings(
             )
     pairs = [F.struct(F.lit(i).alias("rule_id"), o.alias("outcome")) for i, o in entries]
     rows = fields.select("contract_id", F.inline(F.array(*pairs))).where("outcome IS NOT NULL")
-    rule = F.broadcast(rules.df(fields.sparkSession)).alias("rule")
+    rule = rules.packed(fields.sparkSession)
     verdict = F.col("outcome.verdict")
     clause = F.lit(None).cast("string")
     for rule_id, number in TEMPLATE_CLAUSE.items():

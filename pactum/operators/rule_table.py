@@ -282,6 +282,10 @@ class RuleSet:
     def df(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(self.rows(), RULE_SCHEMA)
 
+    def packed(self, spark: SparkSession) -> DataFrame:
+        """One struct column ``rule``, for a broadcast join (at most ``MAX_RULES`` rows)."""
+        return F.broadcast(self.df(spark).select(F.struct("*").alias("rule")))
+
     def candidates(self) -> "RuleSet":
         """Rules a Section 15 clause can match."""
         keep = tuple(

@@ -74,8 +74,10 @@ def _contract_words(d: str) -> str:
 
 
 V = ("contract_cells",)
+# Arabic cells are printed 2 pt below their row.
+LOW = ",".join(str(i) for i, c in enumerate(CELLS) if c[2] == 400)
 # Every row of the layout: cells of one page whose tops lie within 3 pt.
-_ROWS = ", r AS (SELECT *, CASE WHEN cell IN (SELECT 4 UNION ALL SELECT 41) THEN y_min-2 ELSE y_min END row_y FROM contract_cells), ln AS (SELECT doc_id, page, row_y, string_agg(text, ' ' ORDER BY x) row_text, string_agg(text, ' ' ORDER BY x) FILTER (WHERE x<297.5) en_text, string_agg(text, ' ' ORDER BY x) FILTER (WHERE x>=297.5) ar_text, CAST(count(*) AS BIGINT) n, row_y>=782 footer FROM r GROUP BY 1,2,3)\n, l AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page, row_y)-1 AS i FROM ln WHERE NOT footer)\n"
+_ROWS = f", r AS (SELECT *, CASE WHEN cell IN ({LOW}) THEN y_min-2 ELSE y_min END row_y FROM contract_cells), ln AS (SELECT doc_id, page, row_y, string_agg(text, ' ' ORDER BY x) row_text, string_agg(text, ' ' ORDER BY x) FILTER (WHERE x<297.5) en_text, string_agg(text, ' ' ORDER BY x) FILTER (WHERE x>=297.5) ar_text, CAST(count(*) AS BIGINT) n, row_y>=782 footer FROM r GROUP BY 1,2,3)\n, l AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page, row_y)-1 AS i FROM ln WHERE NOT footer)\n"
 
 
 def text_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -90,7 +92,7 @@ def extracted(spark: SparkSession, sf: str) -> DataFrame:
     return extract.extract_fields(docs(spark, sf))
 
 
-@query("layout_rows", oracle(("contract_words",), ", w AS (SELECT *, CASE WHEN cell IN (4,41) THEN y_min-2 ELSE y_min END row_y FROM contract_words) SELECT doc_id, page, row_y, CAST(count(*) AS BIGINT) AS words FROM w GROUP BY 1,2,3"))
+@query("layout_rows", oracle(("contract_words",), f", w AS (SELECT *, CASE WHEN cell IN ({LOW}) THEN y_min-2 ELSE y_min END row_y FROM contract_words) SELECT doc_id, page, row_y, CAST(count(*) AS BIGINT) AS words FROM w GROUP BY 1,2,3"))
 def layout_rows(spark: SparkSession, sf: str) -> DataFrame:
     rows = layout.with_rows(load(spark, sf, "contract_words"))
     return rows.groupBy("doc_id", "page", "row_y").agg(F.count(F.lit(1)).alias("words"))
