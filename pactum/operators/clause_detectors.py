@@ -505,6 +505,9 @@ CLAUSE_DETECTORS: dict[str, Detector] = {
 }
 
 
+DETECTORS_PER_STEP = 3
+
+
 def analyse_clauses(
     clauses: DataFrame, rules: RuleSet, detectors: Mapping[str, Detector] = CLAUSE_DETECTORS
 ) -> DataFrame:
@@ -521,8 +524,13 @@ def analyse_clauses(
         found = detectors[rule["id"]]()
         articles = F.array(*[F.lit(a) for a in rule["articles"]]).cast("array<string>")
         matches.append((rule["id"], found, articles))
-    # Detections become columns first, so each is computed once per clause.
-    read = read.withColumns({f"_d{i}": m[1] for i, m in enumerate(matches)})
+    # Detections become columns first, so each is computed once per clause. A few at a time,
+    # each group in its own operator: one projection of all would be too large a method to be
+    # compiled well.
+    for start in range(0, len(matches), DETECTORS_PER_STEP):
+        group = matches[start : start + DETECTORS_PER_STEP]
+        step = F.struct(*[m[1].alias(f"_d{start + i}") for i, m in enumerate(group)])
+        read = read.select("*", F.inline(F.array(step)))
     packed = []
     for i, (rule_id, _, articles) in enumerate(matches):
         d = F.col(f"_d{i}")

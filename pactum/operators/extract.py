@@ -98,10 +98,12 @@ def _join_lines(lines: Column) -> Column:
 
 def label_values() -> Column:
     """``array<struct<label, value, value_ar, page, line_no>>`` of a document."""
-    return let(F.col("lines"), _labels)
+    return let(
+        F.col("lines"), lambda lines: let(_wrap_flags(lines), lambda wraps: _labels(lines, wraps))
+    )
 
 
-def _labels(lines: Column) -> Column:
+def _labels(lines: Column, wraps: Column) -> Column:
     def at(i: Column) -> Column:
         return F.try_element_at(lines, i + 1)
 
@@ -131,22 +133,15 @@ def _labels(lines: Column) -> Column:
     def value(start: Column) -> Column:
         line, i, last = at(start["i"]), start["i"], start["last"]
         left = _first(line)["x_min"]
-        rest = F.slice(lines, last + 2, F.size(lines))
-        # How many following lines continue the value: stop at the first that does not.
-        zero = F.struct(at(last)["row_y"].alias("row_y"), at(last)["page"].alias("page"), F.lit(0).alias("n"), F.lit(True).alias("open"))
-
-        def step(acc: Column, nxt: Column) -> Column:
-            own = F.coalesce(_first(nxt)["x_min"] < left + LABEL_INDENT_PT, F.lit(False))
-            go = acc["open"] & _wraps(acc, nxt) & ~own
-            return F.struct(
-                F.when(go, nxt["row_y"]).otherwise(acc["row_y"]).alias("row_y"),
-                acc["page"].alias("page"),
-                F.when(go, acc["n"] + 1).otherwise(acc["n"]).alias("n"),
-                go.alias("open"),
-            )
-
-        count = F.aggregate(rest, zero, step)["n"]
-        more = F.slice(rest, F.lit(1), count)
+        # Lines that follow without a break, up to the first that starts at the label's edge.
+        following = F.slice(wraps, last + 2, F.size(lines))
+        stop = F.array_position(following, F.lit(False)).cast("int")
+        run = F.slice(lines, last + 2, F.when(stop == 0, F.size(following)).otherwise(stop - 1))
+        own = F.transform(
+            run, lambda x: F.coalesce(_first(x)["x_min"] < left + LABEL_INDENT_PT, F.lit(False))
+        )
+        at_edge = F.array_position(own, F.lit(True)).cast("int")
+        more = F.slice(run, F.lit(1), F.when(at_edge == 0, F.size(run)).otherwise(at_edge - 1))
         head = F.transform(
             F.slice(lines, i + 1, last - i + 1), lambda x: F.slice(x["en"], F.lit(2), F.greatest(F.size(x["en"]), F.lit(1)))
         )
@@ -177,6 +172,13 @@ def _labels(lines: Column) -> Column:
     return F.transform(starts, value)
 
 
+def _wrap_flags(lines: Column) -> Column:
+    """Whether each line continues the one before it."""
+    return F.transform(
+        lines, lambda x, i: F.when(i > 0, _wraps(F.get(lines, i - 1), x)).otherwise(F.lit(False))
+    )
+
+
 def _within(key: str) -> Column:
     return let(
         section(key),
