@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pactum.llm import mixing, packing, quality_rules, toxicity, url_filter, warc
+from pactum.llm import minhash, mixing, packing, quality_rules, toxicity, url_filter, warc
 from pactum.session import table
 
 
@@ -38,6 +38,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents"))
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_packing": op2_packing,
@@ -45,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_warc": op4_warc,
     "op5_quality_rules": op5_quality_rules,
     "op8_mixing": op8_mixing,
+    "op9_minhash": op9_minhash,
 }
 
 ORACLES: dict[str, str] = {
