@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pactum.llm import minhash, mixing, packing, quality_rules, toxicity, url_filter, warc
+from pactum.llm import minhash, mixing, packing, quality_rules, toxicity, url_filter, vector_dedup, warc
 from pactum.session import table
 
 
@@ -34,6 +34,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_warc": op4_warc,
     "op5_quality_rules": op5_quality_rules,
+    "op6_vector_dedup": op6_vector_dedup,
     "op8_mixing": op8_mixing,
     "op9_minhash": op9_minhash,
 }
