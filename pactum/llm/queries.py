@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pactum.llm import minhash, mixing, packing, quality_rules, toxicity, url_filter, vector_dedup, warc
+from pactum.llm import line_dedup, minhash, mixing, packing, quality_rules, toxicity, url_filter, vector_dedup, warc
 from pactum.session import table
 
 
@@ -38,6 +38,10 @@ def op6_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_warc": op4_warc,
     "op5_quality_rules": op5_quality_rules,
     "op6_vector_dedup": op6_vector_dedup,
+    "op7_line_dedup": op7_line_dedup,
     "op8_mixing": op8_mixing,
     "op9_minhash": op9_minhash,
 }
