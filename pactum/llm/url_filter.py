@@ -151,15 +151,18 @@ def threshold(scored: DataFrame) -> DataFrame:
     """One row: the least score to allow, which decides most labelled URLs rightly.
 
     scored has (score, accepted, n). Scores are counted in thousandths, which the alphabet and the
-    smoothing bound to some ten thousand values; on a tie the value next to 0 is taken.
+    smoothing bound to some ten thousand values. A threshold lies half-way between two scores that occur;
+    on a tie the one next to 0 is taken.
     """
     bins = scored.groupBy(F.round(F.col("score") * 1000).cast("long").alias("bin")).agg(
         F.sum(F.when(F.col("accepted"), F.col("n")).otherwise(0)).alias("yes"),
         F.sum(F.when(F.col("accepted"), 0).otherwise(F.col("n"))).alias("no"),
     )
     right = F.sum("yes").over(Window.orderBy(F.col("bin").desc())) + F.sum("no").over(Window.orderBy("bin")) - F.col("no")
-    return bins.withColumn("right", right).agg(
-        F.coalesce(F.min_by("bin", F.struct(-F.col("right"), F.abs("bin"), "bin")), F.lit(0).cast("long")).alias("threshold")
+    lower = F.lag("bin").over(Window.orderBy("bin"))
+    cut = F.ceil((F.col("bin") + F.coalesce(lower, F.col("bin"))) / 2).cast("long")
+    return bins.select(right.alias("right"), cut.alias("cut")).agg(
+        F.coalesce(F.min_by("cut", F.struct(-F.col("right"), F.abs("cut"), "cut")), F.lit(0).cast("long")).alias("threshold")
     )
 
 
@@ -250,7 +253,8 @@ bins AS (
   SELECT round(score * 1000)::BIGINT AS bin, sum(CASE WHEN accepted THEN n ELSE 0 END) AS yes,
     sum(CASE WHEN accepted THEN 0 ELSE n END) AS no
   FROM urls JOIN scores USING (url) WHERE accepted IS NOT NULL AND held_out GROUP BY 1),
-cuts AS (SELECT bin, sum(yes) OVER (ORDER BY bin DESC) + sum(no) OVER (ORDER BY bin) - no AS correct FROM bins),
+cuts AS (SELECT ceil((bin + coalesce(lag(bin) OVER (ORDER BY bin), bin)) / 2.0::DOUBLE)::BIGINT AS bin, sum(yes) OVER (ORDER BY bin DESC) + sum(no) OVER (ORDER BY bin) - no AS correct
+  FROM bins),
 cut AS (SELECT coalesce((SELECT bin FROM cuts ORDER BY correct DESC, abs(bin), bin LIMIT 1), 0) AS bin)
 SELECT page_id, host, path, rule,
   coalesce(said, CASE WHEN round(coalesce(score, 0) * 1000)::BIGINT >= (SELECT bin FROM cut) THEN 'allow' ELSE 'block' END) AS verdict,
