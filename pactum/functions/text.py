@@ -63,10 +63,6 @@ def collapse(text: Column) -> Column:
     return F.trim(one)
 
 
-def digits_to_latin(text: Column) -> Column:
-    return F.translate(text, ARABIC_DIGITS, LATIN_DIGITS)
-
-
 def latin_digits(text: Column) -> Column:
     """Arabic-Indic digits as 0-9 and the Arabic decimal sign as a point."""
     return F.translate(text, ARABIC_DIGITS + "\u066b", LATIN_DIGITS + ".")

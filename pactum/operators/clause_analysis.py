@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from pactum.operators.clause_detectors import MATCH_TYPE, PARAMS_TYPE, match_rows
 from pactum.operators.messages import finding_texts
 from pactum.operators.rule_table import RuleSet
 from pactum.operators.verdicts import REVIEW_RULE_ID, is_problem
+from pactum.session import cut_lineage
 
 # Fixed values.
-KEY_COLUMNS = ("text_hash", "law_version", "ruleset_version", "prompt_version", "model")
 MAX_ERROR_LENGTH = 600
 REVIEW_TEXTS = {
     "clause": (
@@ -49,11 +52,6 @@ def with_text(clauses: DataFrame) -> DataFrame:
     )
 
 
-def search_text(text_en: Column, text_ar: Column) -> Column:
-    filled = lambda c: F.when(c != "", c)
-    return F.concat_ws("\n", filled(text_en), filled(text_ar))
-
-
 def _json_string(value: Column) -> Column:
     inner = F.to_json(F.array(value))
     return F.when(value.isNull(), "null").otherwise(
@@ -78,17 +76,29 @@ def with_cache_key(
     )
 
 
+def _shaped(m: Column) -> Column:
+    return F.coalesce(
+        m["ruleId"].isNotNull()
+        & m["verdict"].isin(*VERDICTS)
+        & m["severity"].isin(*SEVERITIES)
+        & m["confidence"].isin(*CONFIDENCES)
+        & m["articles"].isNotNull()
+        & (F.length(m["explanation"]) > 0),
+        F.lit(False),
+    )
+
+
 def valid_hits(clauses: DataFrame, cache: DataFrame, rules: RuleSet) -> DataFrame:
     """Adds ``cached``: the stored matches, or null when absent or no longer valid.
 
-    ``cache``: ``cache_key, result`` (JSON), one row per key. A hit counts only when every rule
-    id in it is still a candidate.
+    ``cache``: ``cache_key, result`` (JSON), one row per key. A hit counts only when every match in it
+    has the reply's shape and its rule is still a candidate.
     """
     ids = F.array(*[F.lit(r["id"]) for r in rules.candidates().rules])
     parsed = F.from_json("result", REPLY_TYPE)
     usable = F.when(
         parsed["matches"].isNotNull()
-        & F.forall(parsed["matches"], lambda m: F.array_contains(ids, m["ruleId"])),
+        & F.forall(parsed["matches"], lambda m: _shaped(m) & F.array_contains(ids, m["ruleId"])),
         parsed["matches"],
     )
     stored = cache.select("cache_key", usable.alias("cached")).where("cached IS NOT NULL")
@@ -109,46 +119,90 @@ def distinct_misses(keyed: DataFrame) -> DataFrame:
 Analyser = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 
 
+def _guarded(analyser: Analyser) -> Analyser:
+    """A plug-in that throws is asked row by row; a row that throws again has a null reply."""
+
+    def plain(reply: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({c: pd.Series(list(reply[c]), dtype=object) for c in ("cache_key", "reply")})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            try:
+                yield from [plain(r) for r in analyser(iter([batch]))]
+            except Exception:  # noqa: BLE001  any failure of a plug-in is an invalid reply
+                for k in range(len(batch)):
+                    row = batch.iloc[k : k + 1].reset_index(drop=True)
+                    try:
+                        yield from [plain(r) for r in analyser(iter([row]))]
+                    except Exception:  # noqa: BLE001
+                        yield plain(pd.DataFrame({"cache_key": row["cache_key"], "reply": [None]}))
+
+    return run
+
+
+def _asked(misses: DataFrame, analyser: Analyser) -> DataFrame:
+    """``cache_key, reply`` of every key asked, written once; a key without an answer has a null reply."""
+    replies = misses.mapInPandas(_guarded(analyser), "cache_key string, reply string")
+    # The least reply counts where a plug-in answers a key twice.
+    one = replies.groupBy("cache_key").agg(F.min("reply").alias("reply"))
+    return cut_lineage(misses.select("cache_key").join(one, "cache_key", "left"))
+
+
 def run_analyser(
     misses: DataFrame, analyser: Analyser, rules: RuleSet, citations: list[str] | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Runs a plug-in over the distinct misses, checks its replies, retries rejects once.
 
     ``analyser`` is a ``mapInPandas`` function: it gets the miss columns and ``previous_error``
-    and gives ``cache_key, reply`` (JSON text). Results are ``(accepted, rejected)``; the first
-    pass is written to the shared checkpoint folder so that no reply is asked for twice.
+    and gives ``cache_key, reply`` (JSON text). Results are ``(accepted, rejected)``, and every key is in
+    one of them: an unanswered key and a call that throws are invalid replies. Replies are written to
+    the shared checkpoint folder so that none is asked for twice.
     """
-    from pactum.session import cut_lineage
-
-    asked = misses.withColumn("previous_error", F.lit(None).cast("string"))
-    first = cut_lineage(asked.mapInPandas(analyser, "cache_key string, reply string"))
+    first = _asked(misses.withColumn("previous_error", F.lit(None).cast("string")), analyser)
     checked = check_replies(first, rules, citations)
     failed = checked.where("error IS NOT NULL").select("cache_key", F.col("error").alias("previous_error"))
-    again = misses.join(failed, "cache_key")
-    second = cut_lineage(again.mapInPandas(analyser, "cache_key string, reply string"))
+    second = _asked(misses.join(failed, "cache_key"), analyser)
     retried = check_replies(second, rules, citations)
     everything = checked.where("error IS NULL").unionByName(retried)
     return everything.where("error IS NULL").drop("error"), everything.where("error IS NOT NULL")
 
 
-def extract_json(text: Column) -> Column:
-    """The JSON object in a reply: the whole text, else a fenced block, else outer braces."""
-    trimmed = F.trim(text)
-    whole = F.when(trimmed.startswith("{") & _parses(trimmed), trimmed)
-    fences = F.transform(
-        F.regexp_extract_all(trimmed, F.lit(r"```[a-zA-Z]*\s*\n?([\s\S]*?)```"), F.lit(1)), lambda f: F.trim(f)
-    )
-    fenced = F.try_element_at(
-        F.filter(fences, lambda f: f.startswith("{") & _parses(f)), F.lit(1)
-    )
-    # Candidates start at any brace; the shortest text from there that parses is the object.
-    starts = F.regexp_extract_all(trimmed, F.lit(r"(?=(\{[\s\S]*\}))"), F.lit(1))
-    loose = F.try_element_at(F.filter(starts, _parses), F.lit(1))
-    return F.coalesce(whole, fenced, loose)
+def _no_constant(name: str):
+    raise ValueError(name)
+
+
+_DECODER = json.JSONDecoder(parse_constant=_no_constant)
+_FENCE = re.compile(r"```[a-zA-Z]*\s*\n?([\s\S]*?)```")
+
 
+def json_object(reply: str | None) -> str | None:
+    """The JSON object in a reply: the whole text, else a fenced block, else the first that any brace opens."""
 
-def _parses(text: Column) -> Column:
-    return F.get_json_object(text, "$").isNotNull()
+    def whole(text: str) -> bool:
+        try:
+            return text.startswith("{") and isinstance(json.loads(text, parse_constant=_no_constant), dict)
+        except ValueError:
+            return False
+
+    if reply is None:
+        return None
+    text = reply.strip()
+    for candidate in (text, *(f.strip() for f in _FENCE.findall(text))):
+        if whole(candidate):
+            return candidate
+    at = text.find("{")
+    while at >= 0:
+        try:
+            return text[at : _DECODER.raw_decode(text, at)[1]]
+        except (ValueError, RecursionError):
+            at = text.find("{", at + 1)
+    return None
+
+
+@F.pandas_udf(StringType())
+def extract_json(replies: pd.Series) -> pd.Series:
+    """:func:`json_object` of each reply; replies come from a Python plug-in, batch by batch."""
+    return replies.map(json_object)
 
 
 def check_replies(
@@ -163,17 +217,6 @@ def check_replies(
     df = replies.withColumn("parsed", parsed)
     found = F.col("parsed.matches")
 
-    def shaped(m: Column) -> Column:
-        return F.coalesce(
-            m["ruleId"].isNotNull()
-            & m["verdict"].isin(*VERDICTS)
-            & m["severity"].isin(*SEVERITIES)
-            & m["confidence"].isin(*CONFIDENCES)
-            & m["articles"].isNotNull()
-            & (F.length(m["explanation"]) > 0),
-            F.lit(False),
-        )
-
     def problems_of(m: Column) -> Column:
         rule = F.when(
             ~F.array_contains(ids, m["ruleId"]),
@@ -188,7 +231,7 @@ def check_replies(
         )
         return F.concat(F.array_compact(F.array(rule)), cited)
 
-    valid = F.col("parsed.clause").isNotNull() & found.isNotNull() & F.forall(found, shaped)
+    valid = F.col("parsed.clause").isNotNull() & found.isNotNull() & F.forall(found, _shaped)
     text = F.array_join(F.flatten(F.transform(found, problems_of)), " ")
     error = F.when(
         ~F.coalesce(valid, F.lit(False)), "The reply does not match the expected schema."

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,17 +11,20 @@ from pactum.functions.quantities import let
 from pactum.functions.text import normalise_search
 
 # Word lists, prefixes and weights.
-STOPWORDS = (
-    "a an and are as at be by for from has have he his if in is it its may of on or shall such "
-    "that the their them they this to was which will with any all not no other upon than these "
-    "those been were can must each "
-    "في من علي الي عن ان او ما لا هذا هذه ذلك التي الذي مع قد اذا كان"
-).split()
+STOPWORDS = [
+    "a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "have",
+    "he", "his", "if", "in", "is", "it", "its", "may", "of", "on", "or", "shall",
+    "such", "that", "the", "their", "them", "they", "this", "to", "was", "which", "will", "with",
+    "any", "all", "not", "no", "other", "upon", "than", "these", "those", "been", "were", "can",
+    "must", "each", "في", "من", "علي", "الي", "عن", "ان", "او", "ما", "لا", "هذا",
+    "هذه", "ذلك", "التي", "الذي", "مع", "قد", "اذا", "كان",
+]
 ARTICLE_PREFIXES = ("وال", "بال", "كال", "فال", "ولل", "لل", "ال")
-COMMON_WORDS = (
-    "employer employee worker contract employment work law article provision "
-    "عامل صاحب عمل عقد نظام ماده طرف طرفين"
-).split()
+COMMON_WORDS = [
+    "employer", "employee", "worker", "contract", "employment", "work", "law", "article",
+    "provision", "عامل", "صاحب", "عمل", "عقد", "نظام", "ماده", "طرف",
+    "طرفين",
+]
 NGRAM = 3
 WORD_WEIGHT, COMMON_WEIGHT, NGRAM_WEIGHT = 1.0, 0.25, 0.4
 DIM = 256
@@ -33,8 +38,8 @@ HEADINGS = {
     ),
     "qiwa_template": ("Contract clause ", "البند "),
 }
-# Vectors of one corpus part travel to every task; larger corpora are searched part by part.
-CORPUS_PART_ROWS = 10_000
+# Blocks into which queries and corpus are cut; a task scores one block of each.
+QUERY_BLOCKS, CORPUS_BLOCKS = 16, 16
 
 
 def _list(words) -> Column:
@@ -84,14 +89,18 @@ def features(texts: DataFrame, *keys: str) -> DataFrame:
 
 
 def fnv1a(text: Column) -> Column:
-    """32-bit FNV-1a over code units."""
-    return F.aggregate(
-        F.split(text, ""),
-        F.lit(FNV_OFFSET).cast("bigint"),
-        lambda h, c: F.when(c == "", h).otherwise(
-            (h.bitwiseXOR(F.ascii(c).cast("bigint")) * F.lit(FNV_PRIME)).bitwiseAND(F.lit(U32))
-        ),
-    )
+    """32-bit FNV-1a over UTF-16 code units: a character beyond the first plane counts as its two surrogates."""
+
+    def step(h: Column, unit: Column) -> Column:
+        return (h.bitwiseXOR(unit) * F.lit(FNV_PRIME)).bitwiseAND(F.lit(U32))
+
+    def steps(h: Column, c: Column) -> Column:
+        code = F.ascii(c).cast("bigint")
+        above = code - 0x10000
+        high, low = F.lit(0xD800) + F.shiftright(above, 10), F.lit(0xDC00) + above.bitwiseAND(F.lit(0x3FF))
+        return F.when(c == "", h).when(code < 0x10000, step(h, code)).otherwise(step(step(h, high), low))
+
+    return F.aggregate(F.split(text, ""), F.lit(FNV_OFFSET).cast("bigint"), steps)
 
 
 def hash_embed(texts: DataFrame, *keys: str, dim: int = DIM) -> DataFrame:
@@ -154,44 +163,44 @@ def dot(a: Column, b: Column) -> Column:
     )
 
 
-def search(queries: DataFrame, corpus: DataFrame, k: int, part_rows: int = CORPUS_PART_ROWS) -> DataFrame:
+def search(
+    queries: DataFrame, corpus: DataFrame, k: int, query_blocks: int = QUERY_BLOCKS, corpus_blocks: int = CORPUS_BLOCKS
+) -> DataFrame:
     """Exact top-k by cosine: ``query_id, rank, id, score``; only scores above 0.
 
-    ``queries``: ``query_id, vector``; ``corpus``: ``id, corpus_order, vector``; unit vectors.
-    The corpus is counted first. Up to ``part_rows`` vectors ride along as one value and the
-    scores are ranked inside the query's own row; a larger corpus is cut into parts, and each
-    query's best k of every part are merged. No pair is ever a row.
+    ``queries``: ``query_id, vector``; ``corpus``: ``id, corpus_order, vector``; unit vectors. Both
+    sides are cut into blocks by a hash and meet block by block, so a task scores one block of
+    queries against one of the corpus and keeps k rows per query; these are merged per query. The
+    numbers of blocks are parameters: at n vectors a task holds n / blocks of them.
     """
-    total = corpus.count()
-    parts = max(1, -(-total // part_rows))
-    entry = F.struct("corpus_order", "id", "vector")
-    found = None
-    for part in range(parts):
-        rows = corpus if parts == 1 else corpus.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == part)
-        packed = rows.agg(F.collect_list(entry).alias("c")).scalar()
-
-        def score(query: Column) -> Column:
-            return F.transform(
-                F.col("_corpus"),
-                lambda c: F.struct(
-                    (-dot(c["vector"], query)).alias("neg"),
-                    c["corpus_order"].alias("corpus_order"),
-                    c["id"].alias("id"),
-                ),
-            )
-
-        scored = let(F.col("vector"), score)
-        best = F.slice(F.sort_array(F.filter(scored, lambda s: s["neg"] < 0)), 1, k)
-        here = queries.withColumn("_corpus", packed).select("query_id", best.alias("best"))
-        found = here if found is None else found.unionByName(here)
-    if parts > 1:
-        merged = F.slice(F.sort_array(F.flatten(F.collect_list("best"))), 1, k)
-        found = found.groupBy("query_id").agg(merged.alias("best"))
-    rows = found.select("query_id", F.posexplode("best").alias("i", "b"))
-    return rows.select(
-        "query_id", (F.col("i") + 1).alias("rank"), F.col("b.id").alias("id"),
-        (-F.col("b.neg")).alias("score"),
+    block = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    left = queries.select(
+        "query_id", F.col("vector").cast("array<double>").alias("vector"), block("query_id", query_blocks).alias("qb"),
+        F.explode(F.sequence(F.lit(0), F.lit(corpus_blocks - 1))).alias("cb"),
+    )
+    right = corpus.select(
+        "id", "corpus_order", F.col("vector").cast("array<double>").alias("vector"), block("id", corpus_blocks).alias("cb"),
+        F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"),
     )
+    types = {f.name: f.dataType.simpleString() for f in (*left.schema, *right.schema)}
+    schema = f"query_id {types['query_id']}, id {types['id']}, corpus_order {types['corpus_order']}, score double"
+
+    def best(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        if asked.empty or held.empty:
+            return pd.DataFrame({"query_id": [], "id": [], "corpus_order": [], "score": []})
+        held = held.sort_values(["corpus_order", "id"], kind="stable", ignore_index=True)
+        scores = np.stack(asked["vector"].to_numpy()) @ np.stack(held["vector"].to_numpy()).T
+        top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+        row = np.repeat(np.arange(len(asked)), top.shape[1])
+        found = pd.DataFrame({
+            "query_id": asked["query_id"].to_numpy()[row], "id": held["id"].to_numpy()[top.ravel()],
+            "corpus_order": held["corpus_order"].to_numpy()[top.ravel()], "score": scores[row, top.ravel()],
+        })
+        return found[found["score"] > 0]
+
+    found = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(best, schema)
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "corpus_order", "id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
 def matches_ref(a: str = "a", r: str = "r") -> Column:
@@ -241,7 +250,10 @@ def citation() -> Column:
 
 
 def merge_by_citation(articles: DataFrame, *order: Column) -> DataFrame:
-    """One text per citation: chunks in corpus order, a chunk already contained left out."""
+    """One text per law version and citation: chunks in corpus order, a chunk already contained left out.
+
+    The chunks of one article are one row; an article of a law has a handful.
+    """
 
     def joined(name: str) -> Column:
         texts = F.array_compact(F.transform(F.sort_array("chunks"), lambda c: c[name]))
@@ -254,10 +266,10 @@ def merge_by_citation(articles: DataFrame, *order: Column) -> DataFrame:
 
     keys = list(order) or corpus_order()
     cols = [c.alias(f"k{i}") for i, c in enumerate(keys)]
-    grouped = articles.withColumn("citation", citation()).groupBy("citation").agg(
+    grouped = articles.withColumn("citation", citation()).groupBy("law_version", "citation").agg(
         F.collect_list(F.struct(*cols, "text_ar", "text_en")).alias("chunks")
     )
-    return grouped.select("citation", joined("text_ar"), joined("text_en"))
+    return grouped.select("law_version", "citation", joined("text_ar"), joined("text_en"))
 
 
 def row_id() -> Column:
@@ -278,8 +290,3 @@ def allowed_citations(rule_articles: list[str], citations: DataFrame) -> DataFra
     spark = citations.sparkSession
     own = spark.createDataFrame([(a,) for a in rule_articles], "citation string")
     return own.unionByName(citations.select("citation")).distinct()
-
-
-def latest_by_key(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")

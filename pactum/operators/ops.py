@@ -14,7 +14,6 @@ from pactum.operators.score import band_for
 # Fixed values.
 DAY_US = 86_400_000_000
 PAGE_SIZE = 20
-SWEEP_BATCH = 500
 FINAL_STATUSES = ("done", "failed", "needs_review")
 TIMEOUT_MESSAGE = "Rating this contract took too long and was stopped. Please upload it again."
 
@@ -120,8 +119,8 @@ def due_documents(documents: DataFrame, now: Column) -> DataFrame:
     return documents.where((F.col("delete_after") < now) & F.col("deleted_at").isNull())
 
 
-def sweep_batch(documents: DataFrame, now: Column, batch: int = SWEEP_BATCH) -> DataFrame:
-    """The batch feature: the oldest due documents (a top-k, merged from per-task top-k)."""
+def sweep_batch(documents: DataFrame, now: Column, batch: int) -> DataFrame:
+    """The batch feature, its size the caller's: the oldest due documents (a top-k, merged from per-task top-k)."""
     return due_documents(documents, now).orderBy("delete_after", "document_id").limit(batch)
 
 

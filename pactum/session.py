@@ -7,9 +7,6 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Broadcast hints are only given for sides whose row count is known to stay below this.
-MAX_BROADCAST_ROWS = 200_000
-
 
 def build_session(cores: str = "*", app: str = "pactum", **extra: str) -> SparkSession:
     """A local session for tests and benches; a cluster passes its own session instead."""
@@ -26,6 +23,8 @@ def build_session(cores: str = "*", app: str = "pactum", **extra: str) -> SparkS
         .config("spark.ui.enabled", "false")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
+    if cores.isdigit():  # the test tables are one split each
+        builder = builder.config("spark.pactum.scan.partitions", cores)
     for key, value in extra.items():
         builder = builder.config(key.replace("__", "."), value)
     spark = builder.getOrCreate()
@@ -55,12 +54,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """A scan with fewer splits than cores, spread over them before CPU-heavy work.
-
-    Large tables have more splits than cores and are returned as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

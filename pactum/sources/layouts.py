@@ -9,7 +9,7 @@ from pyspark.sql import Window
 # Fixed values.
 PAGE = r"<page\b[^>]*>[\s\S]*?</page>"
 WORD = r"<word\b[^>]*>[\s\S]*?</word>"
-NAMED_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "))
+NAMED_ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "amp": "&"}
 POINTS_PER_INCH = 72
 
 
@@ -21,22 +21,23 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def decode_entities(text: Column) -> Column:
-    """XML entities: decimal, hexadecimal and the named ones; ``&amp;`` last."""
-    pattern = r"&#x[0-9a-fA-F]+;|&#X[0-9a-fA-F]+;|&#\d+;"
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
-
-    def char(entity: Column) -> Column:
-        hexa = entity.rlike("^&#[xX]")
-        digits = F.regexp_replace(entity, "[&#xX;]", "")
+    """XML entities, decimal, hexadecimal and named in any case, each decoded once from left to right."""
+    entity = r"&(?:#[xX][0-9a-fA-F]+|#\d+|[a-zA-Z]+);"
+    parts = F.regexp_extract_all(text, F.lit(entity + "|[^&]+|&"), F.lit(0))
+    names = F.create_map(*[F.lit(x) for pair in NAMED_ENTITIES.items() for x in pair])
+
+    def plain(part: Column) -> Column:
+        name = F.substring(part, F.lit(2), F.length(part) - 2)
+        hexa = part.rlike("^&#[xX]")
+        digits = F.regexp_replace(name, "[#xX]", "")
         code = F.when(hexa, F.conv(digits, 16, 10)).otherwise(digits).cast("int")
         # A code point as text: its UTF-32 bytes decoded.
-        return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        return F.when(~part.rlike("^" + entity + "$"), part).when(part.rlike("^&#"), char).otherwise(
+            F.coalesce(F.try_element_at(names, F.lower(name)), part)
+        )
 
-    decoded = F.aggregate(found, text, lambda t, e: F.replace(t, e, char(e)))
-    out = F.when(text.rlike(pattern), decoded).otherwise(text)
-    for entity, plain in NAMED_ENTITIES:
-        out = F.replace(out, F.lit(entity), F.lit(plain))
-    return F.replace(out, F.lit("&amp;"), F.lit("&"))
+    return F.when(F.instr(text, "&") == 0, text).otherwise(F.array_join(F.transform(parts, plain), ""))
 
 
 def _attribute(tag: Column, name: str) -> Column:

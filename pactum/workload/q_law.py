@@ -97,6 +97,20 @@ def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
     return law.search(vectors.drop("label"), corpus_vectors, 3).withColumn("score", F.round("score", 6))
 
 
+@query(
+    "vector_topk_all",
+    """WITH u AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda y: y*y)))) v FROM embeddings)
+, s AS (SELECT q.vec_id AS query_id, c.vec_id AS id, list_inner_product(q.v, c.v) score FROM u q, u c)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, id, round(score,6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) rank FROM s WHERE score>0) WHERE rank<=5""",
+)
+def vector_topk_all(spark: SparkSession, sf: str) -> DataFrame:
+    unit = law.unit(F.transform("embedding", lambda x: x.cast("double")))
+    vectors = load(spark, sf, "embeddings").select("vec_id", unit.alias("vector"))
+    asked = vectors.withColumnRenamed("vec_id", "query_id")
+    corpus_vectors = vectors.select(F.col("vec_id").alias("id"), F.col("vec_id").alias("corpus_order"), "vector")
+    return law.search(asked, corpus_vectors, 5).withColumn("score", F.round("score", 6))
+
+
 _REFS = """SELECT CASE o_orderkey%3 WHEN 0 THEN 'labor_law' WHEN 1 THEN 'implementing_regulations' ELSE 'qiwa_template' END AS source, CAST(1+o_custkey%45 AS {s}) AS article,
  CASE WHEN o_custkey%2=0 THEN '1' WHEN o_custkey%5=0 THEN '10' END AS paragraph FROM {t}"""
 
@@ -132,22 +146,22 @@ _CITE = "CASE source WHEN 'labor_law' THEN 'Art. ' || article || CASE WHEN coale
 
 @query("citation", oracle(V, f"SELECT doc_id, {_CITE} AS citation FROM corpus_rows"))
 def citation(spark: SparkSession, sf: str) -> DataFrame:
-    return load(spark, sf, "corpus_rows").select("doc_id", law.citation().alias("citation"))
+    return load(spark, sf, "corpus_rows", heavy=True).select("doc_id", law.citation().alias("citation"))
 
 
 @query(
     "law_merge_citation",
-    oracle(V, f""", m AS (SELECT {_CITE} AS citation, list(text_en ORDER BY doc_id) en, list(text_ar ORDER BY doc_id) FILTER (WHERE text_ar IS NOT NULL) ar FROM corpus_rows GROUP BY 1)
-SELECT citation, sha256(list_reduce(en, lambda a, b: CASE WHEN contains(a,b) THEN a ELSE a || chr(10) || b END)) AS en_hash, list_reduce(ar, lambda a, b: CASE WHEN contains(a,b) THEN a ELSE a || chr(10) || b END) AS text_ar FROM m"""),
+    oracle(V, f""", m AS (SELECT {_CITE} AS citation, list(text_en ORDER BY doc_id) en, list(text_ar ORDER BY doc_id) FILTER (WHERE text_ar IS NOT NULL) ar, law_version FROM corpus_rows GROUP BY citation, law_version)
+SELECT law_version, citation, sha256(list_reduce(en, lambda a, b: CASE WHEN contains(a,b) THEN a ELSE a || chr(10) || b END)) AS en_hash, list_reduce(ar, lambda a, b: CASE WHEN contains(a,b) THEN a ELSE a || chr(10) || b END) AS text_ar FROM m"""),
 )
 def law_merge_citation(spark: SparkSession, sf: str) -> DataFrame:
     merged = law.merge_by_citation(corpus(spark, sf), F.col("doc_id"))
-    return merged.select("citation", F.sha2("text_en", 256).alias("en_hash"), "text_ar")
+    return merged.select("law_version", "citation", F.sha2("text_en", 256).alias("en_hash"), "text_ar")
 
 
 @query("law_row_id", oracle(V, "SELECT doc_id, 'law_' || regexp_replace(concat_ws('_', law_version, source, article, paragraph), '\\s+', '-', 'g') AS id FROM corpus_rows"))
 def law_row_id(spark: SparkSession, sf: str) -> DataFrame:
-    return load(spark, sf, "corpus_rows").select("doc_id", law.row_id().alias("id"))
+    return load(spark, sf, "corpus_rows", heavy=True).select("doc_id", law.row_id().alias("id"))
 
 
 @query("law_version", oracle(V, "SELECT 'a' AS asked, doc_id FROM corpus_rows WHERE law_version='2024-01' UNION ALL SELECT 'b', doc_id FROM corpus_rows WHERE law_version='2025-11'"))

@@ -63,9 +63,11 @@ def stuck_ratings(spark: SparkSession, sf: str) -> DataFrame:
     return ops.fail_stuck(load(spark, sf, "rating_rows"), now()).select("rating_id", "status", "error_code", "finished_at")
 
 
-@query("retention_due", oracle(("stored_documents",), f"SELECT document_id, user_id, delete_after FROM stored_documents WHERE delete_after < TIMESTAMP '{LATER}' AND deleted_at IS NULL ORDER BY delete_after, document_id LIMIT 500"))
+@query("retention_due", oracle(("stored_documents",), f"SELECT document_id, user_id, delete_after FROM stored_documents WHERE delete_after < TIMESTAMP '{LATER}' AND deleted_at IS NULL"))
 def retention_due(spark: SparkSession, sf: str) -> DataFrame:
-    return ops.sweep_batch(load(spark, sf, "stored_documents"), now(LATER)).select("document_id", "user_id", "delete_after")
+    return ops.due_documents(load(spark, sf, "stored_documents"), now(LATER)).orderBy("delete_after", "document_id").select(
+        "document_id", "user_id", "delete_after"
+    )
 
 
 @query("retention_sweep", oracle(("stored_documents",), f"SELECT document_id, CASE WHEN delete_after < TIMESTAMP '{LATER}' AND deleted_at IS NULL THEN TIMESTAMP '{LATER}' ELSE deleted_at END AS deleted_at, delete_after < TIMESTAMP '{LATER}' AND deleted_at IS NULL AS audited FROM stored_documents"))

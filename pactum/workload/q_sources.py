@@ -242,7 +242,7 @@ _REPLY_ERR = "CASE contract_id%5 WHEN 0 THEN NULL WHEN 1 THEN NULL WHEN 2 THEN '
 
 
 def _replies(spark: SparkSession, sf: str) -> DataFrame:
-    c = load(spark, sf, "contract_clauses").select("contract_id", "clause")
+    c = load(spark, sf, "contract_clauses", heavy=True).select("contract_id", "clause")
     kind = F.col("contract_id") % 5
     body = F.concat(
         F.lit('{"clause":"15.1","matches":[{"ruleId":"'), F.when(kind == 2, "NO-RULE").otherwise("EOS-BASE-01"), F.lit('","verdict":"likely_void","severity":"none","confidence":"high","articles":['),
@@ -272,7 +272,7 @@ def clause_findings(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("conflict_findings", oracle(("contract_clauses",), "SELECT contract_id, clause, '5.1' AS related_clause, 'conflict' AS verdict, 'high' AS severity, 'Contradicts clause 5.1. e' AS explanation FROM contract_clauses WHERE lib%4=0"))
 def conflict_findings(spark: SparkSession, sf: str) -> DataFrame:
-    c = load(spark, sf, "contract_clauses").where("lib % 4 = 0").select(
+    c = load(spark, sf, "contract_clauses", heavy=True).where("lib % 4 = 0").select(
         "contract_id", "clause", F.lit("TYPE-CONFLICT-01").alias("rule_id"), F.lit("5.1").alias("template_clause"), F.lit("none").alias("severity"),
         F.lit("high").alias("confidence"), F.array().cast("array<string>").alias("articles"), F.lit("e").alias("explanation"),
     )

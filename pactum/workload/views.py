@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pactum.session import spread, table
+from pactum.session import table
 
 # name -> (driver tables, view names it reads, sql(dialect))
 _VIEWS: dict[str, tuple[tuple[str, ...], tuple[str, ...], Callable[[str], str]]] = {}
@@ -24,14 +24,20 @@ def view(name: str, tables: tuple[str, ...], uses: tuple[str, ...] = ()):
     return register
 
 
+#: A session of tests or benches names here how many partitions a CPU-bound query's scan of a one-split file gets.
+SCAN_PARTITIONS = "spark.pactum.scan.partitions"
+
+
 def load(spark: SparkSession, sf_dir: str, name: str, heavy: bool = False) -> DataFrame:
     """The view as a lazy DataFrame (a driver table when no view has that name).
 
-    ``heavy``: the work on the view is CPU-bound, so its scans use every core.
+    ``heavy``: the work on the view is CPU-bound. Where the session sets SCAN_PARTITIONS, its tables are dealt to so
+    many partitions; on a cluster it is not set, and the scan's own splits are used.
     """
     if name not in _VIEWS:
         df = table(spark, sf_dir, name)
-        return spread(df) if heavy else df
+        wanted = spark.conf.get(SCAN_PARTITIONS, None) if heavy else None
+        return df.repartition(int(wanted)) if wanted else df
     tables, uses, fn = _VIEWS[name]
     inputs = {t: load(spark, sf_dir, t, heavy) for t in (*tables, *uses)}
     sql = fn("spark")

@@ -69,15 +69,17 @@ def test_redaction(spark):
 
 def _fnv(text):
     h = 0x811C9DC5
-    for c in text:
-        h = ((h ^ ord(c)) * 0x01000193) & 0xFFFFFFFF
+    units = text.encode("utf-16-le")
+    for k in range(0, len(units), 2):
+        h = ((h ^ int.from_bytes(units[k : k + 2], "little")) * 0x01000193) & 0xFFFFFFFF
     return h
 
 
 def test_embedding_matches_plain_python(spark):
-    words = ["w:years", "c:<ab", "w:عقد"]
+    words = ["w:years", "c:<ab", "w:عقد", "a😀b"]
     got = [one(spark, law.fnv1a(F.col("t")), t=w) for w in words]
     assert got == [_fnv(w) for w in words]
+    assert got[-1] == 2412414209
     docs = spark.createDataFrame([(1, "The parties' annual leaves, annual leaves"), (2, "the of")], "id long, text string")
     vectors = {r.id: r.vector for r in law.hash_embed(docs, "id").collect()}
     assert math.isclose(sum(x * x for x in vectors[1]), 1.0) and not any(vectors[2])
@@ -91,7 +93,7 @@ def test_search_parts_agree(spark):
     queries = df.where("id % 7 = 0").select(F.col("id").alias("query_id"), "vector")
     key = lambda r: (r.query_id, r.rank, r.id, round(r.score, 9))
     whole = sorted(key(r) for r in law.search(queries, df, 4).collect())
-    assert sorted(key(r) for r in law.search(queries, df, 4, part_rows=13).collect()) == whole
+    assert sorted(key(r) for r in law.search(queries, df, 4, query_blocks=3, corpus_blocks=5).collect()) == whole
     unit = {r.id: r.vector for r in df.collect()}
     scores = sorted(((-sum(a * b for a, b in zip(unit[7], v)), i) for i, v in unit.items()))[:4]
     assert [(i, round(-s, 9)) for s, i in scores if s < 0] == [(r[2], r[3]) for r in whole if r[0] == 7]
@@ -127,6 +129,36 @@ def test_plugin_analyser_with_retry(spark):
     assert [(r.cache_key, r.error) for r in rejected.collect()] == [("c", 'Rule "X" is not one of the candidate rules.')]
 
 
+def test_plugin_that_is_silent_or_throws(spark):
+    def analyser(batches):
+        for batch in batches:
+            if (batch["text_en"] == "boom").any():
+                raise ValueError("boom")
+            answered = batch[batch["text_en"] != "silent"]
+            yield pd.DataFrame({"cache_key": answered["cache_key"], "reply": ['{"clause":"15.1","matches":[]}'] * len(answered)})
+
+    misses = spark.createDataFrame([("a", "fine"), ("b", "silent"), ("c", "boom")], "cache_key string, text_en string").coalesce(1)
+    accepted, rejected = clause_analysis.run_analyser(misses, analyser, default_rules())
+    assert [r.cache_key for r in accepted.collect()] == ["a"]
+    assert sorted(r.cache_key for r in rejected.collect()) == ["b", "c"]
+
+
+def test_json_in_prose():
+    find = clause_analysis.json_object
+    assert find('{"a":1} and }') == '{"a":1}'
+    assert find('{"a":1} then ```json\n{"b":2}\n```') == '{"b":2}'
+    assert find('see {x} or {"s":"}\\"{","n":{"m":[1]}} end') == '{"s":"}\\"{","n":{"m":[1]}}'
+    assert find("[1]") is None and find('{"a":NaN}') is None and find(None) is None and find("{" * 50) is None
+
+
+def test_entities_are_decoded_once(spark):
+    from pactum.sources.layouts import decode_entities
+
+    cases = {"&#38;lt;": "&lt;", "&AMP;amp;": "&amp;", "a&nbsp;b &#x2019;&#X41; &copy; & &;": "a b \u2019A &copy; & &;", "&#128512;": "😀", "": ""}
+    for text, want in cases.items():
+        assert one(spark, decode_entities(F.col("t")), t=text) == want
+
+
 def test_custom_detector(spark):
     mine = {"TRANSFER-KSA-01": lambda: F.when(clause_detectors.has("moon"), clause_detectors.detection("unclear", "low", "high", "Moon base."))}
     clauses = spark.createDataFrame([("To the Moon.", None), ("Stay.", None)], "text_en string, text_ar string")
