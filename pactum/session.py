@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,6 +47,11 @@ def checkpoint_root(spark: SparkSession) -> str:
     return configured
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder, for tables that a plan writes once and reads again."""
+    return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the rows are written to the shared folder and read back."""
     checkpoint_root(df.sparkSession)

@@ -1,8 +1,8 @@
 """Result tables: replace by rating, upserts, appends.
 
 Parquet has no row updates, so a table is rewritten as *old rows not touched* plus *new rows*
-into a fresh folder, and a pointer file names the current one last. A replay gives the same
-rows.
+into a fresh folder. A stream's results are kept by batch, and a list of committed batches says
+which count. A replay gives the same rows.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ def upsert_corpus(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]
 
     Rows of an ingested version that are not in the new set go; other versions stay.
     """
-    versions = F.broadcast(new.select("law_version").distinct())
+    versions = new.select("law_version").distinct()
     kept = old.join(versions, "law_version", "left_anti")
     removed = old.join(versions, "law_version", "left_semi").join(new.select("id"), "id", "left_anti")
     changes = new.select("id", F.lit("upserted").alias("change")).unionByName(
@@ -45,14 +45,27 @@ def append_audit(events: DataFrame, path: str) -> None:
     events.write.mode("append").parquet(path)
 
 
-def publish(df: DataFrame, root: str, batch_id: str) -> str:
-    """Writes a version of a table and then names it current; readers never see half a write."""
-    spark = df.sparkSession
-    target = f"{root}/batch={batch_id}"
-    df.write.mode("overwrite").parquet(target)
-    spark.createDataFrame([(target,)], "path string").coalesce(1).write.mode("overwrite").text(f"{root}/_current")
-    return target
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """The rows written to a path and read from there: what builds on them does not compute them again."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def current(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(spark.read.text(f"{root}/_current").first()[0])
+def publish(df: DataFrame, root: str, batch: int) -> None:
+    """Adds the result of a batch to a table. A replayed batch replaces its own rows.
+
+    The rows are written first and the batch is named committed after that, in one new file, so a
+    reader never sees half a write; older batches are not rewritten.
+    """
+    df.write.mode("overwrite").parquet(f"{root}/rows/batch={batch}")
+    commit = df.sparkSession.createDataFrame([(batch,)], "batch long").coalesce(1)
+    commit.write.mode("append").parquet(f"{root}/commits")
+
+
+def current(spark: SparkSession, root: str, key: str = "contract_id") -> DataFrame:
+    """The rows of all committed batches; of a key rated again, those of its latest batch only."""
+    commits = spark.read.parquet(f"{root}/commits").distinct()
+    rows = spark.read.option("basePath", f"{root}/rows").parquet(f"{root}/rows").withColumn("batch", F.col("batch").cast("long"))
+    rows = rows.join(commits, "batch", "left_semi")
+    latest = rows.groupBy(key).agg(F.max("batch").alias("batch"))
+    return rows.join(latest, [key, "batch"], "left_semi").drop("batch")

@@ -6,13 +6,17 @@ events later than the watermark are dropped, duplicates inside it are removed by
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from pactum.operators.rule_table import RuleSet
+from pactum.plans.rate import rate_layouts
+from pactum.sources.tables import publish
+
 EVENT_SCHEMA = "event_id long, at timestamp, user_id long, action string"
 
 
@@ -113,13 +117,28 @@ def latest_status(history: DataFrame) -> DataFrame:
     return history.groupBy("rating_id").agg(last).select("rating_id", "l.status")
 
 
-def rate_stream(contracts: DataFrame, rate_batch: Callable[[DataFrame, int], None], checkpoint: str):
-    """Rates contracts as their files arrive. ``rate_batch`` runs the batch plan and publishes
-    under the batch id, so a replayed batch overwrites its own output.
+def rate_stream(words: DataFrame, rules: RuleSet, today: str, root: str, checkpoint: str):
+    """Rates contracts as the files of their word boxes arrive, a contract whole in one file.
+
+    Each batch runs :func:`rate_layouts` and adds its findings, deadlines, scores, status, reasons and
+    clauses to tables below ``root`` (read them with ``tables.current``). A replayed batch replaces its own
+    rows, and a contract that comes again replaces its older rating.
     """
+
+    def rate_batch(batch: DataFrame, number: int) -> None:
+        if batch.isEmpty():
+            return
+        rating, rejected = rate_layouts(batch, rules, today, folder=f"{root}/work/batch={number}")
+        for name in RATING_TABLES:
+            publish(getattr(rating, name), f"{root}/{name}", number)
+        publish(rejected.withColumnRenamed("doc_id", "contract_id"), f"{root}/rejected", number)
+
     return (
-        contracts.writeStream.foreachBatch(rate_batch)
+        words.writeStream.foreachBatch(rate_batch)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
+
+
+RATING_TABLES = ("findings", "deadlines", "scores", "status", "reasons", "clauses")

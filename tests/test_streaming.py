@@ -6,7 +6,11 @@ import tempfile
 from pyspark.sql import functions as F
 
 from pactum.operators import ops
+from pactum.operators.rule_table import default_rules
+from pactum.plans.rate import rate_layouts
+from pactum.sources import tables
 from pactum.streaming import jobs
+from pactum.workload.views import load
 
 START = dt.datetime(2024, 1, 1)
 
@@ -71,11 +75,37 @@ def test_counts_in_windows(spark):
     assert got == {(r.window_start, r.user_id, r.action, r.n) for r in closed.collect()}
 
 
-def test_rating_batches_are_idempotent(spark):
-    from pactum.sources import tables
+def test_published_batches_add_up(spark):
+    root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    rows = lambda *r: spark.createDataFrame(r, "contract_id long, v string")
+    tables.publish(rows((1, "a"), (2, "a"), (2, "b")), root, 0)
+    tables.publish(rows((3, "c")), root, 1)
+    tables.publish(rows((3, "d"), (2, "z")), root, 2)
+    tables.publish(rows((3, "c")), root, 1)  # a replay
+    assert sorted(map(tuple, tables.current(spark, root).collect())) == [(1, "a"), (2, "z"), (3, "d")]
+
 
+def test_rating_stream_equals_batch(spark):
+    import pactum.workload.q_layout  # noqa: F401  (defines the layout views)
+
+    words = load(spark, "/root/testdata/sf0.001", "contract_words").where("doc_id < 5").cache()
     root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    stream = feed(spark, [(i, f"t{i}") for i in range(10)], "contract_id long, text string", 1)
-    query = jobs.rate_stream(stream, lambda df, n: tables.publish(df, f"{root}/out", str(n)), f"{root}/check")
-    assert query.awaitTermination(120)
-    assert tables.current(spark, f"{root}/out").count() == 10
+    for ids in ("doc_id < 2", "doc_id = 2", "doc_id >= 3", "doc_id = 1"):  # the last one is rated again
+        words.where(ids).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    stream = spark.readStream.schema(words.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    query = jobs.rate_stream(stream, default_rules(), "2024-06-01", f"{root}/out", f"{root}/check")
+    assert query.awaitTermination(400)
+    rating, _ = rate_layouts(words, default_rules(), "2024-06-01")
+    for name in ("findings", "scores", "status"):
+        got = tables.current(spark, f"{root}/out/{name}")
+        assert sorted(map(str, got.collect())) == sorted(map(str, getattr(rating, name).select(got.columns).collect())), name
+
+
+def test_rating_names_its_source_once(spark):
+    import pactum.workload.q_layout  # noqa: F401  (defines the layout views)
+
+    words = load(spark, "/root/testdata/sf0.001", "contract_words").where("doc_id < 2")
+    rating, _ = rate_layouts(words, default_rules(), "2024-06-01")
+    for name in jobs.RATING_TABLES:
+        plan = getattr(rating, name)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Relation [") <= 6 and "customer" not in plan, name
