@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pactum.llm.shared import written
+from pactum.llm.shared import small, written
 
 #: Words of the shortest block that is deleted.
 LEAST_WORDS = 30
@@ -197,18 +197,15 @@ def removals(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
 
 def clean(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """The input, its texts without the deleted lines, and a column ``_cut`` (places deleted, null if none)."""
-    gone = written(removals(docs, least_words), "line-removals").select(
-        F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("cut").alias("_cut")
-    )
-    keyed = docs.withColumn("_own", F.xxhash64("text"))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_cut")
-    rest = F.array_join(F.transform(kept, lambda i: F.get("_lines", i)), "\n")
-    return (
-        keyed.join(gone, (F.col("doc_id") == F.col("_id")) & (F.col("_own") == F.col("_key")), "left")
-        .withColumn("_lines", F.when(F.col("_cut").isNotNull(), F.split("text", "\n")))
-        .withColumn("text", F.when(F.col("_cut").isNull(), F.col("text")).otherwise(rest))
-        .select(*docs.columns, "_cut")
+    gone = small(written(removals(docs, least_words), "line-removals"), "cut")
+    rows = docs.select(F.struct("*").alias("doc"), F.xxhash64("text").alias("own"))
+    joined = rows.join(gone, (F.col("doc.doc_id") == gone["doc_id"]) & (F.col("own") == F.col("text_key")), "left").withColumn(
+        "lines", F.when(F.col("cut").isNotNull(), F.split("doc.text", "\n"))
     )
+    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "cut")
+    rest = F.array_join(F.transform(kept, lambda i: F.get("lines", i)), "\n")
+    text = F.when(F.col("cut").isNull(), F.col("doc.text")).otherwise(rest)
+    return joined.select(*[text.alias(c) if c == "text" else F.col("doc").getField(c).alias(c) for c in docs.columns], F.col("cut").alias("_cut"))
 
 
 def report(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:

@@ -14,8 +14,9 @@ SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 
-#: A side is broadcast only after its rows were counted and found to be at most so many.
+#: A side is broadcast only after its rows, and the elements of its arrays, were counted and found to be at most so many.
 MAX_BROADCAST_ROWS = 100_000
+MAX_BROADCAST_ELEMENTS = 1_000_000
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -30,12 +31,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame) -> DataFrame:
+def small(df: DataFrame, array: str | None = None) -> DataFrame:
     """A hint to broadcast an already written table, given only if its counted rows stay in bounds.
 
-    A larger table is returned as it is; its join is then a shuffled one that can split hot keys.
+    ``array`` names a column of arrays whose elements are counted as well. A larger table is returned as it is;
+    its join is then a shuffled one that can split hot keys.
     """
-    return F.broadcast(df) if df.count() <= MAX_BROADCAST_ROWS else df
+    elements = F.coalesce(F.sum(F.size(array)), F.lit(0)) if array else F.lit(0)
+    found = df.agg(F.count("*").alias("rows"), elements.alias("elements")).first()
+    fits = found.rows <= MAX_BROADCAST_ROWS and found.elements <= MAX_BROADCAST_ELEMENTS
+    return F.broadcast(df) if fits else df
 
 
 def text_of(name: str = "text") -> Column:
