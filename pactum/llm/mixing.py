@@ -68,33 +68,26 @@ def source_targets(
 
 
 def copies(docs: DataFrame, **options) -> DataFrame:
-    """The input with a struct ``_mix`` (size, source_size, target, copies) for each row."""
-    sized = docs.withColumn("_size", word_count(text_of()))
-    targets = written(source_targets(sized.select("source", F.col("_size").alias("size")), **options), "mix-targets")
-    targets = targets.select(F.struct("source_size", "target", "rate").alias("_target"), F.col("source").alias("_source"))
-    joined = sized.join(small(targets), F.col("source").eqNullSafe(F.col("_source")), "left")
-    rate = F.col("_target.rate")
-    coin = hash_unit(F.lit("mix"), F.col("doc_id")) < rate - F.floor(rate)
-    mix = F.struct(
-        F.col("_size").alias("size"), F.col("_target.source_size").alias("source_size"),
-        F.col("_target.target").alias("target"), (F.floor(rate) + coin.cast("long")).alias("copies"),
-    )
-    return joined.withColumn("_mix", mix).drop("_size", "_target", "_source")
+    """(doc, mix): each row of the input as a struct, and its size, source_size, target and copies."""
+    sized = docs.select(F.struct("*").alias("doc"), word_count(text_of()).alias("size"))
+    targets = written(source_targets(sized.select("doc.source", "size"), **options), "mix-targets")
+    targets = targets.select(F.col("source").alias("of_source"), "source_size", "target", "rate")
+    joined = sized.join(small(targets), F.col("doc.source").eqNullSafe(F.col("of_source")), "left")
+    whole = F.floor("rate")
+    coin = hash_unit(F.lit("mix"), F.col("doc.doc_id")) < F.col("rate") - whole
+    return joined.select("doc", F.struct("size", "source_size", "target", (whole + coin.cast("long")).alias("copies")).alias("mix"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: each row of the input as often as its source's rate and its coin say."""
-    counted = copies(docs, **options)
-    return counted.withColumn(
-        "_copy", F.explode(F.array_repeat(F.lit(0), F.col("_mix.copies").cast("int")))
-    ).select(*docs.columns)
+    again = F.explode(F.array_repeat("doc", F.col("mix.copies").cast("int"))).alias("doc")
+    return copies(docs, **options).select(again).select("doc.*")
 
 
 def report(docs: DataFrame, **options) -> DataFrame:
     """One row for each document: what the mix takes of it."""
     return copies(docs.select("doc_id", "text", "source"), **options).select(
-        "doc_id", "_mix.size", "_mix.source_size", "_mix.target",
-        (F.col("_mix.copies") * F.col("_mix.size")).alias("taken"),
+        "doc.doc_id", "mix.size", "mix.source_size", "mix.target", (F.col("mix.copies") * F.col("mix.size")).alias("taken"),
     )
 
 

@@ -151,7 +151,7 @@ def write(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> DataFr
             for row in batch.to_pylist():
                 if out is None:
                     path = f"{root}/part-{context.partitionId():06d}-{context.taskAttemptId()}-{number}.warc.gz"
-                    out, size, count = store.open_output_stream(path), 0, 0
+                    out, size, count = store.open_output_stream(path, compression=None), 0, 0
                 data = record(row["page_id"], row["url"], row["payload"], row["digest"], row["refers_to"], row["revisit"])
                 out.write(data)
                 size, count = size + len(data), count + 1
@@ -175,7 +175,7 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 rows: list[tuple] = []
-                with store.open_input_stream(path) as stream:
+                with store.open_input_stream(path, compression=None) as stream:
                     try:
                         for member in members(iter(lambda: stream.read(CHUNK), b"")):
                             rows.append(_row(member))

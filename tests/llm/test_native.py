@@ -126,6 +126,6 @@ def test_mixing(spark, odd_docs, no_docs):
     assert all(abs(taken[v] - want[k]) < 0.12 * want[k] + 200 for k, v in sizes.items())
     mixed = mixing.mix(odd_docs)
     assert mixed.schema == odd_docs.schema
-    copies = {str(r.doc_id): r.n for r in mixing.copies(odd_docs).groupBy("doc_id").agg(F.sum("_mix.copies").alias("n")).collect()}
+    copies = {str(r.doc_id): r.n for r in mixing.copies(odd_docs).groupBy("doc.doc_id").agg(F.sum("mix.copies").alias("n")).collect()}
     assert {str(r.doc_id): r["count"] for r in mixed.groupBy("doc_id").count().collect()} == {k: n for k, n in copies.items() if n}
     assert mixing.report(no_docs).count() == 0
