@@ -186,6 +186,11 @@ def detect(text_rows: DataFrame) -> DataFrame:
 # --- clause boxes --------------------------------------------------------------------------
 
 
+def reading_order() -> list[Column]:
+    """Order of boxes: page, then from the top, then the section before the items inside it."""
+    return [F.col("page"), F.col("y_min"), F.length("clause")]
+
+
 def clause_boxes(docs: DataFrame) -> DataFrame:
     """One box per clause, section and page. A row belongs to the last number above it."""
     in_sections = F.flatten(

@@ -149,6 +149,16 @@ def erase_user(ratings: DataFrame, documents: DataFrame, users: DataFrame, now:
     )
 
 
+def erase_dependants(rows: DataFrame, ratings_left: DataFrame, key: str = "rating_id") -> DataFrame:
+    """Fields, clauses, boxes or findings of ratings that still exist: what erased ratings had goes with them."""
+    return rows.join(ratings_left.select(F.col("rating_id").alias(key)).distinct(), key, "left_semi")
+
+
+def users_newest_first(users: DataFrame) -> DataFrame:
+    """The administrator's list: newest users first, ties by id."""
+    return users.orderBy(F.desc("created_at"), "user_id")
+
+
 def undo_uploads(audit: DataFrame, failed: DataFrame) -> DataFrame:
     """Audit rows without the upload events of failed uploads, which gives the quota back."""
     gone = failed.select(F.col("rating_id").alias("target_id"), F.lit("upload").alias("action")).distinct()

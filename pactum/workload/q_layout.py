@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pactum.operators import extract, layout
+from pactum.plans.rate import rate_layouts
+from pactum.workload.common import RULES
 from pactum.workload.registry import query
 from pactum.workload.views import load, oracle, view
 
@@ -192,6 +194,14 @@ def clause_boxes(spark: SparkSession, sf: str) -> DataFrame:
     return layout.clause_boxes(docs(spark, sf)).select("doc_id", "clause", "page", "y_min", "y_max")
 
 
+@query("reading_order", """SELECT doc_id, clause, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page, y_min, length(clause), clause) AS INTEGER) AS place FROM (
+SELECT c_custkey AS doc_id, clause, CAST(page AS INTEGER) AS page, CAST(a AS DOUBLE) AS y_min, CAST(b AS DOUBLE) AS y_max FROM customer, (VALUES ('1',1,70,142),('2',1,150,182),('3',1,190,262),('5',1,270,316),('5.1',1,290,316),('6',1,330,376),('6.1',1,350,376),('7',1,380,412),('7.1',1,400,412),
+ ('8',2,40,72),('8.1',2,60,72),('9',2,90,222),('9.1',2,130,222),('9.1.1',2,130,222),('11',2,240,272),('11.2',2,260,272),('15',2,300,372),('15',3,40,52),('15.1',2,320,346),('15.2',2,360,372),('15.3',3,40,52),('16',3,80,112)) v(clause,page,a,b))""")
+def reading_order(spark: SparkSession, sf: str) -> DataFrame:
+    order = Window.partitionBy("doc_id").orderBy(*layout.reading_order(), "clause")
+    return clause_boxes(spark, sf).select("doc_id", "clause", F.row_number().over(order).alias("place"))
+
+
 @query("detect_document", "SELECT c_custkey AS doc_id, true AS ok, CAST(1 AS INTEGER) AS first_titled_page, CAST(NULL AS VARCHAR) AS reason FROM customer")
 def detect_document(spark: SparkSession, sf: str) -> DataFrame:
     return layout.detect(text_rows(spark, sf))
@@ -207,3 +217,10 @@ def ocr_attach(spark: SparkSession, sf: str) -> DataFrame:
 @query("party_names", "SELECT c_custkey AS doc_id, t AS text, p AS placeholder FROM customer, (VALUES ('Example Company','[EMPLOYER]'),('Worker Name','[EMPLOYEE]')) v(t,p)")
 def party_names(spark: SparkSession, sf: str) -> DataFrame:
     return extract.party_names(extracted(spark, sf)).select("doc_id", "text", "placeholder")
+
+
+@query("rate_findings")
+def rate_findings(spark: SparkSession, sf: str) -> DataFrame:
+    """Word boxes to findings through the whole plan; extraction and detectors have oracles of their own."""
+    rating, _ = rate_layouts(load(spark, sf, "contract_words", heavy=True), RULES, "2024-06-01")
+    return rating.findings.select("contract_id", "rule_id", "verdict", "severity")

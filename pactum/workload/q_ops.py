@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pactum.operators import ops, report
@@ -122,6 +122,29 @@ def rating_summary(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("rating_id", "status", "score_overall", "band", report.progress_percent(F.col("status")).alias("progress"))
 
 
+@query("users_newest", oracle(("rating_rows",), "SELECT user_id, min(created_at) AS created_at, CAST(row_number() OVER (ORDER BY min(created_at) DESC, user_id) AS INTEGER) AS row_no FROM rating_rows GROUP BY user_id"))
+def users_newest(spark: SparkSession, sf: str) -> DataFrame:
+    users = load(spark, sf, "rating_rows").groupBy("user_id").agg(F.min("created_at").alias("created_at"))
+    # The number shows the order to the oracle, one row per user.
+    order = Window.orderBy(F.desc("created_at"), "user_id")
+    return ops.users_newest_first(users).withColumn("row_no", F.row_number().over(order))
+
+
+CURSOR = ("2024-01-15 00:00:00", 40)
+
+
+@query("keyset_cursor", oracle(("rating_rows",), f"SELECT rating_id, created_at FROM rating_rows WHERE user_id=7 AND (created_at < TIMESTAMP '{CURSOR[0]}' OR (created_at = TIMESTAMP '{CURSOR[0]}' AND rating_id < {CURSOR[1]})) ORDER BY created_at DESC, rating_id DESC LIMIT 21"))
+def keyset_cursor(spark: SparkSession, sf: str) -> DataFrame:
+    return ops.keyset_page(load(spark, sf, "rating_rows"), 7, CURSOR).select("rating_id", "created_at")
+
+
+@query("erase_dependants", oracle(("rating_rows", "status_history"), f""", gone AS ({_GONE.format(t='customer')}) SELECT rating_id, status, seq FROM status_history WHERE rating_id IN (SELECT rating_id FROM rating_rows WHERE user_id NOT IN (SELECT user_id FROM gone))"""))
+def erase_dependants(spark: SparkSession, sf: str) -> DataFrame:
+    users = spark.sql(_GONE.format(t="{customer}"), customer=load(spark, sf, "customer"))
+    left, _, _ = ops.erase_user(load(spark, sf, "rating_rows"), load(spark, sf, "stored_documents"), users, now())
+    return ops.erase_dependants(load(spark, sf, "status_history"), left).select("rating_id", "status", "seq")
+
+
 @query("keyset_page", oracle(("rating_rows",), '''SELECT user_id, rating_id, created_at, CAST(row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, rating_id DESC) AS INTEGER) AS row_no FROM rating_rows QUALIFY row_no <= 21'''))
 def keyset_page(spark: SparkSession, sf: str) -> DataFrame:
     return ops.first_pages(load(spark, sf, "rating_rows")).select("user_id", "rating_id", "created_at", "row_no")
