@@ -6,10 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def add_days(day: Column, n: Column) -> Column:
-    return F.date_add(day, n.cast("int"))
-
-
 def add_months(day: Column, n: Column) -> Column:
     return F.add_months(day, n.cast("int"))
 
@@ -19,6 +15,7 @@ def today_in_riyadh(now: Column) -> Column:
     return F.to_date(now + F.expr("INTERVAL 3 HOURS"))
 
 
+#: The longest term that is derived from two dates; a longer one is given as this.
 MAX_TERM_MONTHS = 600
 
 

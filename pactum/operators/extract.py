@@ -356,6 +356,7 @@ def extract_fields(docs: DataFrame) -> DataFrame:
 
 
 def _issues() -> Column:
+    # The messages here and in required_issues are fixed values: results are compared by their text.
     w = F.col("wage")
     parts = w["basic"] + w["housing"] + w["transport"] + w["other"]
     period = money_period(F.col("_basic_text"))

@@ -52,6 +52,7 @@ PROBATION_END_MSG = (
     "Probation ends on {deadline} at the earliest; until then either side may leave freely.",
     "Probation ends on {deadline} at the earliest (excluded days push it later).",
 )
+#: A renewal date is looked for at most so many terms ahead; beyond them there is none.
 MAX_TERMS_TO_ROLL = 100
 
 VALUES_TYPE = "map<string,string>"
@@ -107,6 +108,7 @@ def check_probation_exclusions() -> Column:
     )
 
 
+# The sentences of the checks below are fixed values: results are compared by their text.
 def check_annual_leave() -> Column:
     days = F.col("annual_leave_days")
     text = F.format_string(

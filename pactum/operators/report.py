@@ -18,18 +18,13 @@ from pactum.operators.verdicts import (
 REVIEW_TITLE = "Needs a manual review"
 SEVERITY_TONE = {"high": "critical", "medium": "serious", "low": "warning", "none": "neutral"}
 DEFAULT_PAGE_SIZE = (595.92, 842.04)
-SCORED_STATUSES = ("done", "needs_review")
 PROGRESS_PERCENT = {"queued": 25, "extracting": 50, "analysing": 75}
 
 
 def with_rules(findings: DataFrame, rules: DataFrame) -> DataFrame:
     """Adds ``title`` and ``bucket`` (problem, good, info or null) from the rule table."""
-    r = F.broadcast(
-        rules.select(
-            F.col("id").alias("rule_id"),
-            F.col("title").alias("_title"),
-            F.col("good_msg").isNotNull().alias("_good"),
-        )
+    r = rules.select(
+        F.col("id").alias("rule_id"), F.col("title").alias("_title"), F.col("good_msg").isNotNull().alias("_good")
     )
     info = F.col("source") == "info"
     bucket = (

@@ -73,7 +73,7 @@ def _rule(
 RULESET_VERSION = "0.1.0"
 LAW_VERSION = "2025-11"
 
-# Ids, kinds, categories, severities, citations and references per rule.
+# Ids, titles, kinds, categories, severities, citations and references per rule.
 DEFAULT_RULES: list[dict] = [
     _rule(
         "PROB-MAX-01", "field", "Probation of 180 days or less", "legal", "high",

@@ -30,6 +30,7 @@ ARABIC_NAMES = {
     "TotalWage": ["إجمالي الأجر", "إجمالي الراتب", "الإجمالي"],
     "Source": ["المصدر"],
 }
+#: Lines at the top of a file among which its header is looked for, by default.
 HEADER_SEARCH_ROWS = 10
 RECORD_SCHEMA = (
     "employeeId string, name string, basic string, housing string, transport string, total string"
@@ -73,12 +74,12 @@ def column_names(header_cells: Column, names: list[str]) -> Column:
     return F.transform(header_cells, lambda c: F.coalesce(F.try_element_at(aliases, _key(c)), c))
 
 
-def headers(lines: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """``file, pos, header, missing`` of every file: the first of ten lines naming the id."""
+def headers(lines: DataFrame, columns: dict[str, str], search_rows: int = HEADER_SEARCH_ROWS) -> DataFrame:
+    """``file, pos, header, missing`` of every file: the first of its ``search_rows`` top lines naming the id."""
     names = list(dict.fromkeys(columns.values()))
     w = Window.partitionBy("file").orderBy("pos")
-    # Only the best ten lines of a file leave a task.
-    top = lines.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= HEADER_SEARCH_ROWS)
+    # Only the top lines of a file leave a task.
+    top = lines.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= search_rows)
     clean = nfkc(F.regexp_replace("line", "﻿", ""))
     top = top.withColumn("header", column_names(cells(clean), names))
     named = F.array_contains("header", columns["employee_id"])
