@@ -3,13 +3,13 @@
 The features are densities of lexicon words, their nearness to the second person, capitals,
 punctuation and obfuscation. The lexicon has a fixed part, a few plain English insults, and a learned
 part: words, and beginnings of words, that toxic training texts have far more often than others. It is
-counted over all training texts with map-side sums; the best MAX_TERMS terms are kept, a size of the
+counted over the training texts with map-side sums; the best MAX_TERMS terms are kept, a size of the
 model, so it may travel to every task.
 
-Labels are read only of the training rows, those with crc32(doc_id) mod 5 not 0: remainders 1 to 3 give
-the lexicon and the trees, remainder 4 the calibration of the trees' output to a probability (fitted where
-the trees have not been). The trees and the calibration are fitted on at most MAX_ROWS rows each, chosen by
-a hash of the id. A score depends on the text alone.
+Labels are read only of the training rows, those with crc32(doc_id) mod 5 not 0, and of about MAX_ROWS
+of them at most, chosen by a hash of the id: remainders 1 to 3 give the lexicon and the trees, remainder 4 the
+calibration of the trees' output to a probability (fitted where the trees have not been). A score depends on the
+text alone.
 
 Defined cases: a null or empty text has features of 0 and the score that belongs to them; a document
 with several labels is toxic if one says so; rows without training labels of both kinds get a score of 0
@@ -19,6 +19,7 @@ and, in the texts with a fixed lexicon word, 1; repeated rows are scored each; a
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pactum.llm.shared import text_of, written
+from pactum.llm.shared import small, text_of, written
 
 #: Plain insults and the pronouns of the second person in four languages.
 INSULTS = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
@@ -47,11 +48,19 @@ MAX_TERMS, MAX_ROWS, NEAR = 2000, 40_000, 5
 LEAST_TEXTS, LEAST_LIFT = 3, 20.0
 BEGINNINGS = (4, 5, 6)
 WINDOW = 50
+#: Texts that a task works on at a time.
+SLICE = 500
 
 WORDS = re.compile(r"[^\W_]+(?:['’][^\W_]+)?")
 MARKS = re.compile(r"[!?.,;:\"'()\-]")
 RUNS = re.compile(r"[!?]{2,}")
-DISGUISED = re.compile(r"\b(?=\w*[^\W\d_])(?=[\w@$!*]*[\d@$*])[\w@$!*]{4,}(?!\w)")
+CAPITALS = re.compile("[A-ZÀ-ÖØ-Þ]")
+CAPITAL_WORDS = re.compile(r"\b[A-ZÀ-ÖØ-Þ]{2,}\b")
+#: Digits or signs between letters, and what belongs to the same word.
+DISGUISED = re.compile(r"(?<=[^\W\d_])[\d@$*]+(?=[^\W\d_])")
+DISGUISED_WORD = re.compile(r"[\w@$*]+")
+#: Words whose value in the lexicon a worker remembers.
+REMEMBERED = 100_000
 
 FEATURES = (
     "fixed_density", "word_density", "beginning_density", "hits", "window_hits", "weight_density", "near_second_person",
@@ -73,23 +82,32 @@ def terms(words: list[str]) -> set[str]:
     return out
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of at most SLICE rows: what a task holds beside its input stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
 def learn_lexicon(labelled: DataFrame) -> dict[str, float]:
     """Term to the logarithm of its lift, from all rows (text, toxic)."""
 
     def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found, toxic = [], []
-            for text, is_toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = terms(list(set(WORDS.findall((text or "").lower()))))
-                found.extend(own)
-                toxic.extend([int(is_toxic)] * len(own))
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(toxic, pa.int64())], names=["term", "toxic"])
+        for batch in _slices(batches):
+            counts: tuple[Counter, Counter] = (Counter(), Counter())
+            for text, is_toxic in zip(batch.column(0), batch.column(1)):
+                counts[is_toxic.as_py()].update(terms(list(set(WORDS.findall((text.as_py() or "").lower())))))
+            found = list(counts[0].keys() | counts[1].keys())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(found, pa.string()), *[pa.array([c[t] for t in found], pa.int64()) for c in counts[::-1]]],
+                names=["term", "bad", "good"],
+            )
 
     totals = labelled.agg(F.count_if("toxic").alias("bad"), F.count_if(~F.col("toxic")).alias("good")).first()
     if not totals.bad or not totals.good:
         return {}
-    counted = labelled.select("text", "toxic").mapInArrow(exploded, "term string, toxic long").groupBy("term").agg(
-        F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")
+    counted = labelled.select("text", "toxic").mapInArrow(exploded, "term string, bad long, good long").groupBy("term").agg(
+        F.sum("bad").alias("bad"), F.sum("good").alias("good")
     )
     lift = (F.col("bad") / totals.bad) / ((F.col("good") + 1) / totals.good)
     best = (
@@ -100,33 +118,42 @@ def learn_lexicon(labelled: DataFrame) -> dict[str, float]:
     return {r.term: float(r.weight) for r in best.collect()}
 
 
-def features(text: str, lexicon: dict[str, float]) -> list[float]:
+class Lexicon:
+    """The value of a word: FIXED for a fixed one, its weight for a learned one, minus the best weight of its beginnings."""
+
+    FIXED = 10.0
+
+    def __init__(self, weights: dict[str, float]):
+        self.weights = weights
+        self.known: dict[str, float] = {}
+
+    def values(self, words: list[str]) -> list[float]:
+        known = self.known
+        if len(known) > REMEMBERED:
+            known.clear()
+        for w in set(words).difference(known):
+            known[w] = self.value(w)
+        return [known[w] for w in words]
+
+    def value(self, word: str) -> float:
+        if word in INSULTS:
+            return self.FIXED
+        get = self.weights.get
+        return get("=" + word, 0.0) or -max((get(f"{k}{word[:k]}", 0.0) for k in BEGINNINGS if len(word) > k), default=0.0)
+
+
+def features(text: str, lexicon: Lexicon) -> list[float]:
     """The dense features of one text, in the order of FEATURES."""
     lower = text.lower()
     words = WORDS.findall(lower)
     n = len(words)
     if not n:
         return [0.0] * len(FEATURES)
-    get, fixed, exact, begun, weight = lexicon.get, 0, 0, 0, 0.0
-    known: dict[str, float] = {}
-    hits: list[int] = []
-    for i, w in enumerate(words):
-        value = known.get(w)
-        if value is None:
-            value = 10.0 if w in INSULTS else get("=" + w, 0.0) or max(
-                (get(f"{k}{w[:k]}", 0.0) for k in BEGINNINGS if len(w) > k), default=0.0
-            ) * -1
-            known[w] = value
-        if value:
-            hits.append(i)
-            fixed += value == 10.0
-            exact += 0 < value < 10.0
-            begun += value < 0
-            weight += abs(value)
-    second = [i for i, w in enumerate(words) if w in _SECOND]
-    places = np.array(hits)
+    values = np.array(lexicon.values(words))
+    places = np.flatnonzero(values)
     window = near = 0
-    if hits:
+    second = [i for i, w in enumerate(words) if w in _SECOND]
+    if len(places):
         window = int((np.searchsorted(places, places + WINDOW) - np.arange(len(places))).max())
         if second:
             you = np.array(second)
@@ -134,13 +161,14 @@ def features(text: str, lexicon: dict[str, float]) -> list[float]:
             gap = np.minimum(abs(places - you[np.maximum(at - 1, 0)]), abs(you[np.minimum(at, len(you) - 1)] - places))
             near = int((gap <= NEAR).sum())
     chars = len(text)
-    disguised = DISGUISED.findall(lower)
-    plain = [w.translate(DISGUISES) for w in disguised]
+    inside = [m.start() for m in DISGUISED.finditer(lower)]
+    plain = [w.translate(DISGUISES) for w in DISGUISED_WORD.findall(lower)] if inside else []
     return [
-        fixed / n, exact / n, begun / n, float(min(len(hits), 50)), float(window), weight / n, near / n, len(second) / n,
-        sum(map(str.isupper, text)) / chars, sum(w.isupper() and len(w) > 1 for w in WORDS.findall(text)) / n if lower != text else 0.0,
-        len(MARKS.findall(text)) / chars, float(len(RUNS.findall(text))) / n, len(disguised) / n,
-        sum(w in INSULTS for w in plain) / n, float(np.log1p(n)),
+        float((values == Lexicon.FIXED).sum()) / n, float(((values > 0) & (values < Lexicon.FIXED)).sum()) / n,
+        float((values < 0).sum()) / n, float(min(len(places), 50)), float(window), float(abs(values).sum()) / n, near / n,
+        len(second) / n, len(CAPITALS.findall(text)) / chars, len(CAPITAL_WORDS.findall(text)) / n,
+        len(MARKS.findall(text)) / chars, len(RUNS.findall(text)) / n, len(inside) / n,
+        max(0, sum(w in INSULTS for w in plain) - sum(w in INSULTS for w in words)) / n if inside else 0.0, float(np.log1p(n)),
     ]
 
 
@@ -148,15 +176,20 @@ _SECOND = frozenset(SECOND_PERSON)
 
 
 def with_features(docs: DataFrame, lexicon: dict[str, float], *keys: str) -> DataFrame:
-    """The keys and a column for each feature; texts are read whole, batch by batch."""
-    rows = docs.select(*keys, text_of().alias("_text"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]] + [f"_{f} double" for f in FEATURES])
+    """The keys and a column for each feature; texts are read whole, some at a time."""
+    rows = docs.select(*keys) if "text" in keys else docs.select(*keys, text_of().alias("text"))
+    at = rows.columns.index("text")
+    schema = ", ".join(
+        [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keys)]] + [f"_{f} double" for f in FEATURES]
+    )
 
     def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            table = np.array([features(t.as_py(), lexicon) for t in batch.column(len(keys))]).reshape(batch.num_rows, len(FEATURES))
+        known = Lexicon(lexicon)
+        for batch in _slices(batches):
+            table = np.array([features(t.as_py() or "", known) for t in batch.column(at)]).reshape(batch.num_rows, len(FEATURES))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], *[pa.array(table[:, k]) for k in range(len(FEATURES))]], names=[*keys, *[f"_{f}" for f in FEATURES]]
+                [*batch.columns[: len(keys)], *[pa.array(table[:, k]) for k in range(len(FEATURES))]],
+                names=[*keys, *[f"_{f}" for f in FEATURES]],
             )
 
     return rows.mapInArrow(dense, schema)
@@ -187,26 +220,23 @@ def _raw(predicted: DataFrame) -> DataFrame:
     return predicted.withColumn("_raw", vector_to_array("_probability")[1])
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Scorer:
-    """Learns from the labels of rows whose fold is not 0."""
+def labelled_sample(labels: DataFrame, max_rows: int) -> DataFrame:
+    """doc_id, toxic and fold of the training labels: at most about max_rows by a hash of the id, so few that they are broadcast."""
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0)).groupBy(
         "doc_id"
     ).agg((F.max("toxic") > 0).alias("toxic"))
-    rows = written(
-        docs.select("doc_id", "text").join(known, "doc_id").withColumn("fold", fold(F.col("doc_id"))), "toxicity-labelled"
-    )
-    lexicon = learn_lexicon(rows.filter("fold < 4"))
-    sizes = {r.part: r.n for r in rows.groupBy((F.col("fold") == 4).alias("part")).agg(F.count("*").alias("n")).collect()}
+    share = min(1.0, max_rows / max(1, known.count()))
+    chosen = F.crc32(F.concat(F.lit("s"), F.col("doc_id").cast("string")).cast("binary")) < F.lit(int(share * 2**32))
+    return written(known.filter(chosen).withColumn("fold", fold(F.col("doc_id"))), "toxicity-labels")
 
-    def sample(part: bool) -> DataFrame:
-        share = min(1.0, max_rows / max(1, sizes.get(part, 1)))
-        return rows.filter((F.col("fold") == 4) == F.lit(part)).filter(
-            F.crc32(F.concat(F.lit("s"), F.col("doc_id").cast("string")).cast("binary")) < F.lit(int(share * 2**32))
-        )
 
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Scorer:
+    """Learns from the labels of rows whose fold is not 0; texts meet the bounded sample of labels without a shuffle."""
+    sample = labelled_sample(labels, max_rows)
+    rows = written(docs.select("doc_id", "text").join(small(sample), "doc_id"), "toxicity-labelled")
+    lexicon = learn_lexicon(rows.filter("fold < 4"))
     dense = written(
-        with_features(sample(False).unionByName(sample(True)), lexicon, "fold", "toxic").withColumn("_label", F.col("toxic").cast("double")),
-        "toxicity-features",
+        with_features(rows, lexicon, "fold", "toxic").withColumn("_label", F.col("toxic").cast("double")), "toxicity-features"
     )
     fit = _assembled(dense.filter("fold < 4"))
     if fit.select("_label").distinct().count() < 2:
