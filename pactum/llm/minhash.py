@@ -7,13 +7,15 @@ and equal registers are the likelier the more two sets overlap.
 
 1. Documents with equal sets are one class, represented by its smallest id.
 2. Representatives that share a band of ROWS registers are candidates. At a similarity of 0.75 the BANDS bands
-   miss a pair with probability (1 - 0.75**3)**32, or 2e-8. Within a band's bucket every member is first
+   miss a pair with probability (1 - 0.75**5)**64, or 3e-8. Within a band's bucket every member is first
    paired with the bucket's smallest id only.
 3. A pair goes on if the joint likelihood of both sketches, given the sizes of the sets, puts the similarity
-   within SLACK (five standard deviations) of the limit, and is then decided on the full sets.
-4. In buckets whose members are not all one component by now, every pair across components is a
-   candidate too and decided the same way. Pairs inside a component cannot change it; so no link
-   between components is lost, and a group of thousands of copies is never expanded into its pairs.
+   within SLACK (four standard deviations) of the limit, and is then decided on the full sets.
+4. In buckets whose members are not all one component by now, every pair across components is a candidate
+   too. Such a bucket is cut into blocks by a hash, and a task compares the sketches of two blocks: what it gives
+   out are pairs that pass step 3's likelihood, each in the first bucket that they share. Pairs inside a
+   component cannot change it; so no link between components is lost, and a group of thousands of copies is never
+   expanded into its pairs.
 
 Defined cases: a null, empty or blank text has an empty set and is linked with nothing; rows that share an id are
 one document; a row with a null id is linked with nothing, kept, and has no component id; an empty table gives
@@ -32,21 +34,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pactum.llm.components import components
-from pactum.llm.shared import small, written
+from pactum.llm.shared import slices, small, written
 
 SHINGLE, LIMIT = 5, 75
-BANDS, ROWS = 32, 3
+BANDS, ROWS = 64, 5
 REGISTERS = BANDS * ROWS
 #: Rate, base and largest value of the registers' scale.
 RATE, BASE, LARGEST = 20.0, 1.001, 65_534
+#: Members of a bucket that one task compares with as many others.
+BLOCK = 1024
 #: How far below the limit an estimate may be for its pair to be decided on the full sets.
-SLACK = 0.22
+SLACK = 4 * (LIMIT / 100 * (1 - LIMIT / 100) / REGISTERS) ** 0.5
 
 _SEEDS = np.random.default_rng(2021)
 _FACTORS = _SEEDS.integers(0, 2**64, REGISTERS, np.uint64) | np.uint64(1)
 _OFFSETS = _SEEDS.integers(0, 2**64, REGISTERS, np.uint64)
 _POWERS = _SEEDS.integers(0, 2**64, SHINGLE, np.uint64) | np.uint64(1)
 _BLOCK = 1024
+#: Sets that a task gives out at a time.
+SLICE = 500
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -142,7 +148,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, size: int = SHINGLE) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, SLICE):
             values = [shingles(t.as_py(), size).view(np.int64) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.list_(pa.int64()))], names=["id", "elements"])
 
@@ -151,7 +157,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, size: int = SHINGLE) -> DataFrame:
 
 def verified(pairs: DataFrame, docs: DataFrame, size: int = SHINGLE, limit: int = LIMIT) -> DataFrame:
     """The pairs (a, b) whose full sets reach the limit."""
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "near-ids")
+    ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "near-ids")
     sets = written(sets_of(docs, ids, size), "near-sets")
     joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("elements").alias("set_a")), "a").join(
         sets.select(F.col("id").alias("b"), F.col("elements").alias("set_b")), "b"
@@ -169,11 +175,90 @@ def classes_of(sketched: DataFrame) -> DataFrame:
 
 
 def band_entries(classes: DataFrame) -> DataFrame:
-    """(id, bucket): a bucket for each band of each class."""
+    """(id, bucket, band): a bucket for each band of each class."""
     width = 2 * ROWS
-    return classes.select("id", F.explode(F.array(*[
-        F.xxhash64(F.lit(k), F.substring("registers", width * k + 1, width)) for k in range(BANDS)
-    ])).alias("bucket"))
+    return classes.select("id", F.inline(F.array(*[
+        F.struct(F.xxhash64(F.lit(k), F.substring("registers", width * k + 1, width)).alias("bucket"), F.lit(k).alias("band"))
+        for k in range(BANDS)
+    ])))
+
+
+def across(entries: DataFrame, classes: DataFrame, limit: int) -> DataFrame:
+    """Likely pairs (a, b) of one bucket and two components, each in the first bucket that the pair shares.
+
+    entries: bucket, band, first_id, id, component. Pairs with the bucket's first id were decided before.
+    """
+    sizes = entries.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    split = entries.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    ).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+    rows = split.join(classes.select("id", "n_shingles", "registers"), "id").select(
+        "bucket", "low", "high", "band", "block", "first_id", "id", "component", "n_shingles", "registers"
+    )
+    least = limit / 100 - SLACK
+
+    def pairs_of(key, rows) -> tuple[np.ndarray, np.ndarray]:
+        low, high, band, block, first, ids, component, sizes, registers = (*key, *rows)
+        left = np.flatnonzero(block == low)
+        right = np.flatnonzero(block == high)
+        out_a, out_b = [], []
+        sketched = registers.reshape(len(ids), BANDS, ROWS)
+        for i in left:
+            if ids[i] == first:
+                continue
+            other = right[right > i] if low == high else right
+            ratio = np.minimum(sizes[other], sizes[i]) * 100 >= limit * np.maximum(sizes[other], sizes[i])
+            other = other[ratio & (component[other] != component[i]) & (ids[other] != first)]
+            if band and len(other):
+                other = other[~(sketched[other, :band] == sketched[i, :band]).all(axis=2).any(axis=1)]
+            if len(other):
+                mine = np.broadcast_to(registers[i], (len(other), REGISTERS))
+                likely = estimate(mine, registers[other], np.full(len(other), sizes[i], float), sizes[other].astype(float)) >= least
+                out_b.append(ids[other[likely]])
+                out_a.append(np.full(int(likely.sum()), ids[i]))
+        empty = np.empty(0, np.int64)
+        return np.concatenate(out_a or [empty]), np.concatenate(out_b or [empty])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+
+        def groups(table: pa.Table, last: bool) -> tuple[list, pa.Table | None]:
+            columns = [table.column(k).to_numpy() for k in range(9)]
+            change = np.zeros(table.num_rows, bool)
+            for key in columns[:3]:
+                change[1:] |= key[1:] != key[:-1]
+            starts = [0, *np.flatnonzero(change).tolist()]
+            ends = [*starts[1:], table.num_rows]
+            rest = None if last else table.slice(starts[-1])
+            found = []
+            for at, end in list(zip(starts, ends))[: None if last else -1]:
+                if end - at > 1 and (columns[7][at:end] != columns[7][at]).any():
+                    registers = np.frombuffer(b"".join(table.column(9).slice(at, end - at).to_pylist()), ">u2").astype(np.uint16)
+                    found.append(pairs_of(
+                        (columns[1][at], columns[2][at], columns[3][at]),
+                        (columns[4][at:end], columns[5][at], *[c[at:end] for c in columns[6:9]], registers.reshape(-1, REGISTERS)),
+                    ))
+            return found, rest
+
+        def batch_of(found: list) -> pa.RecordBatch:
+            a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table]).combine_chunks()
+            found, held = groups(held, False)
+            if found:
+                yield batch_of(found)
+        if held is not None:
+            found, _ = groups(held, True)
+            if found:
+                yield batch_of(found)
+
+    key = ["bucket", "low", "high"]
+    return rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "a long, b long")
 
 
 def duplicates(docs: DataFrame, size: int = SHINGLE, limit: int = LIMIT) -> DataFrame:
@@ -188,15 +273,11 @@ def duplicates(docs: DataFrame, size: int = SHINGLE, limit: int = LIMIT) -> Data
     found = components(links)
 
     placed = crowded.join(found.withColumnRenamed("node", "id"), "id", "left").select(
-        "bucket", "id", F.coalesce("component", "id").alias("component")
+        "bucket", "band", "first_id", "id", F.coalesce("component", "id").alias("component")
     )
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
     open_entries = written(placed.join(mixed.select("bucket"), "bucket"), "near-open")
-    other = open_entries.select("bucket", F.col("id").alias("id_2"), F.col("component").alias("component_2"))
-    across = open_entries.join(other, "bucket").filter("component < component_2").select(
-        F.least("id", "id_2").alias("a"), F.greatest("id", "id_2").alias("b")
-    ).distinct().join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = written(verified(written(likely(across, classes, limit), "near-likely"), docs, size, limit), "near-links")
+    more = written(verified(written(across(open_entries, classes, limit), "near-likely"), docs, size, limit), "near-links")
     if more.limit(1).count():
         found = components(links.unionByName(more))
 
@@ -211,5 +292,5 @@ def duplicates(docs: DataFrame, size: int = SHINGLE, limit: int = LIMIT) -> Data
 
 def without_duplicates(docs: DataFrame, size: int = SHINGLE, limit: int = LIMIT) -> DataFrame:
     """The documents, all columns, without those that are not the first of their component."""
-    gone = duplicates(docs, size, limit).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(small(written(gone, "near-gone")), F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = small(written(duplicates(docs, size, limit).filter("NOT kept").select("doc_id").distinct(), "near-gone"))
+    return docs.join(gone, docs["doc_id"] == gone["doc_id"], "left_anti")
