@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pactum.llm.tokens import MAX_TOKENS, pieces
+from pactum.llm.tokens import END_ID, MAX_TOKENS, cutter, piece_schema
 
 #: Pieces packed together in one task.
 WINDOW = 16_384
@@ -68,19 +68,17 @@ def best_fit(
     return sequence, offset
 
 
-def pack(
-    rows: DataFrame, max_tokens: int = MAX_TOKENS, max_documents: int | None = None,
-    max_attention: int | None = None, weights: tuple[float, float, float] = WEIGHTS, rule: str = "norm",
-) -> DataFrame:
-    """The rows (with a column ``length``) and their sequence_id and offset.
+def packer(
+    at: int, max_tokens: int = MAX_TOKENS, max_documents: int | None = None, max_attention: int | None = None,
+    weights: tuple[float, float, float] = WEIGHTS, rule: str = "norm",
+):
+    """From batches whose column ``at`` is a length to the same with sequence_id and offset, for a task.
 
     Without the optional capacities those hold that the tokens imply: a document has at least one token, and
     the squares of lengths never exceed the square of their sum.
     """
     documents = max_documents or max_tokens
     attention = max_attention or max_tokens * max_tokens
-    at = rows.columns.index("length")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 36
@@ -107,12 +105,27 @@ def pack(
         if held:
             yield from flush()
 
-    return rows.mapInArrow(packed, schema + ", sequence_id long, offset long")
+    return packed
+
+
+PLACE = "sequence_id long, offset long"
+
+
+def pack(rows: DataFrame, **options) -> DataFrame:
+    """The rows (with a column ``length``) and their sequence_id and offset; options as of :func:`packer`."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.mapInArrow(packer(rows.columns.index("length"), **options), f"{schema}, {PLACE}")
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, **options) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every document."""
-    return pack(pieces(docs, vocabulary), **options)
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every document.
+
+    Cutting and packing run in one Python worker of a task.
+    """
+    cut = cutter(vocabulary, options.get("max_tokens", MAX_TOKENS), END_ID, False)
+    place = packer(3, **options)
+    schema = f"{piece_schema(docs)}, {PLACE}"
+    return docs.select("doc_id", "text").mapInArrow(lambda batches: place(cut(batches)), schema)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -55,6 +55,11 @@ class Ids(dict):
         self[chunk] = ids
         return ids
 
+    def forget(self) -> None:
+        """Gives the memory back at the end of a task; the worker may live on for other work."""
+        self.clear()
+        self.older = {}
+
     def encoded(self, chunk: str) -> bytes:
         if found := _LATIN.fullmatch(chunk):
             ids = [t.id for part in found.groups() if part for t in self.model.tokenize(self.plain(part.lower()))]
@@ -73,21 +78,14 @@ _KNOWN: dict[str, Ids] = {}
 
 
 def ids_of(path: str) -> Ids:
-    """The cache of this worker for a vocabulary; it outlives a task."""
+    """This worker's encoder and cache for a vocabulary."""
     if path not in _KNOWN:
         _KNOWN[path] = Ids(path)
     return _KNOWN[path]
 
 
-def pieces(docs: DataFrame, vocabulary: str, max_tokens: int = MAX_TOKENS, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of each document (and ids, if asked for): map-only.
-
-    A document's ids are those of its whole text (null: none) and then end_id; only documents of over
-    max_tokens ids are cut, into pieces of max_tokens and a last one that may be shorter.
-    """
-    docs = docs.select("doc_id", "text")
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {id_type}, {PIECES}" + (", ids array<int>" if with_ids else "")
+def cutter(vocabulary: str, max_tokens: int, end_id: int, with_ids: bool):
+    """From batches of (doc_id, text) to batches of pieces, for a task."""
     end = array("I", [end_id]).tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,5 +112,19 @@ def pieces(docs: DataFrame, vocabulary: str, max_tokens: int = MAX_TOKENS, end_i
                 columns.append(pa.array(kept, pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names=names)
+        known.forget()
+
+    return cut
+
 
-    return docs.mapInArrow(cut, schema)
+def piece_schema(docs: DataFrame, with_ids: bool = False) -> str:
+    return f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {PIECES}" + (", ids array<int>" if with_ids else "")
+
+
+def pieces(docs: DataFrame, vocabulary: str, max_tokens: int = MAX_TOKENS, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 of each document (and ids, if asked for): map-only.
+
+    A document's ids are those of its whole text (null: none) and then end_id; only documents of over
+    max_tokens ids are cut, into pieces of max_tokens and a last one that may be shorter.
+    """
+    return docs.select("doc_id", "text").mapInArrow(cutter(vocabulary, max_tokens, end_id, with_ids), piece_schema(docs, with_ids))

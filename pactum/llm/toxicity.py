@@ -31,7 +31,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pactum.llm.shared import small, text_of, written
+from pactum.llm.shared import slices, small, text_of, written
 
 #: Plain insults and the pronouns of the second person in four languages.
 INSULTS = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
@@ -82,18 +82,11 @@ def terms(words: list[str]) -> set[str]:
     return out
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of at most SLICE rows: what a task holds beside its input stays small."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, SLICE):
-            yield batch.slice(at, SLICE)
-
-
 def learn_lexicon(labelled: DataFrame) -> dict[str, float]:
     """Term to the logarithm of its lift, from all rows (text, toxic)."""
 
     def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
+        for batch in slices(batches, SLICE):
             counts: tuple[Counter, Counter] = (Counter(), Counter())
             for text, is_toxic in zip(batch.column(0), batch.column(1)):
                 counts[is_toxic.as_py()].update(terms(list(set(WORDS.findall((text.as_py() or "").lower())))))
@@ -185,7 +178,7 @@ def with_features(docs: DataFrame, lexicon: dict[str, float], *keys: str) -> Dat
 
     def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Lexicon(lexicon)
-        for batch in _slices(batches):
+        for batch in slices(batches, SLICE):
             table = np.array([features(t.as_py() or "", known) for t in batch.column(at)]).reshape(batch.num_rows, len(FEATURES))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[: len(keys)], *[pa.array(table[:, k]) for k in range(len(FEATURES))]],
