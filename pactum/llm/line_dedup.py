@@ -1,12 +1,15 @@
 """Line dedup by pairwise alignment: blocks of lines that an earlier document holds leave the later one.
 
-Anchors are the hashes of a line of at least LEAST_WORDS words and of two lines in a row: any block of so
-many words holds one. Each anchor of a document leads to the earliest document (smallest id) that holds it;
-pairs of documents are thus as many as a document's repeated anchors at most, however many others share
-them. A pair is aligned by patience diff over line hashes: lines that occur once on both sides, their
-longest increasing run, and the same again between its members; a second pass goes over what stays, so that
-blocks in another order are found too. Aligned lines of all a document's partners are put together, and
-runs of them of at least LEAST_WORDS words are deleted. Blank lines stay and do not part a run.
+A block is a run of lines, adjacent in both documents, of at least LEAST_WORDS words. Anchors are the hashes
+of the shortest such runs that start, or end, at each line: they cover every block, and who holds one holds a
+block. Each anchor of a document leads to the earliest document (smallest id) that holds it; pairs of documents
+are thus as many as a document's repeated anchors at most, however many others share them. A pair is aligned by
+patience diff over line hashes: lines that occur once on both sides, their longest increasing run, and the same
+again between its members. Of that, blocks are kept. A diff finds no block that stands in another order or is
+repeated, and may tear one apart; the shortest runs with a line that is left are therefore looked up among those
+of the earlier document. So a line goes if, and only if, it lies in a block that an earlier document holds as a
+block; lines that an earlier document holds apart or in another order, or that several hold in parts, stay.
+Blank lines stay and do not part a run.
 
 Defined cases: a null text stays null; rows with a null id are left as they are; rows that repeat an id
 and a text are one document (never each other's partner) and get the same result, rows that repeat an id
@@ -26,10 +29,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pactum.llm.shared import small, written
+from pactum.llm.shared import slices, small, written
 
 #: Words of the shortest block that is deleted.
 LEAST_WORDS = 30
+#: Documents, or pairs of them, that a task holds as Python lists at once.
+SLICE = 256
 
 
 def split_lines(text: str) -> tuple[list[int], list[int], list[int]]:
@@ -103,54 +108,74 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return out
 
 
-def aligned(earlier: list[int], later: list[int]) -> list[int]:
-    """Places in later that align with earlier, blocks in another order included."""
-    known = set(earlier)
-    rest = [k for k, x in enumerate(later) if x in known]
-    out: list[int] = []
-    while rest:
-        found = {j for _, j in patience(earlier, [later[k] for k in rest])}
-        if not found:
-            break
-        out.extend(rest[j] for j in found)
-        rest = [k for j, k in enumerate(rest) if j not in found]
-    return sorted(out)
-
-
-def line_table(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, places, hashes and words of each document that has an id and a line."""
+def shortest_runs(words: list[int], least_words: int) -> list[tuple[int, int]]:
+    """(from, to) of the shortest runs of at least so many words that start, or that end, at each line."""
+    total = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
+    to = np.searchsorted(total, total[:-1] + least_words)
+    since = np.searchsorted(total, total[1:] - least_words, side="right") - 1
+    out = {(i, n) for i, n in enumerate(to.tolist()) if n < len(total)}
+    return sorted(out | {(i, n) for n, i in enumerate(since.tolist(), 1) if i >= 0})
+
+
+def aligned(earlier: list[int], later: list[int], words: list[int] | None = None, least_words: int = LEAST_WORDS) -> list[int]:
+    """Places in later of the blocks, adjacent on both sides, of at least so many words that earlier holds.
+
+    ``words`` are those of each line of later; without them one line is enough for a block.
+    """
+    words = [least_words] * len(later) if words is None else words
+    total = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
+    gone = np.zeros(len(later), bool)
+    pairs = sorted(patience(earlier, later))
+    start = 0
+    for k, (i, j) in enumerate(pairs, 1):
+        if k == len(pairs) or pairs[k] != (i + 1, j + 1):
+            first = pairs[start][1]
+            if total[j + 1] - total[first] >= least_words:
+                gone[first : j + 1] = True
+            start = k
+    # Moved and repeated blocks, and those the diff has torn: a run of later with a line that is left is looked up.
+    left = [(i, n) for i, n in shortest_runs(words, least_words) if not gone[i:n].all()]
+    if left:
+        known = dict(zip(later, words))
+        runs = shortest_runs([known.get(x, least_words) for x in earlier], least_words)
+        held = {tuple(earlier[i:n]) for i, n in runs}
+        for i, n in left:
+            if tuple(later[i:n]) in held:
+                gone[i:n] = True
+    return np.nonzero(gone)[0].tolist()
+
+
+def line_table(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """doc_id, text_key, places, hashes and words of each document that has an id and a line, and its anchors."""
     rows = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select(
         F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string")
     )
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, SLICE):
             found = [split_lines(t) for t in batch.column(2).to_pylist()]
+            hashes = [np.array(f[1], np.uint64).view(np.int64) for f in found]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([f[0] for f in found], pa.list_(pa.int32())),
-                 pa.array([np.array(f[1], np.uint64).view(np.int64) for f in found], pa.list_(pa.int64())),
-                 pa.array([f[2] for f in found], pa.list_(pa.int32()))],
-                names=["doc_id", "text_key", "places", "hashes", "words"],
+                 pa.array(hashes, pa.list_(pa.int64())), pa.array([f[2] for f in found], pa.list_(pa.int32())),
+                 pa.array([anchors(h, f[2], least_words) for h, f in zip(hashes, found)], pa.list_(pa.int64()))],
+                names=["doc_id", "text_key", "places", "hashes", "words", "anchors"],
             )
 
-    schema = "doc_id long, text_key long, places array<int>, hashes array<long>, words array<int>"
+    schema = "doc_id long, text_key long, places array<int>, hashes array<long>, words array<int>, anchors array<long>"
     return rows.mapInArrow(lines, schema).filter("size(hashes) > 0")
 
 
-def anchors(lines: DataFrame, least_words: int) -> DataFrame:
-    """(doc_id, text_key, anchor): long lines and pairs of lines in a row."""
-    singles = F.filter(
-        F.transform("hashes", lambda h, i: F.when(F.get("words", i) >= least_words, F.xxhash64(h))), lambda h: h.isNotNull()
-    )
-    doubles = F.when(F.size("hashes") < 2, F.array().cast("array<bigint>")).otherwise(F.transform(
-        F.sequence(F.lit(1), F.size("hashes") - 1), lambda i: F.xxhash64(F.get("hashes", i - 1), F.get("hashes", i))
-    ))
-    return lines.select("doc_id", "text_key", F.explode(F.array_distinct(F.concat(singles, doubles))).alias("anchor"))
+def anchors(hashes: np.ndarray, words: list[int], least_words: int) -> np.ndarray:
+    """The distinct hashes of a document's shortest runs."""
+    data, size = hashes.tobytes(), hashes.itemsize
+    found = {xxhash.xxh64_intdigest(data[i * size : n * size]) for i, n in shortest_runs(words, least_words)}
+    return np.array(sorted(found), np.uint64).view(np.int64)
 
 
-def partners(lines: DataFrame, least_words: int) -> DataFrame:
+def partners(lines: DataFrame) -> DataFrame:
     """Distinct pairs: a document and an earliest holder of one of its anchors."""
-    held = anchors(lines, least_words)
+    held = lines.select("doc_id", "text_key", F.explode("anchors").alias("anchor"))
     first = held.groupBy("anchor").agg(
         F.min(F.struct("doc_id", "text_key")).alias("first"), F.max("doc_id").alias("last_id")
     ).filter("first.doc_id < last_id")
@@ -161,38 +186,25 @@ def partners(lines: DataFrame, least_words: int) -> DataFrame:
 
 def removals(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """doc_id, text_key and the sorted places of the lines to delete, for documents that lose any."""
-    lines = written(line_table(docs).dropDuplicates(["doc_id", "text_key"]), "line-table")
-    pairs = written(partners(lines, least_words), "line-pairs")
+    lines = written(line_table(docs, least_words).dropDuplicates(["doc_id", "text_key"]), "line-table")
+    pairs = written(partners(lines), "line-pairs")
     earlier = lines.select(F.col("doc_id").alias("first_id"), F.col("text_key").alias("first_key"), F.col("hashes").alias("earlier"))
-    both = pairs.join(earlier, ["first_id", "first_key"]).join(lines.select("doc_id", "text_key", "hashes"), ["doc_id", "text_key"])
+    later = lines.select("doc_id", "text_key", "hashes", "words", "places")
+    both = pairs.join(earlier, ["first_id", "first_key"]).join(later, ["doc_id", "text_key"])
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [aligned(a, b) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "text_key", "found"]
-            )
-
-    places = both.select("doc_id", "text_key", "earlier", "hashes").mapInArrow(
-        align, "doc_id long, text_key long, found array<int>"
-    ).select("doc_id", "text_key", F.explode("found").alias("at")).distinct()
-    known = places.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list("at")).alias("found"))
-    known = known.join(lines.select("doc_id", "text_key", "places", "words"), ["doc_id", "text_key"])
-
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, SLICE):
             out = []
-            for found, at, words in zip(*[batch.column(k).to_pylist() for k in (2, 3, 4)]):
-                cut: list[int] = []
-                for run in np.split(np.array(found), np.nonzero(np.diff(found) != 1)[0] + 1):
-                    if sum(words[k] for k in run) >= least_words:
-                        cut.extend(at[k] for k in run)
-                out.append(cut)
+            for a, b, words, at in zip(*[batch.column(k).to_pylist() for k in (2, 3, 4, 5)]):
+                out.append([at[k] for k in aligned(a, b, words, least_words)])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "text_key", "cut"]
             )
 
-    return known.mapInArrow(runs, "doc_id long, text_key long, cut array<int>").filter("size(cut) > 0")
+    cut = both.select("doc_id", "text_key", "earlier", "hashes", "words", "places").mapInArrow(
+        align, "doc_id long, text_key long, cut array<int>"
+    ).select("doc_id", "text_key", F.explode("cut").alias("at")).distinct()
+    return cut.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list("at")).alias("cut"))
 
 
 def clean(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:

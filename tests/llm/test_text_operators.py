@@ -164,6 +164,32 @@ def test_alignment_is_a_common_subsequence():
         assert set(line_dedup.aligned(a, b)) <= {k for k, x in enumerate(b) if x in a}
 
 
+def test_only_blocks_of_an_earlier_document_go(spark, words):
+    x = [words(1200 + k, 12) for k in range(6)]
+    own = lambda k: words(1300 + k, 12)
+    texts = {
+        1: [x[0], x[1], own(1), x[2], own(2), x[3]], 2: [own(3), x[4], x[5], own(4)], 3: [x[0], x[1], x[2], x[3]], 4: [x[3], x[1], x[2], x[0]],
+        5: [x[3], x[4], x[5]], 10: [*x[:3], own(5)], 11: [*x[1:4], own(6), *x[:3], own(7), *x[:3]],
+    }
+    docs = spark.createDataFrame([(k, "\n".join(v)) for k, v in texts.items()], "doc_id long, text string")
+    left = {r.doc_id: r.text.split("\n") if r.text else [] for r in line_dedup.clean(docs).collect()}
+    assert all(left[k] == texts[k] for k in (1, 2, 3, 4, 5))
+    assert left[10] == [own(5)] and left[11] == [own(6), own(7)]
+
+
+def test_aligned_is_every_block_that_both_hold():
+    rng = random.Random(12)
+    for _ in range(400):
+        size = [rng.randint(1, 20) for _ in range(5)]
+        a, b = ([rng.randrange(5) for _ in range(rng.randrange(25))] for _ in range(2))
+        want = set()
+        for i in range(len(b)):
+            for n in range(i + 1, len(b) + 1):
+                if sum(size[x] for x in b[i:n]) >= 30 and any(a[k : k + n - i] == b[i:n] for k in range(len(a))):
+                    want.update(range(i, n))
+        assert line_dedup.aligned(a, b, [size[x] for x in b]) == sorted(want)
+
+
 def _components(docs, limit=75):
     sets = {}
     for r in docs:
