@@ -61,6 +61,18 @@ def test_best_fit_keeps_every_capacity(rule):
     assert len(np.unique(sequence)) <= -(-int(lengths.sum()) // 1000) + 1
 
 
+def test_packing_looks_beyond_partitions(spark, monkeypatch):
+    clustered = spark.createDataFrame([(k, 2500 if k < 200 else 1500) for k in range(400)], "doc_id long, length long")
+    parts = clustered.repartitionByRange(8, "doc_id")
+    assert packing.pack(parts).select("sequence_id").distinct().count() == 200
+    many = spark.range(64, numPartitions=64).selectExpr("id AS doc_id", "60L AS length")
+    assert packing.pack(many).select("sequence_id").distinct().count() == 1
+    monkeypatch.setattr(packing, "WINDOW", 20)
+    packed = packing.pack(parts).groupBy("sequence_id").agg({"length": "sum", "doc_id": "count"}).collect()
+    assert sum(r["count(doc_id)"] for r in packed) == 400 and max(r["sum(length)"] for r in packed) <= 4096
+    assert len(packed) <= 215
+
+
 def test_toxicity(spark, odd_docs, no_docs, labels, words):
     rng = random.Random(4)
     rows, marks = [], []
