@@ -54,6 +54,31 @@ def test_vector_duplicates(spark):
     assert vector_dedup.duplicates(vectors.limit(0)).count() == 0
 
 
+def test_short_vectors(spark):
+    rng = np.random.default_rng(4)
+    rows = [(0, [1.0, 2.0], 0), (1, [2.0, 4.0], 0), (2, [-1.0, -2.0], 0), (3, [3.0], 0), (4, [5.0], 0), (5, [-5.0], 0)]
+    for length in (2, 3, 8, 13, 15, 16, 20, 24, 32):
+        for _ in range(20):
+            a, b = rng.standard_normal((2, length))
+            a /= np.linalg.norm(a)
+            b -= (a @ b) * a
+            near = 0.982 * a + np.sqrt(1 - 0.982**2) * b / np.linalg.norm(b)
+            rows += [(len(rows), a.tolist(), 0), (len(rows) + 1, (near * 3).tolist(), 0)]
+    got = vector_dedup.duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == _expected(rows)
+
+
+def test_recall_at_the_limit_by_length():
+    for length in (16, 24, 32, 64, 128):
+        rng = np.random.default_rng(length)
+        a, b = rng.standard_normal((2, 300, length))
+        a /= np.linalg.norm(a, axis=1, keepdims=True)
+        b -= (a * b).sum(axis=1, keepdims=True) * a
+        near = 0.98 * a + np.sqrt(1 - 0.98**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+        met = [np.intersect1d(x, y).size > 0 for x, y in zip(vector_dedup.filters(a), vector_dedup.filters(near))]
+        assert sum(met) >= 299
+
+
 def test_blocks_count_each_pair_once(spark, monkeypatch):
     monkeypatch.setattr(vector_dedup, "BLOCK", 16)
     rng = np.random.default_rng(2)
