@@ -1,6 +1,8 @@
 """Secret scan: candidates of a wide pattern, false positives removed by a random forest.
 
-A candidate is a long run of letters, digits and ``+ / = _ -`` that has a digit or is very long. Its features are
+A candidate is a long run of letters, digits and ``+ / = _ -`` that has a digit or is very long, such runs joined by
+dots, or, at any length and of any characters, the quoted or unbroken value after a key's name and the password in
+an address's user part. Its features are
 its length, its changes between kinds of characters and how likely its letters follow one another in ordinary
 words, how much of it words of a dictionary cover, whether it looks like a path or an address, and the words
 beside it. The dictionary, and the letter pairs drawn from it, are the commonest words of the whole corpus,
@@ -22,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -41,6 +44,7 @@ DICTIONARY, MAX_FINDINGS = 5_000, 50_000
 TREES, DEPTH = 30, 6
 
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{%d,}={0,2}(?![A-Za-z0-9+/_\-])" % SHORTEST)
+DOTTED = re.compile(r"(?<![A-Za-z0-9+/_\-.])[A-Za-z0-9_\-]{8,}(?:\.[A-Za-z0-9_\-]{8,})+={0,2}(?![A-Za-z0-9+/_\-])")
 WORD = re.compile(r"[a-z]{3,10}")
 #: Names that keys and passwords are assigned to, formats of known keys, and words beside harmless runs.
 KEY_NAMES = ("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "api-key", "access_key", "auth", "bearer", "credential")
@@ -49,11 +53,16 @@ KEY_FORMATS = re.compile(
 )
 HARMLESS = ("sha", "sha1", "sha256", "md5", "commit", "checksum", "digest", "uuid", "isbn", "version", "id", "page", "example")
 ASSIGNED = re.compile(r"(?i)(?:%s)[\w\-]{0,12}[\"']?\s{0,3}[:=]\s{0,3}[\"']?$" % "|".join(map(re.escape, KEY_NAMES)))
+VALUE = re.compile(
+    r"(?i)(?!author)(?:%s)[\w\-]{0,12}[\"']?\s{0,3}[:=]\s{0,3}(?:\"([^\"\n]+)\"|'([^'\n]+)'|([^\s\"']+))" % "|".join(map(re.escape, KEY_NAMES))
+)
+USER_PART = re.compile(r"://[^\s/:@]*:([^\s/]+)@")
+USER_BEFORE = re.compile(r"://[^\s/:@]*:$")
 NUMBER = re.compile(r"[\d\-]+")
 
 FEATURES = (
     "size", "changes", "letter_likelihood", "entropy", "digits", "uppers", "symbols", "hex", "coverage", "path", "extension",
-    "key_name", "assigned", "quoted", "harmless", "address", "known_format",
+    "key_name", "assigned", "quoted", "harmless", "address", "known_format", "user_part",
 )
 KINDS = str.maketrans({**{c: "a" for c in "abcdefghijklmnopqrstuvwxyz"}, **{c: "A" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}, **{c: "0" for c in "0123456789"}})
 
@@ -105,14 +114,30 @@ def describe(run: str, before: str, after: str, words: dict[str, int], pairs: di
     plain = [w.strip("\"'=:;,.()") for w in near]
     likelihood = [pairs[lower[k : k + 2]] for k in range(n - 1) if lower[k : k + 2] in pairs]
     return [
-        float(n), sum(a != b for a, b in zip(kinds, kinds[1:])) / (n - 1), float(np.mean(likelihood)) if likelihood else -5.0,
+        float(n), sum(a != b for a, b in zip(kinds, kinds[1:])) / max(1, n - 1), float(np.mean(likelihood)) if likelihood else -5.0,
         -sum(c / n * math.log2(c / n) for c in counts.values()), kinds.count("0") / n, kinds.count("A") / n,
         sum(k not in "aA0" for k in kinds) / n, float(all(c in "0123456789abcdef" for c in lower)), covered(run, words),
         float(run.count("/")), float(bool(re.match(r"\.\w{1,4}\b", after))), float(any(k in w for w in near for k in KEY_NAMES)),
         float(bool(ASSIGNED.search(before))), float(before[-1:] in "\"'" and before[-1:] != "" and after[:1] == before[-1:]),
         float(any(w in HARMLESS for w in plain)), float(after[:1] == "@" or before[-1:] in ("@", ".") or "://" in before[-12:]),
-        float(bool(KEY_FORMATS.fullmatch(run))),
+        float(bool(KEY_FORMATS.fullmatch(run))), float(after[:1] == "@" and bool(USER_BEFORE.search(before))),
+    ]
+
+
+def runs(text: str) -> list[tuple[int, int]]:
+    """(from, to) of each candidate, in order; one that lies in, or laps over, an earlier kind's is left to that."""
+    values = [m.span(m.lastindex) for pattern in (USER_PART, VALUE) for m in pattern.finditer(text)]
+    values = [(a, b - (0 if text[b : b + 1] in ("'", '"', "@") else len(text[a:b]) - len(text[a:b].rstrip(",;)]}>")))) for a, b in values]
+    wide = [
+        m.span() for pattern in (DOTTED, CANDIDATE) for m in pattern.finditer(text)
+        if len(m[0]) >= SHORTEST_PLAIN or any(c.isdigit() for c in m[0])
     ]
+    out: list[tuple[int, int]] = []
+    for a, b in [*values, *wide]:
+        at = bisect_left(out, (a, b))
+        if a < b and (at == 0 or out[at - 1][1] <= a) and (at == len(out) or out[at][0] >= b):
+            out.insert(at, (a, b))
+    return out
 
 
 def candidates(docs: DataFrame, words: dict[str, int]) -> DataFrame:
@@ -126,14 +151,12 @@ def candidates(docs: DataFrame, words: dict[str, int]) -> DataFrame:
             row, at, digest, table = [], [], [], []
             for k, text in enumerate(batch.column(1)):
                 text = text.as_py()
-                for m in CANDIDATE.finditer(text):
-                    run = m[0]
-                    if len(run) < SHORTEST_PLAIN and not any(c.isdigit() for c in run):
-                        continue
+                for start, end in runs(text):
+                    run = text[start:end]
                     row.append(k)
-                    at.append(m.start())
+                    at.append(start)
                     digest.append(hashlib.sha256(run.encode()).hexdigest())
-                    table.append(describe(run, text[max(0, m.start() - NEAR) : m.start()], text[m.end() : m.end() + NEAR], words, pairs))
+                    table.append(describe(run, text[max(0, start - NEAR) : start], text[end : end + NEAR], words, pairs))
             values = np.array(table, float).reshape(len(table), len(FEATURES))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(row, pa.int64())), pa.array(at, pa.int64()), pa.array(digest, pa.string()),
@@ -147,7 +170,7 @@ def candidates(docs: DataFrame, words: dict[str, int]) -> DataFrame:
 def by_rule():
     """True, false or null (undecided) for a candidate's features."""
     return (
-        F.when((F.col("known_format") == 1) | ((F.col("assigned") == 1) & (F.col("digits") > 0) & (F.col("coverage") < 0.5)), True)
+        F.when((F.col("known_format") == 1) | (F.col("user_part") == 1) | ((F.col("assigned") == 1) & (F.col("digits") > 0) & (F.col("coverage") < 0.5)), True)
         .when((F.col("digits") == 1) | (F.col("address") == 1) | (F.col("coverage") >= 0.5) | (F.col("harmless") == 1), False)
     )
 

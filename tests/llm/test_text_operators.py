@@ -288,6 +288,21 @@ def test_secret_scan(spark, odd_docs, no_docs, words):
     assert secret_scan.scan(no_docs).count() == 0
 
 
+def test_short_and_symbol_bearing_secrets_are_candidates(spark):
+    jwt = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.SflKxwRJSMeKKF2QT4fw"
+    texts = {
+        'password = "hunter2"': ["hunter2"], "pwd: P@ss!w0rd": ["P@ss!w0rd"], 'secret = "correct-horse-battery"': ["correct-horse-battery"],
+        "a password: x, then": ["x"], f"see {jwt} here": [jwt], "postgres://me:p.w$1@db/x": ["p.w$1"], "author: John": [],
+        'token = "a b&c#d" and passwd=é!9;': ["a b&c#d", "é!9"],
+    }
+    for text, want in texts.items():
+        assert [text[a:b] for a, b in secret_scan.runs(text)] == want
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = secret_scan.scan(docs).collect()
+    assert sorted(r.digest for r in got) == sorted(hashlib.sha256(x.encode()).hexdigest() for v in texts.values() for x in v)
+    assert [r.secret for r in got if r.doc_id == 5] == [True]
+
+
 def test_pipeline(spark, odd_docs, tmp_path):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "near_dedup", "mixing", "packing"]
     sf = "/root/testdata/sf0.001"
