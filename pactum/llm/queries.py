@@ -7,7 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pactum.llm import line_dedup, minhash, mixing, packing, quality_rules, secret_scan, toxicity, url_filter, vector_dedup, warc
+from pactum.llm import (
+    alignment, line_dedup, minhash, mixing, packing, quality_rules, secret_scan, sentence_pieces, toxicity, url_filter, vector_dedup,
+    warc,
+)
 from pactum.session import table
 
 
@@ -54,6 +57,18 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
+BYTE_LEVEL = public_tokenizers.path("byte_bpe_50k.json")
+SENTENCE_PIECE = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op11_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.round_trip(table(spark, sf_dir, "documents"), SENTENCE_PIECE)
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.report(table(spark, sf_dir, "documents"), BYTE_LEVEL, SENTENCE_PIECE)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_packing": op2_packing,
@@ -65,6 +80,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_minhash": op9_minhash,
     "op10_secret_scan": op10_secret_scan,
+    "op11_sentence_pieces": op11_sentence_pieces,
+    "op12_alignment": op12_alignment,
 }
 
 ORACLES: dict[str, str] = {
