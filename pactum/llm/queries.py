@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from pactum.llm import (
-    alignment, line_dedup, minhash, mixing, packing, quality_rules, secret_scan, sentence_pieces, toxicity, url_filter, vector_dedup,
-    warc,
+    alignment, line_dedup, minhash, mixing, packing, phrases, quality_rules, secret_scan, sentence_pieces, toxicity, url_filter,
+    vector_dedup, warc,
 )
 from pactum.session import table
 
@@ -69,6 +69,10 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.report(table(spark, sf_dir, "documents"), BYTE_LEVEL, SENTENCE_PIECE)
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_packing": op2_packing,
@@ -82,10 +86,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secret_scan": op10_secret_scan,
     "op11_sentence_pieces": op11_sentence_pieces,
     "op12_alignment": op12_alignment,
+    "op13_phrases": op13_phrases,
 }
 
 ORACLES: dict[str, str] = {
     "op1_url_filter": url_filter.SQL,
     "op4_warc": warc.SQL,
     "op8_mixing": mixing.SQL,
+    "op13_phrases": phrases.SQL,
 }
