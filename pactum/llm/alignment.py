@@ -20,83 +20,124 @@ special tokens are plain text. Only doc_id and text are read.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import json
+import re
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pactum.llm.chunks import Remembered, byte_level_bytes, byte_level_chunks
-from pactum.llm.sentence_pieces import MARK, encoder_of
+from pactum.llm.chunks import byte_level_bytes
+from pactum.llm.sentence_pieces import MARK
 from pactum.llm.shared import slices, written
 
 #: Windows whose alignment a worker remembers, and the longest window, in bytes of ids, that it does.
-WINDOWS, LONGEST = 200_000, 256
+WINDOWS, LONGEST = 400_000, 256
+#: How a byte-level vocabulary parts texts before it merges. Fixed value.
+BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+BLANKS = re.compile(r"\s{2000}")
 #: Rows of the table of id pairs (three numbers each) up to which it is broadcast.
 PAIR_ROWS = 500_000
 #: Documents a task works on at a time.
-SLICE = 250
+SLICE = 100
 
 LINKS = "array<struct<a:int,b:int,times:int>>"
 COUNTS = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
 
 
 class Side:
-    """One tokenizer: the ids of a text as bytes, and each id's bytes, length and leading space."""
+    """One tokenizer: the ids of a text, and each id's bytes, length and leading space."""
 
-    def __init__(self, ids_of, token_bytes: list[bytes]):
+    def __init__(self, ids_of: Callable[[str], list[int]], token_bytes: list[bytes]):
         self.ids_of, self.token_bytes = ids_of, token_bytes
-        self.length = np.array([len(t) for t in token_bytes], np.int64)
+        self.lengths = [len(t) for t in token_bytes]
+        self.length = np.array(self.lengths, np.int64)
         self.spaced = np.array([t.startswith(b" ") for t in token_bytes])
 
 
 def byte_side(vocabulary: str) -> Side:
-    """The tokens of a space and the text by a byte-level vocabulary of the tokenizers library."""
+    """The tokens of a space and the text by a byte-level vocabulary file of the tokenizers library.
+
+    Its merges must come in the order of the ids that they make; then tiktoken, given these as ranks, merges alike, and
+    whole texts are encoded several times faster than by the library.
+    """
+    import tiktoken
     from tokenizers import Tokenizer
 
+    with open(vocabulary, encoding="utf-8") as file:
+        model = json.load(file)
+    stand_in = byte_level_bytes()
+    words = model["model"]["vocab"]
+    merged = [words["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["model"]["merges"]]
+    special = {t["content"]: t["id"] for t in model.get("added_tokens", [])}
+    ranks = {bytes(map(stand_in.__getitem__, w)): k for w, k in words.items() if w not in special}
+    if merged != list(range(256, 256 + len(merged))) or model.get("normalizer") or sorted(ranks.values()) != list(range(len(ranks))):
+        raise ValueError(f"{vocabulary} is not a plain byte-level vocabulary")
+    encode = tiktoken.Encoding(vocabulary, pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
     library = Tokenizer.from_file(vocabulary)
     library.encode_special_tokens = True
-    known = Remembered(lambda chunk: library.encode(chunk, add_special_tokens=False).ids)
-    stand_in = byte_level_bytes()
-    names = (library.id_to_token(k) or "" for k in range(library.get_vocab_size(with_added_tokens=True)))
-    token_bytes = [bytes(map(stand_in.__getitem__, n)) if all(c in stand_in for c in n) else n.encode() for n in names]
-    return Side(lambda text: known.of(byte_level_chunks(" " + text)), token_bytes)
+
+    def ids_of(text: str) -> list[int]:
+        if BLANKS.search(text):  # a run so long that tiktoken's expressions give up
+            return library.encode(" " + text, add_special_tokens=False).ids
+        return encode(" " + text)
+
+    token_bytes = [b""] * (1 + max([*ranks.values(), *special.values()]))
+    for data, k in ranks.items():
+        token_bytes[k] = data
+    return Side(ids_of, token_bytes)
 
 
 def piece_side(model: str) -> Side:
     """The tokens of the text by a SentencePiece model, which sets a space before it."""
-    pieces, known = encoder_of(model)
-    of_byte = {k: bytes([b]) for b, k in enumerate(pieces.bytes)}
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=model)
+    names = (library.id_to_piece(k) for k in range(library.vocab_size()))
     token_bytes = [
-        of_byte.get(k, pieces.text.get(k, "").replace(MARK, " ").encode()) for k in range(pieces.library.vocab_size())
+        bytes([int(n[3:5], 16)]) if library.is_byte(k) else n.replace(MARK, " ").encode() for k, n in enumerate(names)
     ]
-    return Side(lambda text: known.of(pieces.chunks(text)), token_bytes)
+    return Side(library.encode, token_bytes)
 
 
-def align(a: list[int], b: list[int], side_a: Side, side_b: Side) -> tuple[list[tuple[list, list]], list[tuple[int, int]]]:
-    """Groups, each the ids of A and of B, and links of one window, whose bytes are those of the other side."""
-    groups, links = [], []
-    at_a = at_b = end_a = end_b = 0
-    own_a, own_b = [], []
+def align(a: list[int], b: list[int], side_a: Side, side_b: Side) -> tuple[str, int, list[int]]:
+    """The groups of one window as text, their number, and its links one after another (a, b, a, b, ...).
+
+    The window's bytes are the same on both sides.
+    """
+    if len(a) == len(b) == 1:
+        return f"{a[0]}|{b[0]}", 1, [a[0], b[0]]
+    long_a, long_b = side_a.lengths, side_b.lengths
+    n, at_a, at_b = 1, 1, 1
+    one, two = a[0], b[0]
+    end_a, end_b = long_a[one], long_b[two]
+    links = [one, two]
+    texts, own_a, own_b = [], str(one), str(two)
     while at_a < len(a) or at_b < len(b):
         if end_a == end_b:  # both start a token here
-            if own_a:
-                groups.append((own_a, own_b))
-            own_a, own_b = [a[at_a]], [b[at_b]]
-            end_a += int(side_a.length[a[at_a]])
-            end_b += int(side_b.length[b[at_b]])
+            texts.append(f"{own_a}|{own_b}")
+            n += 1
+            one, two = a[at_a], b[at_b]
             at_a, at_b = at_a + 1, at_b + 1
+            end_a += long_a[one]
+            end_b += long_b[two]
+            own_a, own_b = str(one), str(two)
         elif end_a < end_b:
-            own_a.append(a[at_a])
-            end_a += int(side_a.length[a[at_a]])
+            one = a[at_a]
             at_a += 1
+            end_a += long_a[one]
+            own_a = f"{own_a},{one}"
         else:
-            own_b.append(b[at_b])
-            end_b += int(side_b.length[b[at_b]])
+            two = b[at_b]
             at_b += 1
-        links.append((own_a[-1], own_b[-1]))
-    return [*groups, (own_a, own_b)], links
+            end_b += long_b[two]
+            own_b = f"{own_b},{two}"
+        links += one, two
+    texts.append(f"{own_a}|{own_b}")
+    return ";".join(texts), n, links
 
 
 class Windows(dict):
@@ -112,30 +153,26 @@ class Windows(dict):
         self.data: list[bytes | None] = []
         self.text: list[bytes] = []
         self.groups: list[int] = []
-        self.links: list[np.ndarray] = []
+        self.links: list[bytes] = []
 
     def __missing__(self, key: tuple[bytes, bytes]) -> int:
-        a, b = (np.frombuffer(k, "<u4").tolist() for k in key)
-        data = b"".join(map(self.side_a.token_bytes.__getitem__, a))
+        a, b = array("I", key[0]).tolist(), array("I", key[1]).tolist()
+        data = b"".join([self.side_a.token_bytes[k] for k in a])
         number = len(self.data)
-        if data == b"".join(map(self.side_b.token_bytes.__getitem__, b)):
-            groups, links = align(a, b, self.side_a, self.side_b)
-            self.data.append(data)
-            self.text.append(";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups).encode())
-            self.groups.append(len(groups))
-            self.links.append(np.array(links, np.int32))
+        if data == b"".join([self.side_b.token_bytes[k] for k in b]):
+            text, n, links = align(a, b, self.side_a, self.side_b)
         else:
-            self.data.append(None)
-            self.text.append(b"")
-            self.groups.append(0)
-            self.links.append(np.empty((0, 2), np.int32))
+            data, text, n, links = None, "", 0, []
+        self.data.append(data)
+        self.text.append(text.encode())
+        self.groups.append(n)
+        self.links.append(array("i", links).tobytes())
         if len(key[0]) + len(key[1]) <= LONGEST:
             self[key] = number
         return number
 
-    def of(self, a: bytes, b: bytes) -> list[int] | None:
+    def of(self, ids_a: np.ndarray, ids_b: np.ndarray) -> list[int] | None:
         """The numbers of a text's windows; None if both sides do not cover the same number of bytes."""
-        ids_a, ids_b = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
         end_a, end_b = self.side_a.length[ids_a].cumsum(), self.side_b.length[ids_b].cumsum()
         if not len(end_a) or not len(end_b) or end_a[-1] != end_b[-1]:
             return None
@@ -147,6 +184,7 @@ class Windows(dict):
             cut_a, cut_b = (cut_a[shared] + 1) * 4, (cut_b[place[shared]] + 1) * 4
         else:
             cut_a = cut_b = np.empty(0, np.int64)
+        a, b = ids_a.tobytes(), ids_b.tobytes()
         to_a, to_b = [*cut_a.tolist(), len(a)], [*cut_b.tolist(), len(b)]
         return [self[a[i:j], b[k:m]] for i, j, k, m in zip([0, *to_a], to_a, [0, *to_b], to_b)]
 
@@ -178,7 +216,7 @@ def aligned(docs: DataFrame, vocabulary: str, model: str, groups: bool = False)
                 text = value.as_py() or ""
                 found = None
                 if text:
-                    a, b = known.side_a.ids_of(text), known.side_b.ids_of(text)
+                    a, b = (np.array(side.ids_of(text), "<u4") for side in (known.side_a, known.side_b))
                     found = known.of(a, b)
                 if found is not None:
                     data = [known.data[w] for w in found]
@@ -188,8 +226,8 @@ def aligned(docs: DataFrame, vocabulary: str, model: str, groups: bool = False)
                     n_a.append(0), n_b.append(0), digests.append(""), texts.append(""), sizes.append(0)
                     continue
                 line = b";".join([known.text[w] for w in found])
-                n_a.append(len(a) // 4)
-                n_b.append(len(b) // 4)
+                n_a.append(len(a))
+                n_b.append(len(b))
                 digests.append(hashlib.sha256(line).hexdigest())
                 if groups:
                     texts.append(line.decode())
@@ -200,8 +238,8 @@ def aligned(docs: DataFrame, vocabulary: str, model: str, groups: bool = False)
             entry, times = np.unique(entry, return_counts=True)
             row, window = entry >> 32, entry & 0xFFFFFFFF
             per_window = [known.links[w] for w in window.tolist()]
-            links = np.array([len(x) for x in per_window], np.int64)
-            pairs = np.concatenate([np.empty((0, 2), np.int32), *per_window])
+            links = np.array([len(x) // 8 for x in per_window], np.int64)
+            pairs = np.frombuffer(b"".join(per_window), np.int32).reshape(-1, 2)
             offsets = np.concatenate([[0], np.bincount(row, links, rows).cumsum()]).astype(np.int32)
             structs = pa.StructArray.from_arrays(
                 [pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), pa.array(np.repeat(times, links).astype(np.int32))],

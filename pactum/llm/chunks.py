@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from array import array
 from collections.abc import Callable, Iterable
 
@@ -41,15 +40,6 @@ class Remembered(dict):
 
 #: Latin letters.
 LATIN = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]"
-#: A byte-level vocabulary's words never reach over a space that stands before a character that is no white space,
-#: nor from a letter to a stop or comma.
-_BYTE_LEVEL = re.compile(rf" ?{LATIN}+(?=[.,])|.(?:[^ ]+| (?!\S))*", re.S)
-
-
-def byte_level_chunks(text: str) -> list[str]:
-    """The text cut there."""
-    return _BYTE_LEVEL.findall(text)
-
 
 def byte_level_bytes() -> dict[str, int]:
     """The byte that each printable stand-in of a byte-level vocabulary means."""
