@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pactum.llm.shared import slices, small, written
@@ -207,8 +207,8 @@ def removals(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     return cut.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list("at")).alias("cut"))
 
 
-def clean(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """The input, its texts without the deleted lines, and a column ``_cut`` (places deleted, null if none)."""
+def cleaned(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """doc (each row of the input as a struct), text (without the deleted lines) and cut (places deleted, null if none)."""
     gone = small(written(removals(docs, least_words), "line-removals"), "cut")
     rows = docs.select(F.struct("*").alias("doc"), F.xxhash64("text").alias("own"))
     joined = rows.join(gone, (F.col("doc.doc_id") == gone["doc_id"]) & (F.col("own") == F.col("text_key")), "left").withColumn(
@@ -216,19 +216,28 @@ def clean(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     )
     kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "cut")
     rest = F.array_join(F.transform(kept, lambda i: F.get("lines", i)), "\n")
-    text = F.when(F.col("cut").isNull(), F.col("doc.text")).otherwise(rest)
-    return joined.select(*[text.alias(c) if c == "text" else F.col("doc").getField(c).alias(c) for c in docs.columns], F.col("cut").alias("_cut"))
+    return joined.select("doc", F.when(F.col("cut").isNull(), F.col("doc.text")).otherwise(rest).alias("text"), "cut")
+
+
+def _columns(names: list[str]) -> list[Column]:
+    return [(F.col("text") if c == "text" else F.col("doc").getField(c)).alias(c) for c in names]
+
+
+def clean(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """The input, its texts without the deleted lines, and a column ``_cut`` (places deleted, null if none)."""
+    rows = cleaned(docs, least_words)
+    return rows.select(*_columns(docs.columns), F.col("cut").alias("_cut"))
 
 
 def report(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """doc_id, the text that is left, how many lines went and which (places from 0, as "3,4,5")."""
-    cut = F.coalesce("_cut", F.array().cast("array<int>"))
-    return clean(docs.select("doc_id", "text"), least_words).select(
-        "doc_id", "text", F.size(cut).cast("long").alias("n_removed"), F.array_join(cut.cast("array<string>"), ",").alias("removed"),
+    cut = F.coalesce("cut", F.array().cast("array<int>"))
+    return cleaned(docs.select("doc_id", "text"), least_words).select(
+        "doc.doc_id", "text", F.size(cut).cast("long").alias("n_removed"), F.array_join(cut.cast("array<string>"), ",").alias("removed"),
     )
 
 
 def without_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """The documents, all columns, with their cleaned texts; those of which no word is left go."""
-    cleaned = clean(docs, least_words)
-    return cleaned.filter(F.col("_cut").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
+    """The documents, all columns, whatever their names, with their cleaned texts; those of which no word is left go."""
+    rows = cleaned(docs, least_words).filter(F.col("cut").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return rows.select(*_columns(docs.columns))

@@ -12,20 +12,23 @@ and equal registers are the likelier the more two sets overlap.
 3. A pair goes on if the joint likelihood of both sketches, given the sizes of the sets, puts the similarity
    within SLACK (four standard deviations) of the limit, and is then decided on the full sets.
 4. In buckets whose members are not all one component by now, every pair across components is a candidate
-   too. Such a bucket is cut into blocks by a hash, and a task compares the sketches of two blocks: what it gives
-   out are pairs that pass step 3's likelihood, each in the first bucket that they share. Pairs inside a
-   component cannot change it; so no link between components is lost, and a group of thousands of copies is never
-   expanded into its pairs.
-
-Defined cases: a null, empty or blank text has an empty set and is linked with nothing; rows that share an id are
-one document; a row with a null id is linked with nothing, kept, and has no component id; an empty table gives
-no rows. Only doc_id and text are read.
+   too. Such a bucket is cut into blocks by a hash, and a task compares the sketches of two blocks, each pair in the
+   first bucket that it shares. It gives out the members of pairs that pass step 3's likelihood: no pairs.
+5. Those members come back to their blocks with their full sets, and the task decides such pairs on these. A pair
+   whose components a link of the block has joined already is passed over, so a block gives out fewer links than
+   it has members. Pairs inside a component cannot change it; so no link between components is lost, and neither a
+   group of thousands of copies nor one of thousands of almost-copies is ever expanded into its pairs.
+
+Defined cases: a null, empty or blank text has an empty set and is linked with nothing; rows that share an id and a set
+are one document; of an id with several sets the least set takes part, and rows with the others are linked with nothing
+and kept under their own id; a row with a null id is linked with nothing, kept, and has no component id; an empty
+table gives no rows. Only doc_id and text are read.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +44,8 @@ BANDS, ROWS = 64, 5
 REGISTERS = BANDS * ROWS
 #: Rate, base and largest value of the registers' scale.
 RATE, BASE, LARGEST = 20.0, 1.001, 65_534
-#: Members of a bucket that one task compares with as many others.
-BLOCK = 1024
+#: Members of a bucket that one task compares with as many others, and shingles of all of them, about.
+BLOCK, BLOCK_SHINGLES = 1024, 2_000_000
 #: How far below the limit an estimate may be for its pair to be decided on the full sets.
 SLACK = 4 * (LIMIT / 100 * (1 - LIMIT / 100) / REGISTERS) ** 0.5
 
@@ -102,8 +105,8 @@ def estimate(one: np.ndarray, two: np.ndarray, sizes_one: np.ndarray, sizes_two:
 
 
 def sketches(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, set_key (128 bits of the whole set) and registers of each row: map-only."""
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    """doc_id, n_shingles, set_key (128 bits of the whole set), registers and text_key of each row: map-only."""
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.md5("text").alias("text_key"))
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,11 +117,11 @@ def sketches(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
                 keys.append(hashlib.blake2b(elements.tobytes(), digest_size=16).digest() if len(elements) else None)
                 rows.append(registers(elements).tobytes() if len(elements) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(rows, pa.binary())],
-                names=["doc_id", "n_shingles", "set_key", "registers"],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(rows, pa.binary()), batch.column(2)],
+                names=["doc_id", "n_shingles", "set_key", "registers", "text_key"],
             )
 
-    return docs.mapInArrow(sketched, "doc_id long, n_shingles long, set_key binary, registers binary")
+    return docs.mapInArrow(sketched, "doc_id long, n_shingles long, set_key binary, registers binary, text_key string")
 
 
 def likely(pairs: DataFrame, classes: DataFrame, limit: int = LIMIT) -> DataFrame:
@@ -143,8 +146,9 @@ def likely(pairs: DataFrame, classes: DataFrame, limit: int = LIMIT) -> DataFram
     return both.mapInArrow(judged, "a long, b long")
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(id, elements) of the documents whose id is among ids (id)."""
+def sets_of(docs: DataFrame, ids: DataFrame, classes: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """(id, elements) of the classes whose id is among ids (id), once each: of the text that stands for the class."""
+    chosen = written(classes.select("id", "text_key").join(ids, "id", "left_semi"), "near-ids")
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,13 +156,15 @@ def sets_of(docs: DataFrame, ids: DataFrame, size: int = SHINGLE) -> DataFrame:
             values = [shingles(t.as_py(), size).view(np.int64) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.list_(pa.int64()))], names=["id", "elements"])
 
-    return rows.join(small(ids), "id").mapInArrow(shingled, "id long, elements array<long>")
+    found = rows.withColumn("text_key", F.md5("text")).join(small(chosen), ["id", "text_key"]).select("id", "text")
+    sets = written(found.mapInArrow(shingled, "id long, elements array<long>"), "near-sets")
+    return sets if sets.count() == chosen.count() else sets.dropDuplicates(["id"])
 
 
-def verified(pairs: DataFrame, docs: DataFrame, size: int = SHINGLE, limit: int = LIMIT) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int = SHINGLE, limit: int = LIMIT) -> DataFrame:
     """The pairs (a, b) whose full sets reach the limit."""
-    ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "near-ids")
-    sets = written(sets_of(docs, ids, size), "near-sets")
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    sets = sets_of(docs, ids, classes, size)
     joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("elements").alias("set_a")), "a").join(
         sets.select(F.col("id").alias("b"), F.col("elements").alias("set_b")), "b"
     )
@@ -167,11 +173,24 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int = SHINGLE, limit: int
     return joined.withColumn("common", common).filter(100 * F.col("common") >= limit * union).select("a", "b")
 
 
+def one_set_an_id(sketched: DataFrame) -> DataFrame:
+    """The rows; of an id that has several sets only the least set keeps its key and so takes part in linking."""
+    several = written(
+        sketched.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(
+            F.min("set_key").alias("least_key"), F.max("set_key").alias("last_key")
+        ).filter("least_key < last_key").select("doc_id", "least_key"), "near-several",
+    )
+    if several.isEmpty():
+        return sketched
+    least = F.col("least_key").isNull() | (F.col("set_key") == F.col("least_key"))
+    return sketched.join(small(several), "doc_id", "left").withColumn("set_key", F.when(least, F.col("set_key"))).drop("least_key")
+
+
 def classes_of(sketched: DataFrame) -> DataFrame:
-    """id (smallest of the class), set_key, n_shingles and registers of each class of equal sets."""
+    """id (smallest of the class) and its text_key, set_key, n_shingles and registers of each class of equal sets."""
     return sketched.filter("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key").agg(
-        F.min("doc_id").alias("id"), F.min("n_shingles").alias("n_shingles"), F.min("registers").alias("registers")
-    )
+        F.min(F.struct("doc_id", "text_key")).alias("first"), F.min("n_shingles").alias("n_shingles"), F.min("registers").alias("registers")
+    ).select("set_key", F.col("first.doc_id").alias("id"), F.col("first.text_key").alias("text_key"), "n_shingles", "registers")
 
 
 def band_entries(classes: DataFrame) -> DataFrame:
@@ -183,93 +202,139 @@ def band_entries(classes: DataFrame) -> DataFrame:
     ])))
 
 
-def across(entries: DataFrame, classes: DataFrame, limit: int) -> DataFrame:
-    """Likely pairs (a, b) of one bucket and two components, each in the first bucket that the pair shares.
+MEMBER = "bucket long, low int, high int, band int, block int, first_id long, id long, component long, n_shingles long, registers binary"
 
-    entries: bucket, band, first_id, id, component. Pairs with the bucket's first id were decided before.
-    """
-    sizes = entries.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    split = entries.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn(
+
+def blocks(entries: DataFrame, classes: DataFrame) -> DataFrame:
+    """The members of open buckets with their sketches, once for each pair of blocks (low, high) that they are in."""
+    rows = entries.join(classes.select("id", "n_shingles", "registers"), "id")
+    sizes = entries.join(classes.select("id", "n_shingles"), "id").groupBy("bucket").agg(
+        F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("parts")
+    )
+    split = rows.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     ).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
-    rows = split.join(classes.select("id", "n_shingles", "registers"), "id").select(
-        "bucket", "low", "high", "band", "block", "first_id", "id", "component", "n_shingles", "registers"
-    )
-    least = limit / 100 - SLACK
-
-    def pairs_of(key, rows) -> tuple[np.ndarray, np.ndarray]:
-        low, high, band, block, first, ids, component, sizes, registers = (*key, *rows)
-        left = np.flatnonzero(block == low)
-        right = np.flatnonzero(block == high)
-        out_a, out_b = [], []
-        sketched = registers.reshape(len(ids), BANDS, ROWS)
-        for i in left:
-            if ids[i] == first:
+    return split.select(*[field.split()[0] for field in MEMBER.split(", ")])
+
+
+class Block:
+    """Two blocks of a bucket: their members' columns."""
+
+    def __init__(self, table: pa.Table):
+        (self.low, *_), (self.high, *_), (self.band, *_) = (table.column(k).to_pylist()[:1] for k in (1, 2, 3))
+        self.block, self.first, self.ids, self.component, self.sizes = (table.column(k).to_numpy() for k in range(4, 9))
+        self.registers = np.frombuffer(b"".join(table.column(9).to_pylist()), ">u2").astype(np.uint16).reshape(-1, REGISTERS)
+
+    def likely(self, limit: int) -> Iterator[tuple[int, np.ndarray]]:
+        """A member and others, each a likely pair across components that shares no bucket of an earlier band.
+
+        Pairs with the bucket's first id were decided before.
+        """
+        least, banded = limit / 100 - SLACK, self.registers.reshape(-1, BANDS, ROWS)
+        right = np.flatnonzero(self.block == self.high)
+        for i in np.flatnonzero(self.block == self.low):
+            if self.ids[i] == self.first[i]:
                 continue
-            other = right[right > i] if low == high else right
-            ratio = np.minimum(sizes[other], sizes[i]) * 100 >= limit * np.maximum(sizes[other], sizes[i])
-            other = other[ratio & (component[other] != component[i]) & (ids[other] != first)]
-            if band and len(other):
-                other = other[~(sketched[other, :band] == sketched[i, :band]).all(axis=2).any(axis=1)]
+            other = right[right > i] if self.low == self.high else right
+            near = np.minimum(self.sizes[other], self.sizes[i]) * 100 >= limit * np.maximum(self.sizes[other], self.sizes[i])
+            other = other[near & (self.component[other] != self.component[i]) & (self.ids[other] != self.first[i])]
+            if self.band and len(other):
+                other = other[~(banded[other, : self.band] == banded[i, : self.band]).all(axis=2).any(axis=1)]
+            if len(other):
+                mine = np.broadcast_to(self.registers[i], (len(other), REGISTERS))
+                sizes = np.full(len(other), self.sizes[i], float)
+                other = other[estimate(mine, self.registers[other], sizes, self.sizes[other].astype(float)) >= least]
             if len(other):
-                mine = np.broadcast_to(registers[i], (len(other), REGISTERS))
-                likely = estimate(mine, registers[other], np.full(len(other), sizes[i], float), sizes[other].astype(float)) >= least
-                out_b.append(ids[other[likely]])
-                out_a.append(np.full(int(likely.sum()), ids[i]))
-        empty = np.empty(0, np.int64)
-        return np.concatenate(out_a or [empty]), np.concatenate(out_b or [empty])
+                yield i, other
+
+
+def by_block(rows: DataFrame, judge: Callable[[pa.Table], pa.RecordBatch | None], schema: str) -> DataFrame:
+    """What ``judge`` gives for the rows of each bucket, low and high that lie in more than one component."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
 
         def groups(table: pa.Table, last: bool) -> tuple[list, pa.Table | None]:
-            columns = [table.column(k).to_numpy() for k in range(9)]
             change = np.zeros(table.num_rows, bool)
-            for key in columns[:3]:
+            for k in range(3):
+                key = table.column(k).to_numpy()
                 change[1:] |= key[1:] != key[:-1]
             starts = [0, *np.flatnonzero(change).tolist()]
             ends = [*starts[1:], table.num_rows]
-            rest = None if last else table.slice(starts[-1])
+            component = table.column(7).to_numpy()
             found = []
             for at, end in list(zip(starts, ends))[: None if last else -1]:
-                if end - at > 1 and (columns[7][at:end] != columns[7][at]).any():
-                    registers = np.frombuffer(b"".join(table.column(9).slice(at, end - at).to_pylist()), ">u2").astype(np.uint16)
-                    found.append(pairs_of(
-                        (columns[1][at], columns[2][at], columns[3][at]),
-                        (columns[4][at:end], columns[5][at], *[c[at:end] for c in columns[6:9]], registers.reshape(-1, REGISTERS)),
-                    ))
-            return found, rest
-
-        def batch_of(found: list) -> pa.RecordBatch:
-            a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                if end - at > 1 and (component[at:end] != component[at]).any():
+                    found.append(judge(table.slice(at, end - at)))
+            return [f for f in found if f is not None], None if last else table.slice(starts[-1])
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch])
-            held = table if held is None else pa.concat_tables([held, table]).combine_chunks()
-            found, held = groups(held, False)
-            if found:
-                yield batch_of(found)
+            if batch.num_rows:
+                table = pa.Table.from_batches([batch])
+                held = table if held is None else pa.concat_tables([held, table]).combine_chunks()
+                found, held = groups(held, False)
+                yield from found
         if held is not None:
-            found, _ = groups(held, True)
-            if found:
-                yield batch_of(found)
+            yield from groups(held, True)[0]
 
     key = ["bucket", "low", "high"]
-    return rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "a long, b long")
+    return rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, schema)
 
 
-def duplicates(docs: DataFrame, size: int = SHINGLE, limit: int = LIMIT) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept: one row for each row of docs."""
-    sketched = written(sketches(docs, size), "near-sketches")
+def across(entries: DataFrame, classes: DataFrame, docs: DataFrame, size: int, limit: int) -> DataFrame:
+    """Links (a, b) between components: of each pair of blocks a spanning set of those whose full sets reach the limit.
+
+    entries: bucket, band, first_id, id, component.
+    """
+
+    def members(table: pa.Table) -> pa.RecordBatch | None:
+        keep = np.zeros(table.num_rows, bool)
+        for i, other in Block(table).likely(limit):
+            keep[i] = True
+            keep[other] = True
+        return table.filter(pa.array(keep)).combine_chunks().to_batches()[0] if keep.any() else None
+
+    def links(table: pa.Table) -> pa.RecordBatch | None:
+        block, sets = Block(table), table.column(10).combine_chunks()
+        root = {c: c for c in block.component.tolist()}
+        out: list[tuple[int, int]] = []
+
+        def top(c: int) -> int:
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        elements = lambda k: sets[int(k)].values.to_numpy()
+        for i, other in block.likely(limit):
+            mine = elements(i)
+            for j in other:
+                one, two = top(block.component[i]), top(block.component[j])
+                if one == two:
+                    continue
+                theirs = elements(j)
+                common = len(np.intersect1d(mine, theirs, assume_unique=True))
+                if 100 * common >= limit * (len(mine) + len(theirs) - common):
+                    root[one] = two
+                    out.append((int(block.ids[i]), int(block.ids[j])))
+        if not out:
+            return None
+        a, b = np.array(out).T
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    marked = written(by_block(blocks(entries, classes), members, MEMBER), "near-members")
+    sets = sets_of(docs, marked.select("id").distinct(), classes, size)
+    return by_block(marked.join(sets, "id").select(*marked.columns, "elements"), links, "a long, b long")
+
+
+def judged_rows(docs: DataFrame, size: int = SHINGLE, limit: int = LIMIT) -> DataFrame:
+    """doc_id, text_key, n_shingles, component_id and kept: one row for each row of docs."""
+    sketched = one_set_an_id(written(sketches(docs, size), "near-sketches"))
     classes = written(classes_of(sketched), "near-classes")
     entries = band_entries(classes)
     shared = entries.groupBy("bucket").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id")).filter("first_id < last_id")
     crowded = written(entries.join(shared.select("bucket", "first_id"), "bucket"), "near-entries")
     first = written(crowded.filter("id <> first_id").select(F.col("first_id").alias("a"), F.col("id").alias("b")).distinct(), "near-pairs")
-    links = written(verified(written(likely(first, classes, limit), "near-likely"), docs, size, limit), "near-links")
+    links = written(verified(written(likely(first, classes, limit), "near-likely"), docs, classes, size, limit), "near-links")
     found = components(links)
 
     placed = crowded.join(found.withColumnRenamed("node", "id"), "id", "left").select(
@@ -277,7 +342,7 @@ def duplicates(docs: DataFrame, size: int = SHINGLE, limit: int = LIMIT) -> Data
     )
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
     open_entries = written(placed.join(mixed.select("bucket"), "bucket"), "near-open")
-    more = written(verified(written(across(open_entries, classes, limit), "near-likely"), docs, size, limit), "near-links")
+    more = written(across(open_entries, classes, docs, size, limit), "near-links")
     if more.limit(1).count():
         found = components(links.unionByName(more))
 
@@ -286,11 +351,18 @@ def duplicates(docs: DataFrame, size: int = SHINGLE, limit: int = LIMIT) -> Data
     )
     own = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("class_component")), F.col("doc_id"))
     return sketched.join(by_class, "set_key", "left").select(
-        "doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept")
+        "doc_id", "text_key", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept")
     )
 
 
+def duplicates(docs: DataFrame, size: int = SHINGLE, limit: int = LIMIT) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept: one row for each row of docs."""
+    return judged_rows(docs, size, limit).drop("text_key")
+
+
 def without_duplicates(docs: DataFrame, size: int = SHINGLE, limit: int = LIMIT) -> DataFrame:
-    """The documents, all columns, without those that are not the first of their component."""
-    gone = small(written(duplicates(docs, size, limit).filter("NOT kept").select("doc_id").distinct(), "near-gone"))
-    return docs.join(gone, docs["doc_id"] == gone["doc_id"], "left_anti")
+    """The documents, all columns, without those that are not the first of their component: judged by id and text."""
+    out = judged_rows(docs, size, limit).filter("NOT kept").select(F.col("doc_id").alias("gone_id"), "text_key").distinct()
+    gone = small(written(out, "near-gone"))
+    same = (docs["doc_id"] == gone["gone_id"]) & (F.md5(docs["text"].cast("string")) == gone["text_key"])
+    return docs.join(gone, same, "left_anti")

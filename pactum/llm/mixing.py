@@ -1,10 +1,10 @@
 """Mixing sources to target weights by repetition: whole copies plus one hash-seeded coin.
 
 Each source has a target number of words. The source's rate is target / size; a document is emitted
-``floor(rate)`` times, and once more if a coin seeded by its id falls below the fraction of the rate.
+``floor(rate)`` times, and once more if a coin seeded by its id and text falls below the fraction of the rate.
 
-Defined cases: a null text has size 0; a null source is a source of its own, last in order; rows with
-the same id and source draw the same coin; a source without words has target and rate 0; an empty
+Defined cases: a null text has size 0; a null source is a source of its own, last in order; rows without an id and
+rows that share one draw apart by their texts, only rows with the same id and text draw the same coin; a source without words has target and rate 0; an empty
 table gives an empty result. Columns of the input that clash with the names used here are not read
 (only id, text and source are), and :func:`mix` returns the input's columns unchanged.
 """
@@ -74,7 +74,7 @@ def copies(docs: DataFrame, **options) -> DataFrame:
     targets = targets.select(F.col("source").alias("of_source"), "source_size", "target", "rate")
     joined = sized.join(small(targets), F.col("doc.source").eqNullSafe(F.col("of_source")), "left")
     whole = F.floor("rate")
-    coin = hash_unit(F.lit("mix"), F.col("doc.doc_id")) < F.col("rate") - whole
+    coin = hash_unit(F.lit("mix"), F.col("doc.doc_id"), F.md5(text_of("doc.text"))) < F.col("rate") - whole
     return joined.select("doc", F.struct("size", "source_size", "target", (whole + coin.cast("long")).alias("copies")).alias("mix"))
 
 
@@ -117,7 +117,7 @@ mix_rates AS (
 mix_copies AS (
   SELECT d.*, r.source_size, r.target,
     CAST(floor(r.rate) AS BIGINT) + CAST(
-      ('0x' || substr(md5('mix:' || coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE
+      ('0x' || substr(md5('mix:' || coalesce(CAST(d.doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 8))::BIGINT / 4294967296.0::DOUBLE
         < r.rate - floor(r.rate) AS BIGINT) AS copies
   FROM mix_sized d JOIN mix_rates r ON d.source IS NOT DISTINCT FROM r.source)
 """

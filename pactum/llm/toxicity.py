@@ -30,6 +30,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from pactum.llm.shared import slices, small, text_of, written
 
@@ -172,9 +173,7 @@ def with_features(docs: DataFrame, lexicon: dict[str, float], *keys: str) -> Dat
     """The keys and a column for each feature; texts are read whole, some at a time."""
     rows = docs.select(*keys) if "text" in keys else docs.select(*keys, text_of().alias("text"))
     at = rows.columns.index("text")
-    schema = ", ".join(
-        [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keys)]] + [f"_{f} double" for f in FEATURES]
-    )
+    schema = StructType([*rows.schema.fields[: len(keys)], *[StructField(f"_{f}", DoubleType()) for f in FEATURES]])
 
     def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Lexicon(lexicon)
@@ -253,6 +252,10 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents, all columns, that score below 0.5: scored as they pass, without a join."""
+    """The documents, all columns, that score below 0.5: scored as they pass, without a join.
+
+    A row travels as one struct, so its columns may have any names.
+    """
     scorer = train(docs, labels)
-    return scorer.score(docs, *docs.columns).filter("_score < 0.5").select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("doc"), "text")
+    return scorer.score(rows, "doc").filter("_score < 0.5").select("doc.*")

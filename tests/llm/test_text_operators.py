@@ -315,3 +315,52 @@ def test_pipeline(spark, odd_docs, tmp_path):
         docs.write.parquet(path)
         docs = spark.read.parquet(path)
     assert {2, 12}.isdisjoint({r.doc_id for r in docs.collect()}) and docs.filter("piece > 0").count() > 0
+
+
+def test_almost_copies_are_decided_in_their_blocks(spark, words):
+    """Many near copies around the limit: buckets of many components, equal to all pairs; links stay below the members."""
+    rng = random.Random(11)
+    base = words(3, 80).split()
+    texts = []
+    for k in range(150):
+        own = base[:]
+        for _ in range(rng.randint(0, 5)):
+            own[rng.randrange(len(own))] = f"w{rng.randrange(40)}"
+        texts.append(" ".join(own))
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    sets = [set(minhash.shingles(t).tolist()) for t in texts]
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    assert len(set(root)) > 5
+    assert {r.doc_id: r.component_id for r in minhash.duplicates(docs).collect()} == dict(enumerate(root))
+
+
+def test_stages_keep_every_name_and_every_text(spark, words, labels):
+    """Clashing and dotted names, null and repeated ids, an id with two texts and an empty table through every stage."""
+    a, b = words(1, 90), words(2, 90)
+    names = ["_score", "_features", "_fixed_density", "_cut", "a.b", "doc", "text_key", "gone_id", "cut", "component"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` int" for n in names)
+    rows = [(3, a), (5, a), (5, b), (None, a), (None, None), (6, ""), (7, words(3, 20)), (7, words(3, 20))]
+    docs = spark.createDataFrame([(*r, "en", "s", 1, *range(len(names))) for r in rows], schema)
+    for table in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = {
+                "toxicity": lambda d: toxicity.without_toxic(d, labels), "line_dedup": line_dedup.without_repeats,
+                "near_dedup": minhash.without_duplicates, "mixing": corpus_pipeline.mixing.mix,
+            }[name](table)
+            assert out.columns == docs.columns
+            assert out.count() >= 0
+            if name == "near_dedup" and table is docs:
+                left = {(r.doc_id, r.text) for r in out.collect()}
+                assert (3, a) in left and (5, b) in left and (5, a) not in left
+                assert all(r["a.b"] == 4 for r in map(lambda r: r.asDict(), out.collect()))
+
+
+def test_rows_without_an_id_draw_apart(spark, words):
+    docs = spark.createDataFrame([(None, words(k, 10), "s") for k in range(400)], "doc_id long, text string, source string")
+    taken = corpus_pipeline.mixing.report(docs, total_share=0.75).agg({"taken": "sum"}).first()[0]
+    assert abs(taken - 3000) < 400
