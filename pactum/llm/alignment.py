@@ -3,11 +3,13 @@
 A is a byte-level vocabulary (of a space and the text), B a SentencePiece model of merge type (of the text, before
 which it sets a space), so both cover the same bytes.
 
-1. Every text is tokenised whole by both. A window ends where a token of A and one of B end at the same byte and the
-   next token of both starts with a space. Windows are tuples of token ids, and natural text repeats them, so each
-   task aligns a window once and remembers it: its bytes (compared between A and B), its groups (cut wherever
-   tokens of both end together) and its links (pairs of tokens whose bytes overlap).
-2. A text counts only if its windows' bytes make up the space and the text exactly; else it has no tokens.
+1. Every text is tokenised whole by both: cut at single spaces before a character that is no white space, which no word
+   of A and no piece of B reaches over (the model's pieces are looked through for that), stretches are tokenised and
+   remembered. Where a stretch starts, the tokens of both start with a space and those before end at the same byte: a
+   shared end, verified by the stretch's bytes. Stretches so are the windows. A window is known by its tuples of token
+   ids, and each task aligns it once: its groups (cut wherever tokens of both end together) and its links (pairs of
+   tokens whose bytes overlap).
+2. A text counts only if the bytes of both sides' tokens are those of each of its windows; else it has no tokens.
 3. Links are counted over the corpus, from each document's windows and their numbers, with map-side combine. The
    table of id pairs is broadcast only where its counted rows stay in PAIR_ROWS; else the same join is shuffled,
    and the documents' side, where a frequent pair is hot, can be split.
@@ -31,11 +33,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pactum.llm.chunks import byte_level_bytes
-from pactum.llm.sentence_pieces import MARK
+from pactum.llm.sentence_pieces import MARK, encoder_of
 from pactum.llm.shared import slices, written
 
-#: Windows whose alignment a worker remembers, and the longest window, in bytes of ids, that it does.
-WINDOWS, LONGEST = 400_000, 256
+#: Windows whose alignment a worker remembers, and the longest stretch, in characters, that it does.
+WINDOWS, LONGEST = 200_000, 64
+#: A single space before a character that is no white space: both tokenizers' tokens end before it.
+STRETCH = re.compile(r"(?<! ) (?=\S)")
 #: How a byte-level vocabulary parts texts before it merges. Fixed value.
 BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BLANKS = re.compile(r"\s{2000}")
@@ -49,23 +53,23 @@ COUNTS = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
 
 
 class Side:
-    """One tokenizer: the ids of a text, and each id's bytes, length and leading space."""
+    """One tokenizer: the ids of a text that starts with a space, and each id's bytes and their number."""
 
     def __init__(self, ids_of: Callable[[str], list[int]], token_bytes: list[bytes]):
         self.ids_of, self.token_bytes = ids_of, token_bytes
         self.lengths = [len(t) for t in token_bytes]
-        self.length = np.array(self.lengths, np.int64)
-        self.spaced = np.array([t.startswith(b" ") for t in token_bytes])
+
+    def bytes_of(self, ids: list[int]) -> bytes:
+        return b"".join([self.token_bytes[k] for k in ids])
 
 
 def byte_side(vocabulary: str) -> Side:
-    """The tokens of a space and the text by a byte-level vocabulary file of the tokenizers library.
+    """Tokens by a byte-level vocabulary file of the tokenizers library.
 
     Its merges must come in the order of the ids that they make; then tiktoken, given these as ranks, merges alike, and
-    whole texts are encoded several times faster than by the library.
+    encodes several times faster than the library.
     """
     import tiktoken
-    from tokenizers import Tokenizer
 
     with open(vocabulary, encoding="utf-8") as file:
         model = json.load(file)
@@ -77,13 +81,15 @@ def byte_side(vocabulary: str) -> Side:
     if merged != list(range(256, 256 + len(merged))) or model.get("normalizer") or sorted(ranks.values()) != list(range(len(ranks))):
         raise ValueError(f"{vocabulary} is not a plain byte-level vocabulary")
     encode = tiktoken.Encoding(vocabulary, pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    library = Tokenizer.from_file(vocabulary)
-    library.encode_special_tokens = True
 
     def ids_of(text: str) -> list[int]:
-        if BLANKS.search(text):  # a run so long that tiktoken's expressions give up
-            return library.encode(" " + text, add_special_tokens=False).ids
-        return encode(" " + text)
+        if len(text) > 2000 and BLANKS.search(text):  # a run so long that tiktoken's expressions give up
+            from tokenizers import Tokenizer
+
+            library = Tokenizer.from_file(vocabulary)
+            library.encode_special_tokens = True
+            return library.encode(text, add_special_tokens=False).ids
+        return encode(text)
 
     token_bytes = [b""] * (1 + max([*ranks.values(), *special.values()]))
     for data, k in ranks.items():
@@ -92,15 +98,16 @@ def byte_side(vocabulary: str) -> Side:
 
 
 def piece_side(model: str) -> Side:
-    """The tokens of the text by a SentencePiece model, which sets a space before it."""
-    import sentencepiece
-
-    library = sentencepiece.SentencePieceProcessor(model_file=model)
-    names = (library.id_to_piece(k) for k in range(library.vocab_size()))
+    """Tokens by a SentencePiece model, of a text that starts with the space which the model sets itself."""
+    pieces = encoder_of(model)[0]  # which also checks that the model is of merge type
+    of_byte = {k: bytes([b]) for b, k in enumerate(pieces.bytes)}
+    if any(re.search(f"[^{MARK}]{MARK}", text) for text in pieces.id):
+        raise ValueError(f"pieces of {model} reach over spaces")
     token_bytes = [
-        bytes([int(n[3:5], 16)]) if library.is_byte(k) else n.replace(MARK, " ").encode() for k, n in enumerate(names)
+        of_byte.get(k, pieces.text.get(k, "").replace(MARK, " ").encode()) for k in range(pieces.library.vocab_size())
     ]
-    return Side(library.encode, token_bytes)
+    encode = pieces.library.encode
+    return Side(lambda text: encode(text[1:]), token_bytes)
 
 
 def align(a: list[int], b: list[int], side_a: Side, side_b: Side) -> tuple[str, int, list[int]]:
@@ -141,7 +148,7 @@ def align(a: list[int], b: list[int], side_a: Side, side_b: Side) -> tuple[str,
 
 
 class Windows(dict):
-    """Window, as its ids of A and of B, to its number; alignments are held by number until they are forgotten."""
+    """A stretch of text, after its space, to the number of its window; numbers hold until all is forgotten."""
 
     def __init__(self, side_a: Side, side_b: Side):
         super().__init__()
@@ -150,43 +157,40 @@ class Windows(dict):
 
     def restart(self) -> None:
         self.clear()
-        self.data: list[bytes | None] = []
-        self.text: list[bytes] = []
-        self.groups: list[int] = []
+        self.by_ids: dict[tuple[bytes, bytes], int] = {}
+        self.text: list[bytes | None] = []
         self.links: list[bytes] = []
-
-    def __missing__(self, key: tuple[bytes, bytes]) -> int:
-        a, b = array("I", key[0]).tolist(), array("I", key[1]).tolist()
-        data = b"".join([self.side_a.token_bytes[k] for k in a])
-        number = len(self.data)
-        if data == b"".join([self.side_b.token_bytes[k] for k in b]):
-            text, n, links = align(a, b, self.side_a, self.side_b)
+        #: n_a, n_b and n_groups of each window, one after another.
+        self.sizes = array("q")
+
+    def __missing__(self, stretch: str) -> int:
+        stretch_bytes = f" {stretch}".encode()
+        a, b = self.side_a.ids_of(f" {stretch}"), self.side_b.ids_of(f" {stretch}")
+        if self.side_a.bytes_of(a) == stretch_bytes == self.side_b.bytes_of(b):
+            key = array("I", a).tobytes(), array("I", b).tobytes()
+            number = self.by_ids.get(key)
+            if number is None:
+                text, n, links = align(a, b, self.side_a, self.side_b)
+                number = self._numbered(text.encode(), array("i", links).tobytes(), (len(a), len(b), n))
+                if len(stretch) <= LONGEST:
+                    self.by_ids[key] = number
         else:
-            data, text, n, links = None, "", 0, []
-        self.data.append(data)
-        self.text.append(text.encode())
-        self.groups.append(n)
-        self.links.append(array("i", links).tobytes())
-        if len(key[0]) + len(key[1]) <= LONGEST:
-            self[key] = number
+            number = self._numbered(None, b"", (0, 0, 0))
+        if len(stretch) <= LONGEST:
+            self[stretch] = number
         return number
 
-    def of(self, ids_a: np.ndarray, ids_b: np.ndarray) -> list[int] | None:
-        """The numbers of a text's windows; None if both sides do not cover the same number of bytes."""
-        end_a, end_b = self.side_a.length[ids_a].cumsum(), self.side_b.length[ids_b].cumsum()
-        if not len(end_a) or not len(end_b) or end_a[-1] != end_b[-1]:
-            return None
-        cut_a = np.flatnonzero(self.side_a.spaced[ids_a[1:]])
-        cut_b = np.flatnonzero(self.side_b.spaced[ids_b[1:]])
-        if len(cut_a) and len(cut_b):
-            place = np.minimum(np.searchsorted(end_b[cut_b], end_a[cut_a]), len(cut_b) - 1)
-            shared = end_b[cut_b[place]] == end_a[cut_a]
-            cut_a, cut_b = (cut_a[shared] + 1) * 4, (cut_b[place[shared]] + 1) * 4
-        else:
-            cut_a = cut_b = np.empty(0, np.int64)
-        a, b = ids_a.tobytes(), ids_b.tobytes()
-        to_a, to_b = [*cut_a.tolist(), len(a)], [*cut_b.tolist(), len(b)]
-        return [self[a[i:j], b[k:m]] for i, j, k, m in zip([0, *to_a], to_a, [0, *to_b], to_b)]
+    def _numbered(self, text: bytes | None, links: bytes, sizes: tuple[int, int, int]) -> int:
+        self.text.append(text)
+        self.links.append(links)
+        self.sizes.extend(sizes)
+        return len(self.text) - 1
+
+    def of(self, text: str) -> list[int]:
+        """The numbers of a text's windows."""
+        first, *rest = STRETCH.split(f" {text}")
+        # The text's own first space is its only one that a stretch may lack, where blanks follow it.
+        return list(map(self.__getitem__, [first[1:], *rest] if first else rest))
 
 
 _KNOWN: dict[tuple[str, str], Windows] = {}
@@ -209,32 +213,25 @@ def aligned(docs: DataFrame, vocabulary: str, model: str, groups: bool = False)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = windows_of(vocabulary, model)
         for batch in slices(batches, SLICE):
-            if len(known.data) >= WINDOWS:
+            if len(known.text) >= WINDOWS:
                 known.restart()
-            n_a, n_b, digests, texts, numbers, sizes = [], [], [], [], [], []
+            digests, texts, numbers, counts = [], [], [], []
             for value in batch.column(1):
                 text = value.as_py() or ""
-                found = None
-                if text:
-                    a, b = (np.array(side.ids_of(text), "<u4") for side in (known.side_a, known.side_b))
-                    found = known.of(a, b)
-                if found is not None:
-                    data = [known.data[w] for w in found]
-                    if None in data or b"".join(data) != b" " + text.encode():
-                        found = None
-                if found is None:
-                    n_a.append(0), n_b.append(0), digests.append(""), texts.append(""), sizes.append(0)
+                found = known.of(text) if text else []
+                parts = [known.text[w] for w in found]
+                if not parts or None in parts:
+                    digests.append("")
+                    texts.append("")
+                    counts.append(0)
                     continue
-                line = b";".join([known.text[w] for w in found])
-                n_a.append(len(a))
-                n_b.append(len(b))
+                line = b";".join(parts)
                 digests.append(hashlib.sha256(line).hexdigest())
-                if groups:
-                    texts.append(line.decode())
+                texts.append(line.decode() if groups else "")
                 numbers += found
-                sizes.append(len(found))
+                counts.append(len(found))
             rows = batch.num_rows
-            entry = np.repeat(np.arange(rows), sizes) << 32 | np.array(numbers, np.int64)
+            entry = np.repeat(np.arange(rows), counts) << 32 | np.array(numbers, np.int64)
             entry, times = np.unique(entry, return_counts=True)
             row, window = entry >> 32, entry & 0xFFFFFFFF
             per_window = [known.links[w] for w in window.tolist()]
@@ -245,12 +242,12 @@ def aligned(docs: DataFrame, vocabulary: str, model: str, groups: bool = False)
                 [pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), pa.array(np.repeat(times, links).astype(np.int32))],
                 names=["a", "b", "times"],
             )
-            of_groups = np.array([known.groups[w] for w in window.tolist()], np.int64)
+            sizes = np.array(known.sizes, np.int64).reshape(-1, 3)[window]
+            total = lambda of_window: pa.array(np.bincount(row, of_window * times, rows).astype(np.int64))
             columns = {
-                "doc_id": batch.column(0), "n_a": pa.array(n_a, pa.int64()), "n_b": pa.array(n_b, pa.int64()),
-                "n_groups": pa.array(np.bincount(row, of_groups * times, rows).astype(np.int64)),
-                "n_links": pa.array(np.bincount(row, links * times, rows).astype(np.int64)),
-                "groups_sha256": pa.array(digests, pa.string()), "links": pa.ListArray.from_arrays(pa.array(offsets), structs),
+                "doc_id": batch.column(0), "n_a": total(sizes[:, 0]), "n_b": total(sizes[:, 1]), "n_groups": total(sizes[:, 2]),
+                "n_links": total(links), "groups_sha256": pa.array(digests, pa.string()),
+                "links": pa.ListArray.from_arrays(pa.array(offsets), structs),
             }
             if groups:
                 columns["groups"] = pa.array(texts, pa.string())
