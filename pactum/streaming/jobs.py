@@ -6,16 +6,13 @@ events later than the watermark are dropped, duplicates inside it are removed by
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pactum.operators.rule_table import RuleSet
 from pactum.plans.rate import rate_layouts
 from pactum.sources.tables import publish
+from pactum.streaming import stateful
 
 EVENT_SCHEMA = "event_id long, at timestamp, user_id long, action string"
 
@@ -38,77 +35,35 @@ def audit_counts(events: DataFrame, width: str = "1 day", delay: str = "10 minut
     return rows.agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("window_start"), "user_id", "action", "n")
 
 
-def accept_uploads(events: DataFrame, limit: int) -> DataFrame:
+def accept_uploads(events: DataFrame, limit: int, delay: str = "10 minutes") -> DataFrame:
     """Accepts an upload while fewer than ``limit`` were accepted in the last 24 hours.
 
-    The state of a user is at most ``limit`` times. Within a trigger a user's uploads are put
-    in time order.
+    The state of a user is at most ``limit`` times, and is gone a day after the last of them.
     """
+    return stateful.accept_uploads(events, limit, delay)
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        taken = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(["us", "event_id"])
-        flags = []
-        for us in rows["us"]:
-            taken = [t for t in taken if t > us - 86_400_000_000]
-            flags.append(len(taken) < limit)
-            if flags[-1]:
-                taken.append(int(us))
-        state.update((taken,))
-        yield pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"].to_numpy(), "accepted": flags})
-
-    uploads = events.where("action = 'upload'").select("user_id", "event_id", F.unix_micros("at").alias("us"))
-    return uploads.groupBy("user_id").applyInPandasWithState(
-        run, "user_id long, event_id long, accepted boolean", "taken array<long>", "append", GroupStateTimeout.NoTimeout
-    )
 
+def request_window(events: DataFrame, limit: int, window_ms: int, delay: str = "10 minutes") -> DataFrame:
+    """A fixed window per user that opens with the first request after the last one closed; closed windows are forgotten."""
+    return stateful.request_window(events, limit, window_ms, delay)
 
-def request_window(events: DataFrame, limit: int, window_ms: int) -> DataFrame:
-    """A fixed window per user that opens with the first request after the last one closed."""
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        start, count = state.get if state.exists else (None, 0)
-        rows = pd.concat(list(batches)).sort_values(["ms", "event_id"])
-        waits = []
-        for ms in rows["ms"]:
-            if start is None or ms - start >= window_ms:
-                start, count = int(ms), 1
-                waits.append(0)
-            elif count >= limit:
-                waits.append(-(-(start + window_ms - int(ms)) // 1000))
-            else:
-                count += 1
-                waits.append(0)
-        state.update((start, count))
-        yield pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"].to_numpy(), "retry_after_seconds": waits})
-
-    requests = events.select("user_id", "event_id", F.unix_millis("at").alias("ms"))
-    return requests.groupBy("user_id").applyInPandasWithState(
-        run, "user_id long, event_id long, retry_after_seconds long", "start long, count long", "append", GroupStateTimeout.NoTimeout
-    )
 
+def status_feed(history: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """First status and changes of a rating until a final one, for ten minutes at most.
 
-def status_feed(history: DataFrame) -> DataFrame:
-    """First status and changes of a rating until a final one. Input: ``rating_id, status, at, seq``."""
-    final = ("done", "failed", "needs_review")
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(["us", "seq"])
-        kept = []
-        for row in rows.itertuples():
-            if last in final:
-                break
-            if row.status != last:
-                kept.append((key[0], row.status, row.seq))
-                last = row.status
-        state.update((last,))
-        yield pd.DataFrame(kept, columns=["rating_id", "status", "seq"])
-
-    rows = history.select("rating_id", "status", "seq", F.unix_micros("at").alias("us"))
-    return rows.groupBy("rating_id").applyInPandasWithState(
-        run, "rating_id long, status string, seq long", "last string", "append", GroupStateTimeout.NoTimeout
-    )
+    Input: ``rating_id, status, at, seq``. A closed feed is forgotten after a day.
+    """
+    return stateful.status_feed(history, delay)
+
+
+def live_status(history: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """Each change of a rating's latest status; a rating is forgotten a day after the last news. Update mode."""
+    return stateful.live_status(history, delay)
+
+
+def stuck_ratings(history: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """Ratings that no news came of in time, as failed: given out by the absence of input."""
+    return stateful.stuck_ratings(history, delay)
 
 
 def latest_status(history: DataFrame) -> DataFrame:

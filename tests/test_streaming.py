@@ -109,3 +109,70 @@ def test_rating_names_its_source_once(spark):
     for name in jobs.RATING_TABLES:
         plan = getattr(rating, name)._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("Relation [") <= 6 and "customer" not in plan, name
+
+
+HISTORY = "rating_id long, status string, at timestamp, seq long"
+
+
+def run(df, name, mode="append"):
+    """All rows a stream gives, and the rows its state holds in the end."""
+    query = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    assert query.awaitTermination(120)
+    return df.sparkSession.table(name).collect(), query.lastProgress["stateOperators"][0]["numRowsTotal"]
+
+
+def minutes(*rows):
+    return [(key, status, START + dt.timedelta(minutes=m), n) for n, (key, status, m) in enumerate(rows)]
+
+
+def test_state_of_idle_users_and_closed_windows_goes(spark):
+    busy = [(i, START + dt.timedelta(minutes=i), i, "upload") for i in range(20)]
+    later = [(100 + i, START + dt.timedelta(days=3, minutes=i), 99, "upload") for i in range(4)]
+    _, one = run(jobs.accept_uploads(feed(spark, busy, jobs.EVENT_SCHEMA, 1), 3), "idle_before")
+    _, two = run(jobs.accept_uploads(feed(spark, busy + later, jobs.EVENT_SCHEMA, 6), 3), "idle_after")
+    assert two < one / 4
+    rows, left = run(jobs.request_window(feed(spark, busy + later, jobs.EVENT_SCHEMA, 6), 2, 60_000), "window_after")
+    assert len(rows) == 24 and left < one / 4
+
+
+def test_feed_stops_after_ten_minutes_and_is_forgotten(spark):
+    rows = minutes((1, "queued", 0), (2, "queued", 0), (1, "extracting", 4), (2, "extracting", 9), (1, "done", 11), (2, "done", 9.5))
+    later = minutes((3, "queued", 3000), (3, "done", 3001), (1, "queued", 3002))
+    got, left = run(jobs.status_feed(feed(spark, rows + later, HISTORY, 3), "1 minute"), "feed_stops")
+    assert {(r.rating_id, r.status) for r in got} == {
+        (1, "queued"), (1, "extracting"), (2, "queued"), (2, "extracting"), (2, "done"), (3, "queued"), (3, "done"),
+    }
+    _, before = run(jobs.status_feed(feed(spark, rows, HISTORY, 2), "1 minute"), "feed_before")
+    assert left <= before
+
+
+def test_live_status_is_the_batch_s_and_ends(spark):
+    rows = minutes((1, "queued", 0), (1, "extracting", 2), (2, "queued", 3), (2, "failed", 1), (1, "done", 5), (3, "queued", 6))
+    got, _ = run(jobs.live_status(feed(spark, rows, HISTORY, 2)), "live", "update")
+    last = {r.rating_id: r.status for r in sorted(got, key=lambda r: r.at)}
+    assert last == {r.rating_id: r.status for r in ops.latest_status(spark.createDataFrame(rows, HISTORY)).collect()}
+    _, left = run(jobs.live_status(feed(spark, rows + minutes((9, "queued", 9000), (9, "done", 9001)), HISTORY, 4)), "live_end", "update")
+    _, before = run(jobs.live_status(feed(spark, rows, HISTORY, 1)), "live_before", "update")
+    assert left < before
+
+
+def test_ratings_without_news_are_failed(spark):
+    rows = minutes(
+        (1, "queued", 0), (1, "extracting", 1), (2, "queued", 0), (2, "extracting", 1), (2, "analysing", 20), (2, "done", 50),
+        (3, "queued", 0), (4, "queued", 5), (4, "extracting", 10), (4, "extracting", 60), (5, "queued", 100), (5, "analysing", 101),
+        (9, "queued", 110),
+    )
+    rows.sort(key=lambda r: (r[2], r[3]))  # late rows would be dropped
+    end = [(9, "extracting", START + dt.timedelta(hours=25, minutes=30), 98), (9, "done", START + dt.timedelta(hours=25, minutes=31), 99)]
+    got, _ = run(jobs.stuck_ratings(feed(spark, rows + end, HISTORY, 5), "1 minute"), "stuck")
+    history = spark.createDataFrame(rows + end, HISTORY)
+    latest = ops.latest_status(history).select("rating_id", "status")
+    times = history.groupBy("rating_id").agg(
+        F.min("at").alias("created_at"),
+        F.coalesce(F.max(F.when(F.col("status") == "extracting", F.col("at"))), F.min(F.when(F.col("status") == "analysing", F.col("at")))).alias("started_at"),
+    )
+    failed = ops.fail_stuck(times.join(latest, "rating_id"), F.lit(START + dt.timedelta(hours=25, minutes=30)))
+    assert {r.rating_id for r in got} == {r.rating_id for r in failed.collect()} == {1, 3, 4, 5}
+    due = {r.rating_id: r.due_at for r in got}
+    assert due[4] == START + dt.timedelta(minutes=120) and due[3] == START + dt.timedelta(days=1)
+    assert {(r.status, r.error_code, r.error) for r in got} == {("failed", "timeout", ops.TIMEOUT_MESSAGE)}
