@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -18,61 +19,122 @@ FINAL_STATUSES = ("done", "failed", "needs_review")
 TIMEOUT_MESSAGE = "Rating this contract took too long and was stopped. Please upload it again."
 
 
+def _uploads(events: DataFrame) -> DataFrame:
+    return events.where("action = 'upload'").select("event_id", "user_id", "at", F.unix_micros(F.col("at").cast("timestamp")).alias("us"))
+
+
 def upload_quota(events: DataFrame, limit: int) -> DataFrame:
     """For each upload: uploads of its user in the 24 hours up to it, and the wait when full.
 
-    The window is cut into days: an upload is copied into its own day and the next, and each
-    (user, day) is one window partition. A busy user is thus spread over days, and every
-    24-hour range lies inside one partition.
+    An upload is copied into its own day and the next, so a busy user is spread over days and every 24-hour range lies
+    inside one (user, day). There the uploads meet one probe for each upload of the day, set 24 hours before it. Both
+    kinds are sorted together once in either direction: a running count gives the uploads up to each row, and the least
+    time seen from the late end is the oldest that still counts. So a day costs its rows, not their square.
     """
-    at = F.unix_micros(F.col("at").cast("timestamp"))
-    day = F.floor(at / DAY_US)
-    uploads = events.where("action = 'upload'").select("event_id", "user_id", "at", at.alias("us"), day.alias("own"))
-    copies = uploads.withColumn("day", F.explode(F.array("own", F.col("own") + 1)))
-    w = Window.partitionBy("user_id", "day").orderBy("us").rangeBetween(-(DAY_US - 1), 0)
-    counted = copies.select(
-        "event_id", "user_id", "at", "us", "own", "day",
-        F.count(F.lit(1)).over(w).alias("uploads"), F.min("us").over(w).alias("oldest"),
-    ).where("day = own")
-    wait = F.greatest(
-        F.lit(1), F.ceil((F.col("oldest") + DAY_US - F.col("us")) / 1_000_000)
-    ).cast("bigint")
+    day = F.floor(F.col("us") / DAY_US)
+    probe = lambda us, is_probe: F.struct(us.alias("us"), F.lit(is_probe).alias("probe"))
+    own = _uploads(events).withColumn("own", day)
+    rows = own.select(
+        "event_id", "user_id", "at", F.col("us").alias("upload_us"), "own",
+        F.explode(F.array(F.col("own"), F.col("own") + 1)).alias("day"),
+    ).withColumn(
+        "row", F.explode(F.when(
+            F.col("day") == F.col("own"), F.array(probe(F.col("upload_us"), False), probe(F.col("upload_us") - DAY_US, True))
+        ).otherwise(F.array(probe(F.col("upload_us"), False))))
+    ).select("*", "row.us", "row.probe")
+    by_day = Window.partitionBy("user_id", "day")
+    up_to = by_day.orderBy("us").rangeBetween(Window.unboundedPreceding, 0)
+    after = by_day.orderBy(F.desc("us"), F.desc("probe")).rowsBetween(Window.unboundedPreceding, 0)
+    seen = rows.withColumns({
+        "up_to": F.count_if(~F.col("probe")).over(up_to), "next": F.min(F.when(~F.col("probe"), F.col("us"))).over(after),
+    }).where("day = own")
+    # Rows of an upload share its partition by user and day: no further shuffle.
+    counted = seen.groupBy("user_id", "day", "event_id", "at", "upload_us").agg(
+        (F.max(F.when(~F.col("probe"), F.col("up_to"))) - F.max(F.when(F.col("probe"), F.col("up_to")))).alias("uploads"),
+        F.max(F.when(F.col("probe"), F.col("next"))).alias("oldest"),
+    )
+    wait = F.greatest(F.lit(1), F.ceil((F.col("oldest") + DAY_US - F.col("upload_us")) / 1_000_000)).cast("bigint")
     return counted.select(
-        "event_id", "user_id", "at", "uploads",
-        F.when(F.col("uploads") >= limit, wait).alias("retry_after_seconds"),
+        "event_id", "user_id", "at", "uploads", F.when(F.col("uploads") >= limit, wait).alias("retry_after_seconds")
     )
 
 
-def accept_uploads(events: DataFrame, limit: int) -> DataFrame:
-    """Uploads accepted in arrival order; refused ones do not count.
+def cut_at_gaps(rows: DataFrame, gap_us: int) -> DataFrame:
+    """Rows (user_id, us, ...) with ``segment``: a user's rows up to the next pause of ``gap_us`` or more.
+
+    Rows within a stretch of ``gap_us`` cannot be that far apart, so pauses are found between stretches: the window
+    runs over one row for each user and stretch, and rows of a busy user are never sorted for it.
+    """
+    placed = rows.withColumn("stretch", F.floor(F.col("us") / gap_us))
+    ends = placed.groupBy("user_id", "stretch").agg(F.min("us").alias("first"), F.max("us").alias("last"))
+    in_order = Window.partitionBy("user_id").orderBy("stretch")
+    paused = F.coalesce(F.col("first") - F.lag("last").over(in_order) >= gap_us, F.lit(True))
+    segments = ends.withColumn("starts", F.when(paused, F.col("first"))).select(
+        "user_id", "stretch", F.max("starts").over(in_order).alias("segment")
+    )
+    return placed.join(segments, ["user_id", "stretch"]).drop("stretch")
+
+
+def _folded(rows: DataFrame, start: Callable[[], Any], step: Callable[[Any, int], tuple[Any, Any]], column: str) -> DataFrame:
+    """Rows (event_id, user_id, us, segment) with ``column``: each segment read in order of time, its state by ``step``.
 
-    Acceptance depends on earlier acceptances, so a user's uploads are read in order. The pass
-    is a sorted stream per partition that keeps at most ``limit`` times of the current user in
-    memory; no user's rows are ever gathered.
+    A task reads its sorted partition as a stream and holds one segment's state, whatever the segment's length.
     """
-    columns = "event_id long, user_id long, us long, accepted boolean"
+    name = column.split()[0]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        user, taken = None, deque()
+        current, state = None, None
         for batch in batches:
-            accepted = []
-            for who, us in zip(batch["user_id"], batch["us"], strict=True):
-                if who != user:
-                    user, taken = who, deque()
-                while taken and taken[0] <= us - 86_400_000_000:
-                    taken.popleft()
-                ok = len(taken) < limit
-                if ok:
-                    taken.append(us)
-                accepted.append(ok)
-            yield batch.assign(accepted=accepted)
-
-    uploads = events.where("action = 'upload'").select(
-        "event_id", "user_id", F.unix_micros(F.col("at").cast("timestamp")).alias("us")
+            out = []
+            for user, segment, us in zip(batch["user_id"].tolist(), batch["segment"].tolist(), batch["us"].tolist(), strict=True):
+                if (user, segment) != current:
+                    current, state = (user, segment), start()
+                state, value = step(state, us)
+                out.append(value)
+            yield batch[["event_id", "user_id", "us"]].assign(**{name: out})
+
+    ordered = rows.select("event_id", "user_id", "us", "segment").repartition("user_id", "segment").sortWithinPartitions(
+        "user_id", "segment", "us", "event_id"
     )
-    ordered = uploads.repartition("user_id").sortWithinPartitions("user_id", "us", "event_id")
-    rows = ordered.mapInPandas(run, columns)
-    return rows.select("event_id", "user_id", F.timestamp_micros("us").alias("at"), "accepted")
+    return ordered.mapInPandas(run, f"event_id long, user_id long, us long, {column}").select(
+        "event_id", "user_id", F.timestamp_micros("us").alias("at"), name
+    )
+
+
+def accept_uploads(events: DataFrame, limit: int) -> DataFrame:
+    """Uploads accepted in arrival order, at most ``limit`` in 24 hours; refused ones do not count.
+
+    Acceptance depends on earlier acceptances, but on none from before a pause of 24 hours: each user's uploads are cut
+    there, and the segments are independent. The state of one is at most ``limit`` times.
+    """
+
+    def step(taken: deque, us: int) -> tuple[deque, bool]:
+        while taken and taken[0] <= us - DAY_US:
+            taken.popleft()
+        accepted = len(taken) < limit
+        if accepted:
+            taken.append(us)
+        return taken, accepted
+
+    return _folded(cut_at_gaps(_uploads(events), DAY_US), deque, step, "accepted boolean")
+
+
+def request_windows(events: DataFrame, limit: int, window_us: int) -> DataFrame:
+    """Each request's wait in seconds, 0 if it counts: a user's window opens with the first request after the last closed.
+
+    A pause as long as the window closes any, so requests are cut there and the segments are independent.
+    """
+
+    def step(window: tuple[int | None, int], us: int) -> tuple[tuple[int, int], int]:
+        opened, count = window
+        if opened is None or us - opened >= window_us:
+            return (us, 1), 0
+        if count >= limit:
+            return window, -(-(opened + window_us - us) // 1_000_000)
+        return (opened, count + 1), 0
+
+    rows = events.select("event_id", "user_id", F.unix_micros(F.col("at").cast("timestamp")).alias("us"))
+    return _folded(cut_at_gaps(rows, window_us), lambda: (None, 0), step, "retry_after_seconds long")
 
 
 def request_counts(events: DataFrame, limit: int, width: str = "1 minute") -> DataFrame:

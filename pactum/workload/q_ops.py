@@ -34,11 +34,39 @@ def quota_24h(spark: SparkSession, sf: str) -> DataFrame:
     return ops.upload_quota(load(spark, sf, "audit_events"), LIMIT)
 
 
-@query("quota_accept")
+def recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+_TURNS = """, turns AS (SELECT event_id, user_id, "at", epoch_us("at") AS us, row_number() OVER (PARTITION BY user_id ORDER BY "at", event_id) AS turn FROM audit_events WHERE {where})"""
+
+
+@query(
+    "quota_accept",
+    recursive(oracle(("audit_events",), _TURNS.format(where="action='upload'") + """, folded AS (
+ SELECT event_id, user_id, "at", turn, [us] AS taken, true AS accepted FROM turns WHERE turn=1
+ UNION ALL SELECT event_id, user_id, "at", turn, CASE WHEN len(kept) < 1 THEN list_append(kept, us) ELSE kept END, len(kept) < 1 FROM (
+  SELECT t.*, list_filter(f.taken, lambda x: x > t.us - 86400000000) AS kept FROM folded f JOIN turns t ON t.user_id=f.user_id AND t.turn=f.turn+1))
+SELECT event_id, user_id, "at", accepted FROM folded""")),
+)
 def quota_accept(spark: SparkSession, sf: str) -> DataFrame:
     return ops.accept_uploads(load(spark, sf, "audit_events"), 1)
 
 
+@query(
+    "request_window_anchored",
+    recursive(oracle(("audit_events",), _TURNS.format(where="true") + """, folded AS (
+ SELECT event_id, user_id, "at", turn, us AS opened, 1 AS n, CAST(0 AS BIGINT) AS retry_after_seconds FROM turns WHERE turn=1
+ UNION ALL SELECT t.event_id, t.user_id, t."at", t.turn, CASE WHEN t.us - f.opened >= 7200000000 THEN t.us ELSE f.opened END,
+  CASE WHEN t.us - f.opened >= 7200000000 THEN 1 WHEN f.n >= 2 THEN f.n ELSE f.n + 1 END,
+  CASE WHEN t.us - f.opened < 7200000000 AND f.n >= 2 THEN CAST(ceil((f.opened + 7200000000 - t.us) / 1000000) AS BIGINT) ELSE 0 END
+ FROM folded f JOIN turns t ON t.user_id=f.user_id AND t.turn=f.turn+1)
+SELECT event_id, user_id, "at", retry_after_seconds FROM folded""")),
+)
+def request_window_anchored(spark: SparkSession, sf: str) -> DataFrame:
+    return ops.request_windows(load(spark, sf, "audit_events"), 2, 7_200_000_000)
+
+
 @query("request_window", oracle(("audit_events",), '''SELECT user_id, time_bucket(INTERVAL 1 HOUR, "at") AS window_start, CAST(count(*) AS BIGINT) AS requests, CAST(greatest(0, count(*)-2) AS BIGINT) AS refused FROM audit_events GROUP BY 1,2'''))
 def request_window(spark: SparkSession, sf: str) -> DataFrame:
     return ops.request_counts(load(spark, sf, "audit_events"), 2, "1 hour")

@@ -164,3 +164,30 @@ def test_custom_detector(spark):
     clauses = spark.createDataFrame([("To the Moon.", None), ("Stay.", None)], "text_en string, text_ar string")
     rows = clause_detectors.analyse_clauses(clauses, default_rules(), mine).collect()
     assert [[m.rule_id for m in r.matches] for r in rows] == [["TRANSFER-KSA-01"], []]
+
+
+def test_acceptance_and_windows_are_cut_at_pauses(spark):
+    """A busy user's rows become many segments; folds equal one pass over all of a user's rows."""
+    import random
+
+    rng = random.Random(3)
+    at, rows = 0, []
+    for k in range(400):
+        at += rng.choice([1, 50, 3600, 40_000, 86_399, 86_400, 200_000]) * 1_000_000
+        rows.append((k, at, 1 + k % 2))
+    events = spark.createDataFrame(rows, "event_id long, us long, user_id long").selectExpr(
+        "event_id", "user_id", "timestamp_micros(us) AS at", "'upload' AS action"
+    )
+    segments = ops.cut_at_gaps(ops._uploads(events), ops.DAY_US).select("user_id", "segment").distinct().count()
+    assert segments > 50
+    want, taken, waits, window = {}, {1: [], 2: []}, {}, {1: None, 2: None}
+    for k, us, user in rows:
+        taken[user] = [t for t in taken[user] if t > us - ops.DAY_US]
+        want[k] = len(taken[user]) < 2
+        taken[user] += [us] if want[k] else []
+        if window[user] is None or us - window[user][0] >= 60_000_000:
+            window[user] = [us, 0]
+        waits[k] = 0 if window[user][1] < 2 else -(-(window[user][0] + 60_000_000 - us) // 1_000_000)
+        window[user][1] += window[user][1] < 2
+    assert {r.event_id: r.accepted for r in ops.accept_uploads(events, 2).collect()} == want
+    assert {r.event_id: r.retry_after_seconds for r in ops.request_windows(events, 2, 60_000_000).collect()} == waits
