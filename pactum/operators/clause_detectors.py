@@ -508,13 +508,44 @@ CLAUSE_DETECTORS: dict[str, Detector] = {
 DETECTORS_PER_STEP = 3
 
 
+#: What a clause's reading and detections depend on.
+INPUTS = ("text_en", "text_ar", "probation_days")
+
+
+def once_per_text(clauses: DataFrame, analyse: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The clauses with the columns that ``analyse`` adds to rows of INPUTS, each distinct row of them analysed once.
+
+    Standard wordings stand in very many contracts: equal inputs are combined before the shuffle, so a text that a third
+    of all clauses share is one row for each task, and what it gave is joined back by a 128-bit key of the inputs. The
+    clauses are that join's streamed side, so the adaptive skew join splits a frequent text.
+    """
+    inputs = [c for c in INPUTS if c in clauses.columns]
+    marked = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in inputs]
+    keyed = clauses.withColumn("_key", F.md5(F.concat_ws("\x1f", *marked)))
+    found = analyse(keyed.select("_key", *inputs).distinct())
+    return keyed.join(found.drop(*inputs), "_key").drop("_key")
+
+
 def analyse_clauses(
     clauses: DataFrame, rules: RuleSet, detectors: Mapping[str, Detector] = CLAUSE_DETECTORS
 ) -> DataFrame:
-    """Adds ``matches``: one per candidate rule the clause touches, in rule order.
+    """Adds ``text``, ``max_confidence``, ``stated`` and ``matches``: one per candidate rule the clause touches, in rule order.
 
-    ``clauses`` holds ``text_en, text_ar`` and, where known, ``probation_days``.
+    ``clauses`` holds ``text_en, text_ar`` and, where known, ``probation_days``; equal ones are analysed once.
     """
+    return once_per_text(clauses, lambda texts: _detected(texts, rules, detectors))
+
+
+def state_types(clauses: DataFrame) -> DataFrame:
+    """Adds ``text``, ``max_confidence`` and ``stated``, all that the cross-check of the contract type reads."""
+    return once_per_text(clauses, lambda texts: read_clauses(texts).select(
+        *texts.columns, "text", "max_confidence", stated_types().alias("stated")
+    ))
+
+
+def _detected(
+    clauses: DataFrame, rules: RuleSet, detectors: Mapping[str, Detector] = CLAUSE_DETECTORS
+) -> DataFrame:
     keep = clauses.columns
     read = read_clauses(clauses).withColumn("stated", stated_types())
     matches = []

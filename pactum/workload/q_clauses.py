@@ -76,7 +76,7 @@ FROM st WHERE stated IS NOT NULL AND rec IS NOT NULL AND stated<>rec AND NOT (re
 def cross_conflicts(spark: SparkSession, sf: str) -> DataFrame:
     rest = F.col("contract_id") % 10
     recorded = F.when(rest < 6, "fixed_term").when(rest < 9, "indefinite")
-    rows = cd.type_conflicts(analysed(spark, sf), RULES, recorded)
+    rows = cd.type_conflicts(cd.state_types(load(spark, sf, "contract_clauses", heavy=True)), RULES, recorded)
     return rows.select("contract_id", "clause", "rule_id", "template_clause", "severity", "confidence")
 
 
