@@ -194,9 +194,9 @@ def classes_of(sketched: DataFrame) -> DataFrame:
 
 
 def band_entries(classes: DataFrame) -> DataFrame:
-    """(id, bucket, band): a bucket for each band of each class."""
+    """(id, n_shingles, bucket, band): a bucket for each band of each class."""
     width = 2 * ROWS
-    return classes.select("id", F.inline(F.array(*[
+    return classes.select("id", "n_shingles", F.inline(F.array(*[
         F.struct(F.xxhash64(F.lit(k), F.substring("registers", width * k + 1, width)).alias("bucket"), F.lit(k).alias("band"))
         for k in range(BANDS)
     ])))
@@ -207,8 +207,8 @@ MEMBER = "bucket long, low int, high int, band int, block int, first_id long, id
 
 def blocks(entries: DataFrame, classes: DataFrame) -> DataFrame:
     """The members of open buckets with their sketches, once for each pair of blocks (low, high) that they are in."""
-    rows = entries.join(classes.select("id", "n_shingles", "registers"), "id")
-    sizes = entries.join(classes.select("id", "n_shingles"), "id").groupBy("bucket").agg(
+    rows = entries.join(classes.select("id", "registers"), "id")
+    sizes = entries.groupBy("bucket").agg(
         F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("parts")
     )
     split = rows.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn(
@@ -284,7 +284,7 @@ def by_block(rows: DataFrame, judge: Callable[[pa.Table], pa.RecordBatch | None]
 def across(entries: DataFrame, classes: DataFrame, docs: DataFrame, size: int, limit: int) -> DataFrame:
     """Links (a, b) between components: of each pair of blocks a spanning set of those whose full sets reach the limit.
 
-    entries: bucket, band, first_id, id, component.
+    entries: bucket, band, first_id, id, component, n_shingles.
     """
 
     def members(table: pa.Table) -> pa.RecordBatch | None:
@@ -326,6 +326,19 @@ def across(entries: DataFrame, classes: DataFrame, docs: DataFrame, size: int, l
     return by_block(marked.join(sets, "id").select(*marked.columns, "elements"), links, "a long, b long")
 
 
+def joined_components(found: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) after further links: these are few, and the components that they join are nodes of a small graph."""
+    of = lambda end: found.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(
+        F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")
+    )
+    merged = components(ends)
+    renamed = found.join(merged.select(F.col("node").alias("component"), F.col("component").alias("least")), "component", "left")
+    return renamed.select("node", F.coalesce("least", "component").alias("component")).unionByName(
+        merged.join(found.select("node"), "node", "left_anti")
+    )
+
+
 def judged_rows(docs: DataFrame, size: int = SHINGLE, limit: int = LIMIT) -> DataFrame:
     """doc_id, text_key, n_shingles, component_id and kept: one row for each row of docs."""
     sketched = one_set_an_id(written(sketches(docs, size), "near-sketches"))
@@ -338,13 +351,13 @@ def judged_rows(docs: DataFrame, size: int = SHINGLE, limit: int = LIMIT) -> Dat
     found = components(links)
 
     placed = crowded.join(found.withColumnRenamed("node", "id"), "id", "left").select(
-        "bucket", "band", "first_id", "id", F.coalesce("component", "id").alias("component")
+        "bucket", "band", "first_id", "id", "n_shingles", F.coalesce("component", "id").alias("component")
     )
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
     open_entries = written(placed.join(mixed.select("bucket"), "bucket"), "near-open")
     more = written(across(open_entries, classes, docs, size, limit), "near-links")
     if more.limit(1).count():
-        found = components(links.unionByName(more))
+        found = joined_components(found, more)
 
     by_class = classes.select("set_key", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select(
         "set_key", F.coalesce("component", "id").alias("class_component")
