@@ -88,52 +88,28 @@ def ancestors(reference: Column) -> Column:
 def passages(findings: DataFrame, locations: DataFrame, clauses: DataFrame | None = None) -> DataFrame:
     """One row per finding, reference and page: where the finding is printed.
 
-    A contract's boxes (one per clause and page) and clause texts travel as one row per
-    contract, so the only joins are on ``contract_id`` and no ancestor is exploded.
+    Each reference is spread to its ancestors, which meet boxes and texts by contract and clause; of those that have a
+    box the nearest stays. So a finding carries the boxes and texts of its own clauses only, and none are collected.
     """
-    boxes = locations.groupBy("contract_id").agg(
-        F.collect_list(
-            F.struct("page", "y_min", "clause", "page_width", "page_height", "x_min", "x_max", "y_max")
-        ).alias("boxes")
-    )
-    joined = findings.join(boxes, "contract_id")
-    if clauses is not None:
-        texts = clauses.groupBy("contract_id").agg(
-            F.collect_list(F.struct("clause", "text_en", "text_ar")).alias("texts")
-        )
-        joined = joined.join(texts, "contract_id", "left")
     refs = F.array_distinct(F.array_compact(F.array("clause", "related_clause")))
-    rows = joined.select(
-        "contract_id", "position", "boxes",
-        *(["texts"] if clauses is not None else []),
-        F.posexplode(refs).alias("ref_no", "reference"),
+    wanted = findings.select("contract_id", "position", F.posexplode(refs).alias("ref_no", "reference")).select(
+        "*", F.posexplode(ancestors(F.col("reference"))).alias("distance", "clause")
     )
-    placed = F.filter(
-        ancestors(F.col("reference")),
-        lambda c: F.exists("boxes", lambda b: b["clause"] == c),
-    )
-    rows = rows.withColumn("placed", F.try_element_at(placed, F.lit(1)))
-    here = F.sort_array(F.filter("boxes", lambda b: b["clause"] == F.col("placed")))
-    text = F.lit(None)
-    if clauses is not None:
-        text = F.try_element_at(
-            F.filter("texts", lambda t: t["clause"] == F.col("placed")), F.lit(1)
-        )
-        en, ar = text["text_en"], text["text_ar"]
+    places = locations.select("contract_id", "clause", "page", "page_width", "page_height", "x_min", "y_min", "x_max", "y_max")
+    if clauses is not None:  # all three share one partitioning
+        texts = clauses.select("contract_id", "clause", "text_en", "text_ar").dropDuplicates(["contract_id", "clause"])
+        places = places.join(texts, ["contract_id", "clause"], "left")
     else:
-        en, ar = F.lit(None).cast("string"), F.lit(None).cast("string")
-    out = rows.where("placed IS NOT NULL").select(
-        "contract_id", "position", "ref_no", "reference", "placed",
-        en.alias("text_en"), ar.alias("text_ar"),
-        F.posexplode(here).alias("box_no", "box"),
+        places = places.withColumns({c: F.lit(None).cast("string") for c in ("text_en", "text_ar")})
+    found = wanted.join(places, ["contract_id", "clause"])
+    in_order = Window.partitionBy("contract_id", "position", "ref_no").orderBy(
+        "distance", "page", "y_min", "page_width", "page_height", "x_min", "x_max", "y_max"
     )
-    return out.select(
-        "contract_id", "position", "ref_no", "box_no",
-        F.col("placed").alias("clause"),
-        F.col("box.page").alias("page"),
-        *[F.col(f"box.{c}").alias(c) for c in "page_width page_height x_min y_min x_max y_max".split()],
-        "text_en", "text_ar",
-        (F.col("placed") != F.col("reference")).alias("approximate"),
+    # The nearest ancestor comes first, so its boxes are numbered from 0.
+    numbered = found.withColumns({"box_no": F.row_number().over(in_order) - 1, "_nearest": F.first("distance").over(in_order)})
+    return numbered.where(F.col("distance") == F.col("_nearest")).select(
+        "contract_id", "position", "ref_no", "box_no", "clause", "page", "page_width", "page_height", "x_min", "y_min",
+        "x_max", "y_max", "text_en", "text_ar", (F.col("clause") != F.col("reference")).alias("approximate"),
     )
 
 
