@@ -276,8 +276,13 @@ def check_conflict_replies(replies: DataFrame, rules: RuleSet, citations: list[s
     df = replies.withColumn("conflicts", parsed["conflicts"])
 
     def bad(c: Column) -> Column:
+        shaped = (
+            c["templateClause"].isNotNull() & c["severity"].isin(*SEVERITIES) & c["confidence"].isin(*CONFIDENCES)
+            & (F.length(c["explanation"]) > 0)
+        )
         return (
-            ~F.array_contains(ids, c["ruleId"])
+            ~shaped
+            | ~F.array_contains(ids, c["ruleId"])
             | (F.size(F.array_except(c["articles"], allowed)) > 0)
             | ~F.array_contains("clauses", c["clause"])
         )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pactum.functions.redaction import pattern_counts, redact_clauses, redact_patterns, redact_text, redaction_context
 from pactum.functions.text import clause_hash
+from pactum.operators import analyser
 from pactum.operators import clause_analysis as ca
 
 from pactum.sources import layouts, tables, wage_files
@@ -270,6 +271,68 @@ def clause_findings(spark: SparkSession, sf: str) -> DataFrame:
     return ca.clause_findings(twice, RULES).select("contract_id", "clause", "rule_id", "verdict", "severity", F.array_join("articles", ",").alias("articles"), "impact_kind")
 
 
+def _analyse_by_length(batches):
+    """A deterministic plug-in: one finding for a text; by the text's length some replies are wrong once, some always."""
+    for batch in batches:
+        size = batch["text_en"].fillna("").str.len()
+        wrong = (size % 7 == 5) | ((size % 7 == 3) & batch["previous_error"].isna())
+        right = '{"clause":"x","matches":[{"ruleId":"EOS-BASE-01","verdict":"likely_void","severity":"none","confidence":"high","articles":[],"explanation":"e"}]}'
+        yield batch[["cache_key"]].assign(reply=[None if w else right for w in wrong], input_tokens=size, output_tokens=10)
+
+
+def _cross_by_number(batches):
+    """A deterministic plug-in: a conflict with the first clause; of contracts with 1, 4, 7, ... clauses the reply names none of them."""
+    for batch in batches:
+        replies, sizes = [], []
+        for items in batch["items"]:
+            clause = "99.9" if len(items) % 3 == 1 else items[0]["clause"]
+            sizes.append(100 * len(items))
+            replies.append(
+                '{"conflicts":[{"ruleId":"TYPE-CONFLICT-01","clause":"' + clause
+                + '","templateClause":"5.1","severity":"none","confidence":"high","articles":[],"explanation":"x"}]}'
+            )
+        yield batch[["cache_key"]].assign(reply=replies, input_tokens=sizes, output_tokens=5)
+
+
+def _analysed(spark: SparkSession, sf: str) -> analyser.Analysis:
+    clauses = _keyed(spark, sf).drop("cache_key")
+    no_cache = spark.createDataFrame([], "cache_key string, result string")
+    return analyser.analyse(clauses, no_cache, RULES, _analyse_by_length, _cross_by_number, "p1", "m1")
+
+
+_ASKED = """, asked AS (SELECT *, length(coalesce(text_en, '')) size FROM contract_clauses WHERE trim(coalesce(text_en,''))<>'' OR trim(coalesce(text_ar,''))<>'')
+, whole AS (SELECT contract_id, min(clause) clause, count(*) m, min(probation_days) p, list_sort(list({'c': clause, 'e': text_en, 'a': text_ar})) items FROM asked GROUP BY 1)
+"""
+
+
+@query("analyser_findings", oracle(("contract_clauses",), _ASKED + """SELECT contract_id, clause, CASE WHEN size%7=5 THEN 'REVIEW-00' ELSE 'EOS-BASE-01' END AS rule_id, CASE WHEN size%7=5 THEN 'unclear' ELSE 'likely_void' END AS verdict,
+ CASE WHEN size%7=5 THEN 'low' ELSE 'high' END AS severity, 'clause' AS source, CASE WHEN size%7=5 THEN 'The analysis of this clause failed twice. Last problem: The reply does not match the expected schema.' ELSE 'e' END AS explanation FROM asked
+UNION ALL SELECT contract_id, CASE WHEN m%3<>1 THEN clause END, CASE WHEN m%3=1 THEN 'REVIEW-00' ELSE 'TYPE-CONFLICT-01' END, CASE WHEN m%3=1 THEN 'unclear' ELSE 'conflict' END, CASE WHEN m%3=1 THEN 'low' ELSE 'high' END,
+ 'cross_check', CASE WHEN m%3=1 THEN 'The cross-check of Section 15 failed twice. Last problem: The cross-check reply is not valid.' ELSE 'Contradicts clause 5.1. x' END FROM whole"""))
+def analyser_findings(spark: SparkSession, sf: str) -> DataFrame:
+    return _analysed(spark, sf).findings.select("contract_id", "clause", "rule_id", "verdict", "severity", "source", "explanation")
+
+
+@query("analyser_usage", oracle(("contract_clauses",), _KEY.rstrip() + _ASKED + """, one AS (SELECT min(a.contract_id) contract_id, any_value(size) size, CASE WHEN any_value(size)%7 IN (3,5) THEN 2 ELSE 1 END calls
+ FROM asked a JOIN kk ON kk.contract_id=a.contract_id AND kk.clause=a.clause GROUP BY cache_key)
+, two AS (SELECT min(contract_id) contract_id, any_value(m) m, CASE WHEN any_value(m)%3=1 THEN 2 ELSE 1 END calls FROM whole GROUP BY p, items)
+SELECT contract_id, CAST(sum(i) AS BIGINT) AS input_tokens, CAST(sum(o) AS BIGINT) AS output_tokens FROM (SELECT contract_id, calls*size i, calls*10 o FROM one UNION ALL SELECT contract_id, calls*m*100, calls*5 FROM two) GROUP BY 1"""))
+def analyser_usage(spark: SparkSession, sf: str) -> DataFrame:
+    return _analysed(spark, sf).usage
+
+
+@query("cross_reply_validate", oracle(("contract_clauses",), "SELECT contract_id, CASE WHEN contract_id%5<>0 THEN 'The cross-check reply is not valid.' END AS error FROM contract_clauses GROUP BY 1"))
+def cross_reply_validate(spark: SparkSession, sf: str) -> DataFrame:
+    rows = load(spark, sf, "contract_clauses", heavy=True).groupBy("contract_id").agg(F.collect_set("clause").alias("clauses"))
+    kind = F.col("contract_id") % 5
+    body = F.concat(
+        F.lit('{"conflicts":[{"ruleId":"'), F.when(kind == 1, "EOS-BASE-01").otherwise("TYPE-CONFLICT-01"), F.lit('","clause":"'),
+        F.when(kind == 2, "99.9").otherwise(F.array_min("clauses")), F.lit('","templateClause":"5.1","severity":"high","confidence":"'),
+        F.when(kind == 4, "sure").otherwise("high"), F.lit('","articles":['), F.when(kind == 3, '"Art. 999"').otherwise(""), F.lit('],"explanation":"x"}]}'),
+    )
+    return ca.check_conflict_replies(rows.withColumn("reply", body), RULES).select("contract_id", "error")
+
+
 @query("conflict_findings", oracle(("contract_clauses",), "SELECT contract_id, clause, '5.1' AS related_clause, 'conflict' AS verdict, 'high' AS severity, 'Contradicts clause 5.1. e' AS explanation FROM contract_clauses WHERE lib%4=0"))
 def conflict_findings(spark: SparkSession, sf: str) -> DataFrame:
     c = load(spark, sf, "contract_clauses", heavy=True).where("lib % 4 = 0").select(
