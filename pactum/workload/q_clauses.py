@@ -146,14 +146,14 @@ _QTY = {
     )),
 )
 def quantities_query(spark: SparkSession, sf: str) -> DataFrame:
-    rows = load(spark, sf, "contract_clauses", heavy=True).where("text_en <> ''")
-    found = quantities(normalise_english(F.col("text_en")))
+    rows = cd.read_clauses(load(spark, sf, "contract_clauses", heavy=True))
+    found = quantities(F.col("text"))
     out = rows.select("contract_id", "clause", F.posexplode(found).alias("i", "q"))
     return out.select("contract_id", "clause", (F.col("i") + 1).alias("qno"), "q.value", "q.unit")
 
 
 @query("percentages", oracle(V, NUMS + "SELECT contract_id, clause, CAST(p AS DOUBLE) AS pct FROM cc WHERE lib=8"))
 def percentages_query(spark: SparkSession, sf: str) -> DataFrame:
-    rows = load(spark, sf, "contract_clauses", heavy=True).where("text_en <> ''")
-    found = percentages(normalise_english(F.col("text_en")))
+    rows = cd.read_clauses(load(spark, sf, "contract_clauses", heavy=True))
+    found = percentages(F.col("text"))
     return rows.select("contract_id", "clause", F.explode(found).alias("pct"))

@@ -86,9 +86,9 @@ query("impact_leave", oracle(VF, _P + "'perYear' AS figures, leave AS per_year F
 )
 
 
-@query("sar_at_stake", oracle(VF, PRICED + "SELECT contract_id, position, stake FROM staked WHERE kind IS NOT NULL"))
+@query("sar_at_stake", oracle(VF, PRICED + "SELECT contract_id, position, stake FROM staked"))
 def sar_at_stake(spark: SparkSession, sf: str) -> DataFrame:
-    rows = priced(spark, sf).where("impact IS NOT NULL")
+    rows = priced(spark, sf)
     return rows.select("contract_id", "position", impact.sar_at_stake(F.col("impact")).alias("stake"))
 
 

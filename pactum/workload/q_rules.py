@@ -113,12 +113,9 @@ def field_findings(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("msg_fill", oracle(V, FOUND + "SELECT contract_id, rule_id, employee_msg FROM found WHERE rule_id IN ('PROB-MAX-01','LEAVE-MIN-01','HOURS-MAX-01','OT-RATE-01','MARKET-ALLOW-01')"))
+@query("msg_fill", oracle(V, FOUND + "SELECT contract_id, rule_id, employee_msg FROM found"))
 def msg_fill(spark: SparkSession, sf: str) -> DataFrame:
-    found = fr.field_findings(contract_fields(spark, sf), RULES)
-    return found.where(
-        F.col("rule_id").isin("PROB-MAX-01", "LEAVE-MIN-01", "HOURS-MAX-01", "OT-RATE-01", "MARKET-ALLOW-01")
-    ).select("contract_id", "rule_id", "employee_msg")
+    return fr.field_findings(contract_fields(spark, sf), RULES).select("contract_id", "rule_id", "employee_msg")
 
 
 @query("msg_choice", oracle(V, FOUND + "SELECT contract_id, rule_id, verdict, employee_msg, hr_msg FROM found"))
