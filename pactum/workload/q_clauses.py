@@ -62,22 +62,25 @@ for _name, _rule in {
     query(_name, oracle(V, NUMS + "SELECT * FROM " + _expected(_rule)))(_detector(_rule))
 
 
-_STATED = "CASE lib " + " ".join(
+STATED = "CASE lib " + " ".join(
     f"WHEN {i} THEN '{stated}'" for i, (_, _, _, stated) in enumerate(LIBRARY) if stated
 ) + " END"
 
 
+def type_conflicts(spark: SparkSession, sf: str) -> DataFrame:
+    rest = F.col("contract_id") % 10
+    recorded = F.when(rest < 6, "fixed_term").when(rest < 9, "indefinite")
+    return cd.type_conflicts(cd.state_types(load(spark, sf, "contract_clauses", heavy=True)), RULES, recorded)
+
+
 @query(
     "cross_conflicts",
-    oracle(V, NUMS + f""", st AS (SELECT *, {_STATED} stated FROM cc)
+    oracle(V, NUMS + f""", st AS (SELECT *, {STATED} stated FROM cc)
 SELECT contract_id, clause, 'TYPE-CONFLICT-01' AS rule_id, CASE WHEN rec='fixed_term' AND stated='specific_work' THEN '5.1' ELSE '1' END AS template_clause, 'high' AS severity, 'high' AS confidence
 FROM st WHERE stated IS NOT NULL AND rec IS NOT NULL AND stated<>rec AND NOT (rec='fixed_term' AND stated='fixed_term')"""),
 )
 def cross_conflicts(spark: SparkSession, sf: str) -> DataFrame:
-    rest = F.col("contract_id") % 10
-    recorded = F.when(rest < 6, "fixed_term").when(rest < 9, "indefinite")
-    rows = cd.type_conflicts(cd.state_types(load(spark, sf, "contract_clauses", heavy=True)), RULES, recorded)
-    return rows.select("contract_id", "clause", "rule_id", "template_clause", "severity", "confidence")
+    return type_conflicts(spark, sf).select("contract_id", "clause", "rule_id", "template_clause", "severity", "confidence")
 
 
 @query(

@@ -11,6 +11,7 @@ from pactum.operators import analyser
 from pactum.operators import clause_analysis as ca
 
 from pactum.sources import layouts, tables, wage_files
+from pactum.workload import q_clauses
 from pactum.workload.common import RULES
 import pactum.workload.q_law  # noqa: F401  (defines the corpus view)
 from pactum.workload.registry import query
@@ -333,13 +334,20 @@ def cross_reply_validate(spark: SparkSession, sf: str) -> DataFrame:
     return ca.check_conflict_replies(rows.withColumn("reply", body), RULES).select("contract_id", "error")
 
 
-@query("conflict_findings", oracle(("contract_clauses",), "SELECT contract_id, clause, '5.1' AS related_clause, 'conflict' AS verdict, 'high' AS severity, 'Contradicts clause 5.1. e' AS explanation FROM contract_clauses WHERE lib%4=0"))
+_ENDS = "it ends when a project or specific work is completed"
+# One wording states two types; of a fixed-term contract both are conflicts.
+_SAYS = f"""CASE WHEN stated='fixed_term' THEN 'it runs for a fixed term'
+ WHEN stated LIKE '%,indefinite' AND rec='fixed_term' THEN 'it runs for an unlimited period and {_ENDS}' ELSE '{_ENDS}' END"""
+_RECORDED = "CASE rec WHEN 'fixed_term' THEN 'a fixed-term contract' ELSE 'an indefinite (open-ended) contract' END"
+
+
+@query("conflict_findings", oracle(("contract_clauses",), q_clauses.NUMS + f""", st AS (SELECT *, {q_clauses.STATED} stated FROM cc)
+, cf AS (SELECT *, CASE WHEN rec='fixed_term' AND stated='specific_work' THEN '5.1' ELSE '1' END related FROM st WHERE stated<>rec)
+SELECT contract_id, clause, related AS related_clause, 'conflict' AS verdict, 'high' AS severity,
+ 'Contradicts clause ' || related || '. The contract is recorded as ' || {_RECORDED} || ', but this clause says ' || {_SAYS} || '; the recorded type most likely prevails.' AS explanation FROM cf"""))
 def conflict_findings(spark: SparkSession, sf: str) -> DataFrame:
-    c = load(spark, sf, "contract_clauses", heavy=True).where("lib % 4 = 0").select(
-        "contract_id", "clause", F.lit("TYPE-CONFLICT-01").alias("rule_id"), F.lit("5.1").alias("template_clause"), F.lit("none").alias("severity"),
-        F.lit("high").alias("confidence"), F.array().cast("array<string>").alias("articles"), F.lit("e").alias("explanation"),
-    )
-    return ca.conflict_findings(c.unionByName(c), RULES).select("contract_id", "clause", "related_clause", "verdict", "severity", "explanation")
+    found = q_clauses.type_conflicts(spark, sf)
+    return ca.conflict_findings(found.unionByName(found), RULES).select("contract_id", "clause", "related_clause", "verdict", "severity", "explanation")
 
 
 @query("usage_totals", "SELECT l_orderkey AS contract_id, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS input_tokens, CAST(sum(l_linenumber) AS BIGINT) AS output_tokens FROM lineitem GROUP BY 1")
