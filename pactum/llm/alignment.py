@@ -6,9 +6,11 @@ which it sets a space), so both cover the same bytes.
 1. Every text is tokenised whole by both: cut at single spaces before a character that is no white space, which no word
    of A and no piece of B reaches over (the model's pieces are looked through for that), stretches are tokenised and
    remembered. Where a stretch starts, the tokens of both start with a space and those before end at the same byte: a
-   shared end, verified by the stretch's bytes. Stretches so are the windows. A window is known by its tuples of token
-   ids, and each task aligns it once: its groups (cut wherever tokens of both end together) and its links (pairs of
-   tokens whose bytes overlap).
+   shared end, verified by the stretch's bytes. Stretches so are the windows. Each task aligns a window once: its groups
+   (cut wherever tokens of both end together) and its links (pairs of tokens whose bytes overlap). Alignments are
+   remembered by stretch, which, as both sides lose no byte, is the same as by the window's tuples of token ids. The
+   windows of some documents that are not known yet are tokenised and aligned together, as one text of shared ends:
+   each piece between two ends that follow each other lies in one token of A and one of B and so is one link.
 2. A text counts only if the bytes of both sides' tokens are those of each of its windows; else it has no tokens.
 3. Links are counted over the corpus, from each document's windows and their numbers, with map-side combine. The
    table of id pairs is broadcast only where its counted rows stay in PAIR_ROWS; else the same join is shuffled,
@@ -26,6 +28,7 @@ import json
 import re
 from array import array
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +40,7 @@ from pactum.llm.sentence_pieces import MARK, encoder_of
 from pactum.llm.shared import slices, written
 
 #: Windows whose alignment a worker remembers, and the longest stretch, in characters, that it does.
-WINDOWS, LONGEST = 200_000, 64
+WINDOWS, LONGEST = 150_000, 64
 #: A single space before a character that is no white space: both tokenizers' tokens end before it.
 STRETCH = re.compile(r"(?<! ) (?=\S)")
 #: How a byte-level vocabulary parts texts before it merges. Fixed value.
@@ -157,40 +160,76 @@ class Windows(dict):
 
     def restart(self) -> None:
         self.clear()
-        self.by_ids: dict[tuple[bytes, bytes], int] = {}
         self.text: list[bytes | None] = []
         self.links: list[bytes] = []
         #: n_a, n_b and n_groups of each window, one after another.
         self.sizes = array("q")
+        #: Stretches too long to be remembered, for the documents at hand.
+        self.brief: dict[str, int] = {}
 
     def __missing__(self, stretch: str) -> int:
+        if stretch not in self.brief:
+            self._learn_alone(stretch)
+        return self.brief[stretch] if stretch in self.brief else self[stretch]
+
+    def _learn_alone(self, stretch: str) -> None:
         stretch_bytes = f" {stretch}".encode()
         a, b = self.side_a.ids_of(f" {stretch}"), self.side_b.ids_of(f" {stretch}")
         if self.side_a.bytes_of(a) == stretch_bytes == self.side_b.bytes_of(b):
-            key = array("I", a).tobytes(), array("I", b).tobytes()
-            number = self.by_ids.get(key)
-            if number is None:
-                text, n, links = align(a, b, self.side_a, self.side_b)
-                number = self._numbered(text.encode(), array("i", links).tobytes(), (len(a), len(b), n))
-                if len(stretch) <= LONGEST:
-                    self.by_ids[key] = number
+            text, n, links = align(a, b, self.side_a, self.side_b)
+            self._hold(stretch, text.encode(), array("i", links).tobytes(), (len(a), len(b), n))
         else:
-            number = self._numbered(None, b"", (0, 0, 0))
-        if len(stretch) <= LONGEST:
-            self[stretch] = number
-        return number
+            self._hold(stretch, None, b"", (0, 0, 0))
 
-    def _numbered(self, text: bytes | None, links: bytes, sizes: tuple[int, int, int]) -> int:
+    def _hold(self, stretch: str, text: bytes | None, links: bytes, sizes: tuple[int, int, int]) -> None:
+        (self if len(stretch) <= LONGEST else self.brief)[stretch] = len(self.text)
         self.text.append(text)
         self.links.append(links)
         self.sizes.extend(sizes)
-        return len(self.text) - 1
 
-    def of(self, text: str) -> list[int]:
-        """The numbers of a text's windows."""
-        first, *rest = STRETCH.split(f" {text}")
-        # The text's own first space is its only one that a stretch may lack, where blanks follow it.
-        return list(map(self.__getitem__, [first[1:], *rest] if first else rest))
+    def learn(self, stretches: list[str]) -> None:
+        """Tokenises and aligns stretches that are not known, as one text; one by one where its bytes are not the tokens'."""
+        text = " " + " ".join(stretches)
+        data = text.encode()
+        a, b = self.side_a.ids_of(text), self.side_b.ids_of(text)
+        stops = np.cumsum([len(s.encode()) + 1 for s in stretches])
+        end_a, end_b = (np.cumsum([side.lengths[k] for k in ids]) for side, ids in ((self.side_a, a), (self.side_b, b)))
+        to_a, to_b = np.searchsorted(end_a, stops), np.searchsorted(end_b, stops)
+        same = self.side_a.bytes_of(a) == data == self.side_b.bytes_of(b)
+        if not same or (end_a[to_a] != stops).any() or (end_b[to_b] != stops).any():
+            for stretch in stretches:
+                self._learn_alone(stretch)
+            return
+        ends = np.union1d(end_a, end_b)
+        links = np.stack([np.array(a, np.int32)[np.searchsorted(end_a, ends)], np.array(b, np.int32)[np.searchsorted(end_b, ends)]], axis=1)
+        link_bytes = links.tobytes()
+        shared = np.intersect1d(end_a, end_b, assume_unique=True)
+        of_a, of_b = ((np.searchsorted(end, shared) + 1).tolist() for end in (end_a, end_b))
+        text_a, text_b = list(map(str, a)), list(map(str, b))
+        groups = [
+            f"{','.join(text_a[i:j])}|{','.join(text_b[k:m])}" for i, j, k, m in zip([0, *of_a], of_a, [0, *of_b], of_b)
+        ]
+        bounds = [(np.searchsorted(x, stops) + 1).tolist() for x in (end_a, end_b, shared, ends)]
+        since = (0, 0, 0, 0)
+        for stretch, *to in zip(stretches, *bounds):
+            own = ";".join(groups[since[2] : to[2]]).encode()
+            self._hold(stretch, own, link_bytes[8 * since[3] : 8 * to[3]], (to[0] - since[0], to[1] - since[1], to[2] - since[2]))
+            since = to
+
+    def of(self, texts: list[str]) -> list[list[int]]:
+        """The numbers of each text's windows."""
+        self.brief = {}
+        parts = [stretches(text) if text else [] for text in texts]
+        new = [s for s in set(chain.from_iterable(parts)) if s not in self]
+        if new:
+            self.learn(new)
+        return [list(map(self.__getitem__, own)) for own in parts]
+
+
+def stretches(text: str) -> list[str]:
+    """A text's stretches, each without the space before it; where blanks follow the text's own first space, that only goes."""
+    first, *rest = STRETCH.split(f" {text}")
+    return [first[1:], *rest] if first else rest
 
 
 _KNOWN: dict[tuple[str, str], Windows] = {}
@@ -216,9 +255,7 @@ def aligned(docs: DataFrame, vocabulary: str, model: str, groups: bool = False)
             if len(known.text) >= WINDOWS:
                 known.restart()
             digests, texts, numbers, counts = [], [], [], []
-            for value in batch.column(1):
-                text = value.as_py() or ""
-                found = known.of(text) if text else []
+            for found in known.of([value.as_py() or "" for value in batch.column(1)]):
                 parts = [known.text[w] for w in found]
                 if not parts or None in parts:
                     digests.append("")
