@@ -62,10 +62,58 @@ def publish(df: DataFrame, root: str, batch: int) -> None:
     commit.write.mode("append").parquet(f"{root}/commits")
 
 
-def current(spark: SparkSession, root: str, key: str = "contract_id") -> DataFrame:
-    """The rows of all committed batches; of a key rated again, those of its latest batch only."""
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def _newest_snapshot(spark: SparkSession, root: str) -> int | None:
+    """The last batch that a committed snapshot holds."""
+    if not _exists(spark, f"{root}/snapshot_commits"):
+        return None
+    return spark.read.parquet(f"{root}/snapshot_commits").agg(F.max("batch")).first()[0]
+
+
+def _committed_after(spark: SparkSession, root: str, batch: int | None) -> tuple[DataFrame | None, int | None]:
+    """Rows of committed batches after one, with their ``batch``, and the last of these: only their folders are read."""
     commits = spark.read.parquet(f"{root}/commits").distinct()
-    rows = spark.read.option("basePath", f"{root}/rows").parquet(f"{root}/rows").withColumn("batch", F.col("batch").cast("long"))
-    rows = rows.join(commits, "batch", "left_semi")
+    numbers = [r.batch for r in (commits if batch is None else commits.where(F.col("batch") > batch)).collect()]
+    if not numbers:
+        return None, None
+    rows = spark.read.option("basePath", f"{root}/rows").parquet(*[f"{root}/rows/batch={n}" for n in sorted(numbers)])
+    return rows.withColumn("batch", F.col("batch").cast("long")), max(numbers)
+
+
+def _merged(spark: SparkSession, root: str, upto: int | None, rows: DataFrame | None, key: str) -> DataFrame:
+    """A snapshot's rows but for keys that later batches rate again, and these batches' rows, of each key the latest."""
+    snapshot = None if upto is None else spark.read.parquet(f"{root}/snapshots/upto={upto}")
+    if rows is None:
+        return snapshot
     latest = rows.groupBy(key).agg(F.max("batch").alias("batch"))
-    return rows.join(latest, [key, "batch"], "left_semi").drop("batch")
+    tail = rows.join(latest, [key, "batch"], "left_semi").drop("batch")
+    return tail if snapshot is None else snapshot.join(latest.select(key), key, "left_anti").unionByName(tail)
+
+
+def current(spark: SparkSession, root: str, key: str = "contract_id") -> DataFrame:
+    """The rows of all committed batches; of a key rated again, those of its latest batch only.
+
+    Reads the newest snapshot, if there is one, and the batches after it.
+    """
+    upto = _newest_snapshot(spark, root)
+    return _merged(spark, root, upto, _committed_after(spark, root, upto)[0], key)
+
+
+def compact(spark: SparkSession, root: str, key: str = "contract_id") -> int | None:
+    """Writes what :func:`current` reads into one snapshot and names it committed; gives the last batch that it holds.
+
+    The snapshot stands beside the batches, so readers go on meanwhile, and one that has begun keeps its files. A batch
+    that is committed while this runs stays in the tail. A replay of an older batch gives the same rows again and is not
+    read. Run it every so many batches: that bounds the tail, whose batch numbers the driver reads.
+    """
+    before = _newest_snapshot(spark, root)
+    rows, upto = _committed_after(spark, root, before)
+    if rows is None:
+        return before
+    _merged(spark, root, before, rows, key).write.mode("overwrite").parquet(f"{root}/snapshots/upto={upto}")
+    spark.createDataFrame([(upto,)], "batch long").coalesce(1).write.mode("append").parquet(f"{root}/snapshot_commits")
+    return upto

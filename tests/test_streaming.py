@@ -176,3 +176,24 @@ def test_ratings_without_news_are_failed(spark):
     due = {r.rating_id: r.due_at for r in got}
     assert due[4] == START + dt.timedelta(minutes=120) and due[3] == START + dt.timedelta(days=1)
     assert {(r.status, r.error_code, r.error) for r in got} == {("failed", "timeout", ops.TIMEOUT_MESSAGE)}
+
+
+def test_batches_are_compacted_into_a_snapshot(spark):
+    root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    rows = lambda *r: spark.createDataFrame(list(r), "contract_id long, v string")
+    for n in range(6):
+        tables.publish(rows((n, f"own {n}"), (100, f"shared {n}")), root, n)
+    reader = tables.current(spark, root)
+    assert tables.compact(spark, root) == 5
+    assert len(reader.collect()) == 7  # a reader that began before is unharmed
+    whole = [*((n, f"own {n}") for n in range(6)), (100, "shared 5")]
+    got = tables.current(spark, root)
+    assert sorted(map(tuple, got.collect())) == whole
+    assert not any("batch=" in f for f in got.inputFiles())
+    tables.publish(rows((2, "again"), (200, "new")), root, 6)
+    tables.publish(rows((0, "own 0"), (100, "shared 0")), root, 0)  # a replay of a batch in the snapshot
+    want = sorted([*((n, f"own {n}") for n in range(6) if n != 2), (2, "again"), (100, "shared 5"), (200, "new")])
+    assert sorted(map(tuple, tables.current(spark, root).collect())) == want
+    assert {f.split("batch=")[1][0] for f in tables.current(spark, root).inputFiles() if "batch=" in f} == {"6"}
+    assert tables.compact(spark, root) == 6 and tables.compact(spark, root) == 6
+    assert sorted(map(tuple, tables.current(spark, root).collect())) == want
