@@ -49,13 +49,30 @@ def csv_lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+#: Stands for a comma inside quotes while a line is split; lines that hold it are split by an expression instead.
+_HELD = "\ue000"
+
+
 def cells(line: Column) -> Column:
-    """Cells of a line: commas inside quotes stay, quotes are dropped, doubled ones halved."""
-    parts = F.split(line, r',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1)
-    return F.transform(
-        parts,
-        lambda c: F.regexp_replace(F.regexp_replace(F.trim(c), r'^"([\s\S]*)"$', "$1"), '""', '"'),
+    """Cells of a line: commas inside quotes stay, quotes are dropped, doubled ones halved.
+
+    A comma parts cells if an even number of quotes follows it. One pass: the line is cut at its quotes, and every other
+    part, counted from the end, is inside.
+    """
+    def outside(parts: Column) -> Column:
+        held = F.transform(
+            parts, lambda p, i: F.when((F.size(parts) - i) % 2 == 0, F.replace(p, F.lit(","), F.lit(_HELD))).otherwise(p)
+        )
+        return F.transform(F.split(F.array_join(held, '"'), ",", -1), lambda c: F.replace(c, F.lit(_HELD), F.lit(",")))
+
+    quoted = F.when(
+        F.contains(line, F.lit(_HELD)), F.split(line, r',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1)
+    ).otherwise(outside(F.split(line, '"', -1)))
+    bare = F.transform(
+        quoted, lambda c: F.regexp_replace(F.regexp_replace(F.trim(c), r'^"([\s\S]*)"$', "$1"), '""', '"')
     )
+    plain = F.transform(F.split(line, ",", -1), lambda c: F.trim(c))
+    return F.when(F.contains(line, F.lit('"')), bare).otherwise(plain)
 
 
 def _key(cell: Column) -> Column:
@@ -81,7 +98,9 @@ def headers(lines: DataFrame, columns: dict[str, str], search_rows: int = HEADER
     # Only the top lines of a file leave a task.
     top = lines.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= search_rows)
     clean = nfkc(F.regexp_replace("line", "﻿", ""))
-    top = top.withColumn("header", column_names(cells(clean), names))
+    # The normal form comes from Python, which the functions over arrays cannot hold: it is generated first.
+    top = top.select("file", "pos", F.inline(F.array(F.struct(clean.alias("clean")))))
+    top = top.withColumn("header", column_names(cells(F.col("clean")), names))
     named = F.array_contains("header", columns["employee_id"])
     first = F.struct((~named).alias("unnamed"), F.col("pos"), F.col("header"))
     found = top.groupBy("file").agg(F.min(first).alias("h"))
@@ -92,25 +111,32 @@ def headers(lines: DataFrame, columns: dict[str, str], search_rows: int = HEADER
     )
 
 
-def resolve(lines: DataFrame, columns: dict[str, str]) -> tuple[DataFrame, DataFrame]:
-    """Data rows ``file, pos, line, row map<string,string>`` and the files without a column."""
-    found = headers(lines, columns)
+def _places(header: Column) -> Column:
+    """Where each name stands in a header. A repeated name keeps its last cell, as a later entry replaces an earlier one."""
+    at = F.transform(F.sequence(F.lit(0), F.size(header) - 1), lambda i: F.struct(F.get(header, i).alias("k"), i.alias("i")))
+    last = F.filter(at, lambda e: ~F.array_contains(F.slice(header, e["i"] + 2, F.size(header)), e["k"]))
+    return F.map_from_entries(last)
+
+
+def resolve(
+    lines: DataFrame, columns: dict[str, str], search_rows: int = HEADER_SEARCH_ROWS
+) -> tuple[DataFrame, DataFrame]:
+    """Data rows ``file, pos, line, row map<string,string>`` and the files without a column.
+
+    A line is split once, and its fields are taken by the places that the header's names have in the file.
+    """
+    found = headers(lines, columns, search_rows)
     bad = found.where(F.size("missing") > 0).select("file", "missing")
-    good = found.where(F.size("missing") == 0)
+    good = found.where(F.size("missing") == 0).select("file", "header_pos", _places(F.col("header")).alias("places"))
     # One header row per file; a huge file's lines are split by the adaptive skew join.
     rows = lines.join(good, "file").where(
         (F.col("pos") > F.col("header_pos")) & (F.regexp_replace("line", r"[,\s]", "") != "")
     )
-    values = cells(F.regexp_replace("line", "\r$", ""))
-    padded = F.transform("header", lambda _, i: F.coalesce(F.get(values, i), F.lit("")))
-    # A repeated header name keeps its last cell, as a later entry replaces an earlier one.
-    keys = F.col("header")
-    last = F.filter(
-        F.transform(F.sequence(F.lit(0), F.size("header") - 1), lambda i: F.struct(keys[i].alias("k"), padded[i].alias("v"), i.alias("i"))),
-        lambda e: F.array_position(F.slice(keys, e["i"] + 2, F.size(keys)), e["k"]) == 0,
-    )
-    row = F.map_from_entries(F.transform(last, lambda e: F.struct(e["k"], e["v"])))
-    return rows.select("file", "pos", "line", row.alias("row")), bad
+    # A generated row is neither inlined into what reads it nor computed again for a filter.
+    once = lambda c, name: F.inline(F.array(F.struct(c.alias(name))))
+    split = rows.select("file", "pos", "line", "places", once(cells(F.regexp_replace("line", "\r$", "")), "cells"))
+    row = F.transform_values("places", lambda _, i: F.coalesce(F.get("cells", i), F.lit("")))
+    return split.select("file", "pos", "line", once(row, "row")), bad
 
 
 def amount(raw: Column) -> Column:
@@ -146,16 +172,18 @@ def records(rows: DataFrame, columns: dict[str, str]) -> tuple[DataFrame, DataFr
     return df.where("error IS NULL").select(*keep), df.where("error IS NOT NULL").select("file", "pos", "line", "error")
 
 
-def read_payroll(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def read_payroll(lines: DataFrame, search_rows: int = HEADER_SEARCH_ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Payroll as paid, rejected rows, and files with missing columns."""
-    rows, bad_files = resolve(lines, PAYROLL_COLUMNS)
+    rows, bad_files = resolve(lines, PAYROLL_COLUMNS, search_rows)
     good, rejected = records(rows, PAYROLL_COLUMNS)
     return as_paid(good), rejected, bad_files
 
 
-def read_contracts(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def read_contracts(
+    lines: DataFrame, search_rows: int = HEADER_SEARCH_ROWS
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Contracts and offers by their Source column, rejected rows, bad files."""
-    rows, bad_files = resolve(lines, CONTRACT_COLUMNS)
+    rows, bad_files = resolve(lines, CONTRACT_COLUMNS, search_rows)
     good, rejected = records(rows, CONTRACT_COLUMNS)
     contracts = good.where("source = 'qiwa'").drop("source")
     offers = good.where("source = 'offline'").drop("source")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pactum.operators.rule_table import DEFAULT_RULES, RuleSet
-from pactum.sources import layouts
+from pactum.sources import layouts, wage_files
 from pactum.sources.law_files import read_corpus, read_rules
 
 
@@ -47,3 +47,26 @@ def test_ocr_words_take_line_height(spark):
     w = r.r
     assert (w.text, w.page, w.page_height) == ("Hello", 1, 576.0)
     assert [round(x, 3) for x in (w.x_min, w.y_min, w.x_max, w.y_max)] == [14.4, 28.8, 43.2, 43.2]
+
+
+def test_cells_are_split_as_by_the_expression(spark):
+    """One pass over the quotes gives what the lookahead expression gives, for unbalanced quotes as well."""
+    import random
+    import re
+
+    rng = random.Random(1)
+    lines = ["".join(rng.choice('a b,,"" x"') for _ in range(rng.randint(0, 14))) for _ in range(800)] + ['"a, ""b""",c', "", ","]
+    got = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "k int, line string").select("k", wage_files.cells(F.col("line")).alias("c"))
+    for r in got.collect():
+        parts = re.split(r',(?=(?:[^"]*"[^"]*")*[^"]*$)', lines[r.k])
+        assert r.c == [re.sub(r'^"([\s\S]*)"$', r"\1", p.strip(" ")).replace('""', '"') for p in parts], lines[r.k]
+
+
+def test_a_header_below_a_long_preamble_is_found(spark):
+    lines = [(1, n, f"note {n}") for n in range(14)] + [(1, 14, "EmployeeID,EmployeeName,BasicSalary,HousingAllowance,OtherAllowances,BasicSalary")]
+    lines += [(1, 15, '1234567890,"Doe, J",1,2,3,"5,000"')]
+    df = spark.createDataFrame(lines, "file int, pos int, line string")
+    assert wage_files.read_payroll(df)[2].count() == 1
+    paid, rejected, bad = wage_files.read_payroll(df, search_rows=20)
+    assert [(r.employee_id, r["name"], r.basic) for r in paid.collect()] == [("1234567890", "Doe, J", 5000.0)]
+    assert rejected.count() == 0 and bad.count() == 0
