@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pactum.llm.components import components
-from pactum.llm.shared import slices, small, written
+from pactum.llm.shared import give_back, slices, small, written
 
 SHINGLE, LIMIT = 5, 75
 BANDS, ROWS = 64, 5
@@ -120,6 +120,7 @@ def sketches(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(rows, pa.binary()), batch.column(2)],
                 names=["doc_id", "n_shingles", "set_key", "registers", "text_key"],
             )
+        give_back()
 
     return docs.mapInArrow(sketched, "doc_id long, n_shingles long, set_key binary, registers binary, text_key string")
 
@@ -155,6 +156,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, classes: DataFrame, size: int = SHI
         for batch in slices(batches, SLICE):
             values = [shingles(t.as_py(), size).view(np.int64) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.list_(pa.int64()))], names=["id", "elements"])
+        give_back()
 
     found = rows.withColumn("text_key", F.md5("text")).join(small(chosen), ["id", "text_key"]).select("id", "text")
     sets = written(found.mapInArrow(shingled, "id long, elements array<long>"), "near-sets")
@@ -276,6 +278,8 @@ def by_block(rows: DataFrame, judge: Callable[[pa.Table], pa.RecordBatch | None]
                 yield from found
         if held is not None:
             yield from groups(held, True)[0]
+        held = None
+        give_back()
 
     key = ["bucket", "low", "high"]
     return rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, schema)

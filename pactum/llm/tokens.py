@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from pactum.llm.shared import give_back
+
 #: Chunks remembered in each of the two generations of a worker's cache.
 CACHED = 150_000
 END_ID = 1
@@ -113,6 +115,7 @@ def cutter(vocabulary: str, max_tokens: int, end_id: int, with_ids: bool):
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names=names)
         known.forget()
+        give_back()
 
     return cut
 

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from pactum.llm.shared import slices, small, text_of, written
+from pactum.llm.shared import give_back, slices, small, text_of, written
 
 #: Plain insults and the pronouns of the second person in four languages.
 INSULTS = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
@@ -183,6 +183,7 @@ def with_features(docs: DataFrame, lexicon: dict[str, float], *keys: str) -> Dat
                 [*batch.columns[: len(keys)], *[pa.array(table[:, k]) for k in range(len(FEATURES))]],
                 names=[*keys, *[f"_{f}" for f in FEATURES]],
             )
+        give_back()
 
     return rows.mapInArrow(dense, schema)
 
