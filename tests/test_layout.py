@@ -34,3 +34,25 @@ def test_rows_of_a_page(spark):
     rows = {r.text: r.row_y for r in layout.with_rows(df).collect()}
     # 13.5 is more than a quarter of 12 pt below 10; a height that is not known counts as 1 pt.
     assert rows == {"a": 10.0, "b": 10.0, "d": 10.0, "c": 13.5, "e": 12.0, "g": 12.0, "h": 12.5}
+
+
+def test_features_shuffle_words_once(spark):
+    from pactum.operators import law
+    from pyspark.sql import functions as F
+
+    rows = [
+        (1, "labor_law", "5", "The policies of classes and buses 7", "نص المادة 5"), (2, "labor_law", "6", None, None),
+        (3, "qiwa_template", "7", "", "نص"), (4, "other", "", "the", None),
+    ]
+    articles = spark.createDataFrame(rows, "id long, source string, article string, text_en string, text_ar string")
+    vectors = law.embed_articles(articles)
+    texts = articles.select("id", F.col("text_en").alias("text"))
+    plan = law.features(texts, "id")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert "Join" not in vectors._jdf.queryExecution().executedPlan().toString()
+    got = {r.id: r.vector for r in vectors.collect()}
+    assert set(got) == {1, 3, 4} and not any(got[4]) and all(len(v) == law.DIM for v in got.values())
+    words = spark.createDataFrame([("The policies of classes and buses 7 x \U0001d11e\u0627\u0644\u0639\u0627\u0645\u0644",)], "t string")
+    assert words.select(law.tokens(F.col("t"))).first()[0][:4] == ["policy", "classe", "buse", "7"]
+    names = spark.createDataFrame([("w:law",), ("c:\U0001d11ea",), ("",), (None,)], "n string")
+    assert all(r[0] == r[1] for r in names.select(law.fnv1a(F.col("n")), law._remembered_fnv1a(F.col("n"))).collect())
