@@ -56,3 +56,16 @@ def test_features_shuffle_words_once(spark):
     assert words.select(law.tokens(F.col("t"))).first()[0][:4] == ["policy", "classe", "buse", "7"]
     names = spark.createDataFrame([("w:law",), ("c:\U0001d11ea",), ("",), (None,)], "n string")
     assert all(r[0] == r[1] for r in names.select(law.fnv1a(F.col("n")), law._remembered_fnv1a(F.col("n"))).collect())
+
+
+def test_search_keeps_ties_in_order_whatever_the_slices(spark):
+    from pactum.operators import law
+
+    vectors = [(i, [1.0, 0.0] if i % 3 else [0.0, 1.0]) for i in range(12)]
+    df = spark.createDataFrame(vectors, "id long, vector array<double>")
+    assert law.SCORES <= 10_000_000  # a bound that does not grow with the table
+    found = law.search(df.withColumnRenamed("id", "query_id"), df.selectExpr("id", "id AS corpus_order", "vector"), 3, 2, 2).collect()
+    got = {}
+    for r in sorted(found, key=lambda r: (r.query_id, r["rank"])):
+        got.setdefault(r.query_id, []).append(r.id)
+    assert got == {i: ([1, 2, 4] if i % 3 else [0, 3, 6]) for i in range(12)}
