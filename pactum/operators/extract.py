@@ -403,18 +403,22 @@ def section15_clauses() -> Column:
     )
 
     def read(line: Column) -> Column:
-        text = clean_english(line["en_text"])
-        ar = F.trim(ocr_digits(line["ar_text"]))
-        sub = F.coalesce(
-            F.nullif(F.regexp_extract(ar, ARABIC_CLAUSE_MARKER, 1), F.lit("")),
-            F.nullif(F.regexp_extract(ar, ARABIC_CLAUSE_MARKER, 2), F.lit("")),
-        )
+        return let(clean_english(line["en_text"]), lambda text: read_text(line, text))
+
+    def read_text(line: Column, text: Column) -> Column:
+        def ar_number(ar: Column) -> Column:
+            sub = F.coalesce(
+                F.nullif(F.regexp_extract(ar, ARABIC_CLAUSE_MARKER, 1), F.lit("")),
+                F.nullif(F.regexp_extract(ar, ARABIC_CLAUSE_MARKER, 2), F.lit("")),
+            )
+            return F.concat(F.lit("15."), sub.cast("int").cast("string"))
+
         marked = text.rlike(CLAUSE_MARKER)
         return F.struct(
             text.alias("text"),
             F.when(marked, F.concat(F.lit("15."), F.regexp_extract(text, CLAUSE_MARKER, 1))).alias("number"),
             F.when(marked, F.regexp_extract(text, CLAUSE_MARKER, 2)).alias("first"),
-            F.when(text == "", F.concat(F.lit("15."), sub.cast("int").cast("string"))).alias("ar_number"),
+            F.when(text == "", let(F.trim(ocr_digits(line["ar_text"])), ar_number)).alias("ar_number"),
             (F.trim(line["ar_text"]) != "").alias("has_ar"),
         )
 

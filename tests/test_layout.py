@@ -69,3 +69,34 @@ def test_search_keeps_ties_in_order_whatever_the_slices(spark):
     for r in sorted(found, key=lambda r: (r.query_id, r["rank"])):
         got.setdefault(r.query_id, []).append(r.id)
     assert got == {i: ([1, 2, 4] if i % 3 else [0, 3, 6]) for i in range(12)}
+
+
+def _largest_method(spark, df):
+    debug = getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$").__getattr__("MODULE$")
+    stages = debug.codegenStringSeq(df._jdf.queryExecution().executedPlan())
+    return max([stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())], default=0)
+
+
+def test_views_of_words_are_compiled(spark):
+    all_queries()
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # stages are generated while the plan is made
+    try:
+        # HotSpot leaves methods of more than 8,000 bytes interpreted.
+        assert _largest_method(spark, load(spark, SF, "contract_words", heavy=True)) <= 8_000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
+def test_headings_are_cleaned_once_and_found_as_before(spark):
+    from pyspark.sql import functions as F
+
+    texts = ["  2.  First Party’s\tInformation", "15. Additional  Terms", "1.2 Probation", "Probation", "6. Probation", None, "123. Probation"]
+    cell = "array<struct<text:string>>"
+    lines = [(1, [([(t,)] if t else [], 1) for t in texts])]
+    df = spark.createDataFrame(lines, f"doc_id long, lines array<struct<en:{cell},page:int>>")
+    column = layout._sections(F.col("lines"))
+    got = df.select(F.inline(column)).collect()
+    assert [tuple(r) for r in got] == [("first_party", "2", 0, 1, 1), ("additional", "15", 1, 4, 1), ("probation", "6", 4, 7, 1)]
+    # A title was taken apart again for each of its patterns.
+    assert str(column).count("regexp_extract(") == 2
