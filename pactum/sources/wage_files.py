@@ -149,13 +149,15 @@ def records(rows: DataFrame, columns: dict[str, str]) -> tuple[DataFrame, DataFr
     """Wage records and rejected rows with the reason."""
     cell = lambda n: F.try_element_at("row", F.lit(columns[n]))
     amounts = [n for n in ("basic", "housing", "transport", "total") if n in columns]
-    df = rows.select(
-        "file", "pos", "line",
+    # Generated, so that neither the reasons nor the filter on them read the cells again; written out in each reason, they
+    # made a method too large to be compiled.
+    read = F.struct(
         F.nullif(F.regexp_replace(latin_digits(cell("employee_id")), r"\D", ""), F.lit("")).alias("employee_id"),
         F.nullif(cell("name"), F.lit("")).alias("name"),
         *[amount(cell(n)).alias(f"_{n}") for n in amounts],
         *([F.lower(cell("source")).alias("source")] if "source" in columns else []),
     )
+    df = rows.select("file", "pos", "line", F.inline(F.array(read)))
     reasons = [F.when(F.col("employee_id").isNull(), F.concat(F.lit(f"A row has no {columns['employee_id']}: "), F.col("line")))]
     for n in amounts:
         bad = F.col(f"_{n}").isNotNull() & F.col(f"_{n}").try_cast("double").isNull()

@@ -100,3 +100,12 @@ def test_headings_are_cleaned_once_and_found_as_before(spark):
     assert [tuple(r) for r in got] == [("first_party", "2", 0, 1, 1), ("additional", "15", 1, 4, 1), ("probation", "6", 4, 7, 1)]
     # A title was taken apart again for each of its patterns.
     assert str(column).count("regexp_extract(") == 2
+
+
+def test_records_of_csv_rows_are_compiled(spark):
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert _largest_method(spark, all_queries()["src_contract_csv"](spark, SF)) <= 8_000  # 17,466 when cells were read in each reason
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
