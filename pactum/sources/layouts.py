@@ -51,9 +51,13 @@ def layout_words(files: DataFrame) -> DataFrame:
         "doc_id", F.posexplode(F.regexp_extract_all("content", F.lit(PAGE), F.lit(0))).alias("p", "page_xml")
     )
     head = F.regexp_extract("page_xml", r"^<page\b[^>]*>", 0)
-    words = pages.select(
-        "doc_id", (F.col("p") + 1).alias("page"),
+    # The page's size is read before its words are spread; else every word carries its whole page.
+    sized = pages.select(
+        "doc_id", (F.col("p") + 1).alias("page"), "page_xml",
         _attribute(head, "width").alias("page_width"), _attribute(head, "height").alias("page_height"),
+    )
+    words = sized.select(
+        "doc_id", "page", "page_width", "page_height",
         F.posexplode(F.regexp_extract_all("page_xml", F.lit(WORD), F.lit(0))).alias("word_no", "word_xml"),
     )
     tag = F.regexp_extract("word_xml", r"^<word\b[^>]*>", 0)

@@ -109,3 +109,13 @@ def test_records_of_csv_rows_are_compiled(spark):
         assert _largest_method(spark, all_queries()["src_contract_csv"](spark, SF)) <= 8_000  # 17,466 when cells were read in each reason
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
+def test_words_do_not_carry_their_page(spark):
+    from pactum.sources import layouts
+
+    words = layouts.layout_words(spark.createDataFrame([(1, "<page></page>")], "doc_id long, content string"))
+    plan = words._jdf.queryExecution().optimizedPlan().toString()
+    per_word = next(line for line in plan.splitlines() if "Generate posexplode(regexp_extract_all(page_xml" in line)
+    assert "page_xml" not in re.sub(r"regexp_extract_all\(page_xml", "", per_word)
+    assert "page_xml" not in plan[: plan.index(per_word)]  # above it nothing reads the page any more
