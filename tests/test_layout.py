@@ -119,3 +119,56 @@ def test_words_do_not_carry_their_page(spark):
     per_word = next(line for line in plan.splitlines() if "Generate posexplode(regexp_extract_all(page_xml" in line)
     assert "page_xml" not in re.sub(r"regexp_extract_all\(page_xml", "", per_word)
     assert "page_xml" not in plan[: plan.index(per_word)]  # above it nothing reads the page any more
+
+
+def test_chunks_of_a_citation_are_joined_as_by_a_fold():
+    import random
+
+    from pactum.operators.law import Joined
+
+    rng = random.Random(5)
+    words = ["pay", "wage", "نص", "the", "clause", "of", "term", "law", "x\ny"]
+    base = [" ".join(rng.choices(words, k=rng.choice([0, 1, 3, 40, 200]))) for _ in range(120)]
+    chunks = []
+    for i in range(600):
+        a, b = rng.choice(base), rng.choice(base)
+        cut = rng.randrange(len(a) + 1)
+        chunks.append(rng.choice([a, a[cut:], a[:cut], a[cut:] + "\n" + b[: len(b) // 2], b]).encode())
+    chunks += [c + b"\n" + d for c, d in zip(chunks, chunks[1:])]
+    held, plain = Joined(), None
+    searched = 0
+    for chunk in chunks:
+        held.add(chunk)
+        if plain is None:
+            plain = chunk
+        elif chunk not in plain:
+            plain = plain + b"\n" + chunk
+    assert held.text() == plain and Joined().text() is None
+
+    class Counted(bytearray):
+        def __contains__(self, text):
+            nonlocal searched
+            searched += 1
+            return super().__contains__(text)
+
+    held = Joined()
+    held.add(b"first")
+    held.held = Counted(held.held)
+    for i in range(300):  # long chunks are not searched for in all that is held
+        held.add(b" ".join(b"%d" % rng.randrange(10**6) for _ in range(200)))
+    assert searched == 0 and len(held.runs) < 12
+
+
+def test_chunks_of_a_citation_are_not_collected(spark):
+    from pactum.operators import law
+    from pyspark.sql import functions as F
+
+    rows = [
+        ("v", "labor_law", "1", None, 3, "bc", None), ("v", "labor_law", "1", None, 1, "abcd", "x"), ("v", "labor_law", "1", None, 2, "e", None),
+        ("v", "labor_law", "2", None, 1, None, None), (None, "other", "3", None, 2, "", "y"), (None, "other", "3", None, 1, "z", "y"),
+    ]
+    articles = spark.createDataFrame(rows, "law_version string, source string, article string, paragraph string, n int, text_en string, text_ar string")
+    merged = law.merge_by_citation(articles, F.col("n"))
+    assert "collect_list" not in merged._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.law_version, r.citation): (r.text_ar, r.text_en) for r in merged.collect()}
+    assert got == {("v", "Art. 1"): ("x", "abcd\ne"), ("v", "Art. 2"): (None, None), (None, None): ("y", "z")}
