@@ -11,9 +11,9 @@ from pactum.workload.views import load
 RULES = default_rules()
 
 
-def contract_fields(spark: SparkSession, sf: str) -> DataFrame:
+def contract_fields(spark: SparkSession, sf: str, parts: int | None = None) -> DataFrame:
     """The contract view with its wage struct and the excluded days as an array."""
-    f = load(spark, sf, "contract_fields")
+    f = load(spark, sf, "contract_fields", parts=parts)
     wage = F.when(
         F.col("basic").isNotNull(),
         F.struct(

@@ -128,3 +128,38 @@ def test_layout_to_rating(spark):
     assert rejected.count() == 0
     assert {(r.contract_id, r.clause) for r in clauses} == {(i, f"15.{k}") for i in range(5) for k in (1, 2, 3)}
     assert rating.scores.where(F.col("overall").between(0, 100)).count() == 10
+
+
+def test_reports_are_dealt_out_by_contract_once(spark):
+    from pactum.workload import all_queries
+
+    sf, queries = "/root/testdata/sf0.01", all_queries()
+    # Tables are dealt out by key (REPARTITION_BY_NUM); what is built on them stays there.
+    for name, dealt, further in (("passages", 3, 0), ("report_assemble", 4, 1), ("contract_numbering", 3, 1)):
+        plan = queries[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+        by_num = sum("REPARTITION_BY_NUM" in line for line in exchanges)
+        assert (by_num, len(exchanges) - by_num) == (dealt, further), (name, exchanges)
+
+
+def test_numbers_of_items_stacked_with_their_passages(spark):
+    from pactum.operators import report
+
+    items = [("c", 1, "issues", "low"), ("c", 1, "good", "none"), ("c", None, "issues", "high"), ("c", None, "issues", "low"), ("d", 1, "issues", "high")]
+    df = spark.createDataFrame(items, "contract_id string, position long, tab string, severity string")
+    found = [("c", 1, 0, "6.1", None), ("c", None, 0, "6.1", None), (None, 1, 0, "6.1", None)]
+    findings = spark.createDataFrame(found, "contract_id string, position long, n int, clause string, related_clause string")
+    box = [("c", "6", 2, 9.0), ("c", "6.1", 3, 5.0), ("d", "6.1", 1, 1.0), (None, "6.1", 1, 1.0)]
+    places = spark.createDataFrame(box, "contract_id string, clause string, page int, y_min double").selectExpr(
+        "*", "1D AS page_width", "1D AS page_height", "0D AS x_min", "1D AS x_max", "2D AS y_max"
+    )
+    texts = spark.createDataFrame([("c", "6.1", "t", None), ("c", "7", "u", "v")], "contract_id string, clause string, text_en string, text_ar string")
+    passages = report.passages(findings, places, texts)
+    assert sorted((r.contract_id, r.position, r.clause, r.page, r.text_en, r.approximate) for r in passages.where("position = 1").collect()) == [
+        ("c", 1, "6.1", 3, "t", False)
+    ]
+    rows = report.contract_numbering(df, passages).collect()
+    assert sorted((r.contract_id, r.position or 0, r.tab, r.severity, r.number, r.list_no) for r in rows) == [
+        ("c", 0, "issues", "high", None, 1), ("c", 0, "issues", "low", None, 3), ("c", 1, "good", "none", 1, 1),
+        ("c", 1, "issues", "low", 1, 2), ("d", 1, "issues", "high", None, 1),
+    ]
