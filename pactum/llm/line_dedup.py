@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pactum.llm.shared import slices, small, written
+from pactum.llm.shared import give_back, slices, small, written
 
 #: Words of the shortest block that is deleted.
 LEAST_WORDS = 30
@@ -161,6 +161,7 @@ def line_table(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
                  pa.array([anchors(h, f[2], least_words) for h, f in zip(hashes, found)], pa.list_(pa.int64()))],
                 names=["doc_id", "text_key", "places", "hashes", "words", "anchors"],
             )
+        give_back()
 
     schema = "doc_id long, text_key long, places array<int>, hashes array<long>, words array<int>, anchors array<long>"
     return rows.mapInArrow(lines, schema).filter("size(hashes) > 0")
@@ -200,6 +201,7 @@ def removals(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "text_key", "cut"]
             )
+        give_back()
 
     cut = both.select("doc_id", "text_key", "earlier", "hashes", "words", "places").mapInArrow(
         align, "doc_id long, text_key long, cut array<int>"

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pactum.llm.shared import written
+from pactum.llm.shared import give_back, written
 from pactum.llm.tokens import MAX_TOKENS, pieces
 
 #: Pieces packed together in one task.
@@ -111,6 +111,8 @@ def packer(
                 held, count = [], 0
         if held:
             yield from flush()
+        held.clear()
+        give_back()
 
     return packed
 

@@ -96,6 +96,8 @@ def learn_lexicon(labelled: DataFrame) -> dict[str, float]:
                 [pa.array(found, pa.string()), *[pa.array([c[t] for t in found], pa.int64()) for c in counts[::-1]]],
                 names=["term", "bad", "good"],
             )
+            del counts, found
+        give_back()
 
     totals = labelled.agg(F.count_if("toxic").alias("bad"), F.count_if(~F.col("toxic")).alias("good")).first()
     if not totals.bad or not totals.good:
@@ -170,15 +172,21 @@ _SECOND = frozenset(SECOND_PERSON)
 
 
 def with_features(docs: DataFrame, lexicon: dict[str, float], *keys: str) -> DataFrame:
-    """The keys and a column for each feature; texts are read whole, some at a time."""
-    rows = docs.select(*keys) if "text" in keys else docs.select(*keys, text_of().alias("text"))
-    at = rows.columns.index("text")
+    """The keys and a column for each feature; texts are read whole, some at a time.
+
+    A text that is a field of the only key, a struct, is read there and does not travel twice.
+    """
+    inside = len(keys) == 1 and "text" in getattr(docs.schema[keys[0]].dataType, "names", ())
+    rows = docs.select(*keys) if inside or "text" in keys else docs.select(*keys, text_of().alias("text"))
+
+    def texts(batch: pa.RecordBatch) -> pa.Array:
+        return batch.column(0).field("text").cast(pa.string()) if inside else batch.column("text")
     schema = StructType([*rows.schema.fields[: len(keys)], *[StructField(f"_{f}", DoubleType()) for f in FEATURES]])
 
     def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Lexicon(lexicon)
         for batch in slices(batches, SLICE):
-            table = np.array([features(t.as_py() or "", known) for t in batch.column(at)]).reshape(batch.num_rows, len(FEATURES))
+            table = np.array([features(t.as_py() or "", known) for t in texts(batch)]).reshape(batch.num_rows, len(FEATURES))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[: len(keys)], *[pa.array(table[:, k]) for k in range(len(FEATURES))]],
                 names=[*keys, *[f"_{f}" for f in FEATURES]],
@@ -258,5 +266,5 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     A row travels as one struct, so its columns may have any names.
     """
     scorer = train(docs, labels)
-    rows = docs.select(F.struct("*").alias("doc"), "text")
+    rows = docs.select(F.struct("*").alias("doc"))
     return scorer.score(rows, "doc").filter("_score < 0.5").select("doc.*")
