@@ -172,3 +172,12 @@ def test_chunks_of_a_citation_are_not_collected(spark):
     assert "collect_list" not in merged._jdf.queryExecution().optimizedPlan().toString()
     got = {(r.law_version, r.citation): (r.text_ar, r.text_en) for r in merged.collect()}
     assert got == {("v", "Art. 1"): ("x", "abcd\ne"), ("v", "Art. 2"): (None, None), (None, None): ("y", "z")}
+
+
+def test_text_of_a_cell_is_made_once(spark):
+    """What is made of the text, such as its words, filters rows without making the text again below."""
+    all_queries()  # defines the views
+    words = load(spark, "/root/testdata/sf0.001", "contract_words")
+    plan = words._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(", {idno},") == 1
+    assert words.where("text = ''").count() == 0 and words.where("text LIKE '%{%'").count() == 0
