@@ -188,6 +188,21 @@ def with_features(docs: DataFrame, lexicon: dict[str, float], *keys: str) -> Dat
     return rows.mapInArrow(dense, schema)
 
 
+def text_features(lexicon: dict[str, float]):
+    """A column function from a text to the struct of its features, for rows that are too wide to travel with it."""
+
+    def dense(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known = Lexicon(lexicon)
+        for batch in batches:
+            for at in range(0, len(batch), SLICE):
+                part = batch.slice(at, SLICE)
+                table = np.array([features(t.as_py() or "", known) for t in part])
+                yield pa.StructArray.from_arrays([pa.array(table[:, k]) for k in range(len(FEATURES))], [f"_{f}" for f in FEATURES])
+        give_back()
+
+    return F.arrow_udf(dense, StructType([StructField(f"_{f}", DoubleType()) for f in FEATURES]), F.ArrowUDFType.SCALAR_ITER)
+
+
 class Scorer:
     """The lexicon, the trees and the calibration."""
 
@@ -196,7 +211,10 @@ class Scorer:
 
     def score(self, docs: DataFrame, *keys: str) -> DataFrame:
         """The keys and ``_score`` (0 to 1, higher: toxic likelier) of each row's text."""
-        dense = with_features(docs, self.lexicon, *keys)
+        return self.scored(with_features(docs, self.lexicon, *keys), *keys)
+
+    def scored(self, dense: DataFrame, *keys: str) -> DataFrame:
+        """The same from the features."""
         if self.trees is None:
             return dense.select(*keys, F.least(F.ceil("_fixed_density"), F.lit(1)).cast("double").alias("_score"))
         raw = _raw(self.trees.transform(_assembled(dense)))
@@ -255,8 +273,10 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents, all columns, that score below 0.5: scored as they pass, without a join.
 
-    A row travels as one struct, so its columns may have any names.
+    Only the text goes to Python and only its features come back; the row waits for them as one struct, so its columns
+    may have any names.
     """
     scorer = train(docs, labels)
-    rows = docs.select(F.struct("*").alias("doc"), "text")
-    return scorer.score(rows, "doc").filter("_score < 0.5").select("doc.*")
+    found = text_features(scorer.lexicon)(text_of())
+    dense = docs.select(F.struct("*").alias("doc"), found.alias("_found")).select("doc", "_found.*")
+    return scorer.scored(dense, "doc").filter("_score < 0.5").select("doc.*")

@@ -364,3 +364,15 @@ def test_rows_without_an_id_draw_apart(spark, words):
     docs = spark.createDataFrame([(None, words(k, 10), "s") for k in range(400)], "doc_id long, text string, source string")
     taken = corpus_pipeline.mixing.report(docs, total_share=0.75).agg({"taken": "sum"}).first()[0]
     assert abs(taken - 3000) < 400
+
+
+def test_toxicity_sends_the_pipelines_texts_to_python_once(spark):
+    rows = [(1, "you IDIOT, you m0r0n!!", "a"), (2, None, "b"), (3, "", "c"), (4, "fine words here", None), (4, "fine words here", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = toxicity.without_toxic(docs, spark.createDataFrame([], "doc_id long, toxic int"))
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "MapInArrow" not in plan  # rows stay where they are, no text comes back
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3, 4, 4]
+    lexicon = {"=fine": 2.0, "4word": 1.0}
+    found = docs.select("doc_id", toxicity.text_features(lexicon)(toxicity.text_of()).alias("f")).select("doc_id", "f.*")
+    assert sorted(found.collect()) == sorted(toxicity.with_features(docs, lexicon, "doc_id").collect())
