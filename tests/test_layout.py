@@ -181,3 +181,22 @@ def test_text_of_a_cell_is_made_once(spark):
     plan = words._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count(", {idno},") == 1
     assert words.where("text = ''").count() == 0 and words.where("text LIKE '%{%'").count() == 0
+
+
+def test_every_section_has_a_text(spark):
+    """A heading that is missing gives the whole document, one without a body an empty text; neither is left out."""
+    from pyspark.sql import functions as F
+
+    rows = ["5. Contract Period", "6. Probation", "6.1  Sixty days", "of the worker’s time", ""]
+    lines = [(1, [([(t,)] if t else [], t, 1) for t in rows]), (2, [])]
+    df = spark.createDataFrame(lines, "doc_id long, lines array<struct<en:array<struct<text:string>>,en_text:string,page:int>>")
+    docs = df.withColumn("sections", layout._sections(F.col("lines")))
+    got = {(r.doc_id, r.key): r.text for r in docs.select("doc_id", F.inline(layout.section_texts())).collect()}
+    whole = "5. Contract Period 6. Probation 6.1 Sixty days of the worker's time"
+    own = {"period": "", "probation": "6.1 Sixty days of the worker's time"}
+    keys = [k for k, _ in layout.SECTION_TITLES]
+    assert got == {(1, k): own.get(k, whole) for k in keys} | {(2, k): "" for k in keys}
+    each = docs.select("doc_id", *[layout.section_text(k).alias(k) for k in keys]).collect()
+    assert got == {(r.doc_id, k): r[k] for r in each for k in keys}
+    found = all_queries()["section_text"](spark, "/root/testdata/sf0.001").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    assert {r.n for r in found.select("n").distinct().collect()} == {len(keys)}
