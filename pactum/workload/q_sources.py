@@ -32,13 +32,17 @@ def _page_facts(words: DataFrame) -> DataFrame:
 def src_layout_words(spark: SparkSession, sf: str) -> DataFrame:
     docs = load(spark, sf, "documents", heavy=True)
     escaped = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("'"), F.lit("&#39;"))
+    tag = '<word xMin="1" yMin="2" xMax="3" yMax="4">'
     page = lambda line: F.concat(
-        F.lit('<page width="595" height="842">'),
-        F.array_join(F.transform(F.split(line, " "), lambda w: F.concat(F.lit('<word xMin="1" yMin="2" xMax="3" yMax="4">'), w, F.lit("</word>"))), "\n"),
-        F.lit("</page>"),
+        F.lit(f'<page width="595" height="842">{tag}'), F.replace(line, F.lit(" "), F.lit(f"</word>\n{tag}")), F.lit("</word></page>")
     )
     files = docs.select("doc_id", F.array_join(F.transform(F.split(escaped, "\n"), page), "\n").alias("content"))
-    return _page_facts(layouts.layout_words(files))
+    # Pages are gathered, not words; a page of two files with one id is united.
+    pages = layouts.layout_pages(files).groupBy("doc_id", "page").agg(F.flatten(F.collect_list("words")).alias("words"))
+    texts = F.transform(F.sort_array("words"), lambda w: w["text"])
+    return pages.where("size(words) > 0").select(
+        "doc_id", "page", F.size("words").cast("long").alias("words"), F.sha2(F.array_join(texts, " "), 256).alias("joined")
+    )
 
 
 @query("src_ocr_tsv", _WORDS)

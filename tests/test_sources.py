@@ -70,3 +70,26 @@ def test_a_header_below_a_long_preamble_is_found(spark):
     paid, rejected, bad = wage_files.read_payroll(df, search_rows=20)
     assert [(r.employee_id, r["name"], r.basic) for r in paid.collect()] == [("1234567890", "Doe, J", 5000.0)]
     assert rejected.count() == 0 and bad.count() == 0
+
+
+def test_pages_hold_the_texts_of_their_words(spark):
+    """Read page by page or word by word, with whatever stands between and inside the words."""
+    odd = [
+        "<page><word>a\nb</word>x<word >&lt;word&gt; 1 > 2 </word><words>no</words><word/>c</word></page>", None, "", "<page>",
+        "<pages><word>no</word></pages>\n<page\nwidth='1'><word a=\"<\">&#32;</word><word>&AMP;&#x1F600;</word><word>open</page><word>out</word><page></page>",
+    ]
+    files = spark.createDataFrame(list(enumerate(odd)), "doc_id int, content string")
+    words = {(r.doc_id, r.page, r.word_no): r.text for r in layouts.layout_words(files).collect()}
+    pages = layouts.layout_pages(files).collect()
+    assert {(p.doc_id, p.page, w.word_no): w.text for p in pages for w in p.words} == words
+    assert words == {(0, 1, 0): "a\nb", (0, 1, 1): "<word> 1 > 2", (0, 1, 2): "c", (4, 1, 1): "&\U0001f600"}
+    assert sorted((p.doc_id, p.page) for p in pages) == [(0, 1), (4, 1), (4, 2)]
+
+
+def test_words_of_a_page_are_not_spread_to_be_gathered(spark):
+    from pactum.workload import all_queries
+
+    facts = all_queries()["src_layout_words"](spark, "/root/testdata/sf0.001")
+    plan = facts._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == 1  # the pages of a file
+    assert r"[\s\S]" not in layouts.PAGE + layouts.WORD
