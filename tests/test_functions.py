@@ -3,7 +3,9 @@
 import datetime as dt
 import math
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,6 +89,49 @@ def test_embedding_matches_plain_python(spark):
     assert tokens == ["party", "annual", "leave", "اجازه", "7"]
 
 
+def _embedding(tokens):
+    weights = {}
+    for word in tokens:
+        common = word in law.COMMON_WORDS
+        weights[f"w:{word}"] = weights.get(f"w:{word}", 0) + (0.25 if common else 1)
+        padded = f"<{word}>"
+        for k in range(0 if common else len(padded) - 2):
+            name = "c:" + padded[k : k + 3]
+            weights[name] = weights.get(name, 0) + 0.4
+    vector = [0.0] * 256
+    for name, weight in weights.items():
+        h = _fnv(name)
+        vector[h % 256] += (-1 if h >> 31 else 1) * (weight if weight <= 1 else 1 + math.log(weight))
+    norm = math.sqrt(sum(x * x for x in vector))
+    return [x / norm for x in vector] if norm else vector
+
+
+def test_texts_are_embedded_in_bulk_as_one_by_one(spark):
+    """Whatever the words: long and short, common, repeated, of two scripts, beyond the first plane; and features are never rows."""
+    import random
+
+    rng = random.Random(3)
+    odd = ["a1", "7", "employer", "عقد", "اجازه", "\U00010330\U00010331x", "x\U00010330", "aaaa", "z" * 64, "y" * 65, "q1" * 300, "bus"]
+    words = odd + ["".join(rng.choices("abcde", k=rng.randint(2, 9))) for _ in range(300)]
+    texts = [" ".join(rng.choices(words, k=rng.choice([0, 1, 2, 40, 900]))) for _ in range(60)] + ["", "the of", None, "aaaa " * 50]
+    rows = [(i, i % 3, t) for i, t in enumerate(texts)] + [(1, 1, "bus aaaa"), (None, 0, "pay")]
+    docs = spark.createDataFrame(rows, "id int, part int, text string")
+    tokens = {}
+    for r in docs.select("id", "part", law.tokens(F.col("text")).alias("t")).collect():
+        tokens.setdefault((r.id, r.part), []).extend(r.t or [])
+    embedded = law.hash_embed(docs, "id", "part")
+    assert "Generate" not in embedded._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.id, r.part): r.vector for r in embedded.collect()}
+    assert set(got) == set(tokens) and len(got) == len(rows) - 1
+    for key, vector in got.items():
+        assert all(abs(x - y) < 1e-12 for x, y in zip(vector, _embedding(tokens[key]), strict=True)), key
+    whole = law._vectors(pa.array([tokens[k] for k in got]), law.DIM)
+    dealt = law.hash_embed(docs.repartition(5, "id"), "id", "part")._jdf.queryExecution().executedPlan().toString()
+    assert dealt.count("Exchange hashpartitioning") == 1
+    # The same to the last bit with other texts beside them.
+    assert (whole == np.array(list(got.values()))).all()
+
+
 def test_search_parts_agree(spark):
     rows = [(i, i, [math.sin(i * 3 + j) for j in range(8)]) for i in range(60)]
     df = spark.createDataFrame(rows, "id long, corpus_order long, vector array<double>").withColumn("vector", law.unit(F.col("vector")))
